@@ -1,0 +1,48 @@
+"""Compare a Spark result with the result of the same query in SQL."""
+
+from __future__ import annotations
+
+import glob
+import math
+import os
+
+import duckdb
+
+
+def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.basename(path).removesuffix(".parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def normal(value):
+    if hasattr(value, "tzinfo") and value.tzinfo is not None:
+        return value.replace(tzinfo=None)
+    if isinstance(value, float) and math.isnan(value):
+        return "NaN"
+    return value
+
+
+def ordered(rows):
+    return sorted((tuple(map(normal, r)) for r in rows), key=repr)
+
+
+def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """None if both results hold the same rows, else a short description."""
+    names = sorted(df.columns)
+    spark_rows = ordered(tuple(r[n] for n in names) for r in df.select(*names).collect())
+    result = con.execute(sql)
+    found = [d[0] for d in result.description]
+    if sorted(found) != names:
+        return f"columns {names} and {sorted(found)}"
+    at = [found.index(n) for n in names]
+    sql_rows = ordered(tuple(r[i] for i in at) for r in result.fetchall())
+    if len(spark_rows) != len(sql_rows):
+        return f"{len(spark_rows)} and {len(sql_rows)} rows"
+    wrong = [(a, b) for a, b in zip(spark_rows, sql_rows) if repr(a) != repr(b)]
+    if wrong:
+        return f"{len(wrong)} rows differ, first: {wrong[0]} and {wrong[0][1]}"[:1500]
+    return None
