@@ -53,9 +53,10 @@ def range_positions(df: DataFrame, order: list[Column], partitions: int | None =
     Spark samples the range borders, so the ranged table is written before it is
     counted: both readings then see the same borders.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    if partitions is None:
+        # Several ranges per task, since hashing spreads a few of them unevenly.
+        partitions = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id())
     ranged = store(ranged, "ranged")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per range; the constant key only says that they form one group.

@@ -38,13 +38,22 @@ def replay_pairs(
     # Only a user's text can become a prompt.
     said = F.struct(F.when(F.col("role") == "user", F.col("text")).alias("prompt"))
     inside = Window.partitionBy(*place).orderBy("turn")
-    rows = rows.withColumns({"_said": said, "_previous": F.lag(said).over(inside)})
-    last = rows.groupBy(*place).agg(F.max_by("_said", "turn").alias("_last"))
-    edges = last.select(
-        *place, F.lag("_last").over(Window.partitionBy("group_id").orderBy("_chunk")).alias("_edge")
+    rows = rows.withColumns(
+        {
+            "_said": said,
+            "_previous": F.lag(said).over(inside),
+            "_is_last": F.lead(F.lit(True), 1, False).over(inside) == F.lit(False),
+        }
     )
+    chunks = Window.partitionBy("group_id").orderBy("_chunk")
+    edges = rows.where("_is_last").select(
+        F.col("group_id").alias("_group"),
+        F.col("_chunk").alias("_at"),
+        F.lag("_said").over(chunks).alias("_edge"),
+    )
+    same_chunk = F.col("group_id").eqNullSafe(F.col("_group")) & F.col("_chunk").eqNullSafe(F.col("_at"))
     prompt = F.coalesce("_previous", "_edge")["prompt"]
-    pairs = rows.join(edges, place).withColumn("prompt", prompt)
+    pairs = rows.join(edges, same_chunk).withColumn("prompt", prompt)
     return pairs.where((F.col("role") == "assistant") & F.col("prompt").isNotNull()).select(
         F.concat_ws(":", F.col("group_id").cast("string"), F.col("turn").cast("string")).alias("traj_id"),
         "group_id",
@@ -66,7 +75,8 @@ def group_advantage(
     """Add ``advantage`` = (reward - group mean) / (group deviation + epsilon).
 
     The statistics combine on the map side and are joined back, salted for large
-    groups, so no group has to fit one task. Equal rewards give exactly 0.
+    groups, so no group has to fit one task. Equal rewards give exactly 0; a row
+    without a group gets no advantage.
     """
     value = F.col(reward)
     stats = df.groupBy(group).agg(

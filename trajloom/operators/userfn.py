@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,8 @@ SCORE_FIELDS = [
     T.StructField("policy_logps", T.DoubleType()),
     T.StructField("completion_len", T.DoubleType()),
 ]
+# Rows that a batch function's task gathers before it hands them back.
+OUTPUT_ROWS = 10_000
 
 
 def map_rows(
@@ -60,10 +64,30 @@ def encode_with(
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema, keys: list[str]
+    df: DataFrame,
+    fn: Callable[[list[dict]], list[dict]],
+    schema: T.StructType,
+    keys: list[str],
 ) -> DataFrame:
-    """Apply a function to the rows of each batch. A batch has a fixed number of rows."""
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    """Apply ``fn(rows) -> rows`` to the rows of each batch, as a collator would see them.
+
+    Batches have a fixed number of rows. Each task gets whole batches one after the other
+    and holds one at a time.
+    """
+    placed = df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        rows = (row for batch in arrow_batches for row in batch.to_pylist())
+        out: list[dict] = []
+        for _, group in groupby(rows, key=itemgetter(*keys)):
+            out.extend(fn(list(group)))
+            if len(out) >= OUTPUT_ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return placed.mapInArrow(run, schema)
 
 
 def score_with(

@@ -49,10 +49,10 @@ numbers AS (
 
 EVENTS = """
 feed AS (
-  SELECT event_id AS traj_id, ts, user_id AS group_id, value * 0.35E0 + 1.0E0 AS nll_seq,
+  SELECT event_id AS traj_id, ts, user_id AS group_id, value / 3.0E0 + 1.0E0 AS nll_seq,
     CASE WHEN event_type = 'error' THEN 'negative' ELSE 'positive' END AS origin_label,
-    CASE WHEN event_type <> 'view' THEN value / 100.0E0 - 1.0E0 END AS advantage,
-    -(value * 0.35E0 + 1.0E0) + (length(event_type) - 5) * 0.5E0 AS policy_logps,
+    CASE WHEN event_type <> 'view' THEN value / 90.0E0 - 1.0E0 END AS advantage,
+    -(value / 3.0E0 + 1.0E0) + (length(event_type) - 5) * 0.5E0 AS policy_logps,
     greatest(floor(value / 4.0E0), 1.0E0) AS completion_len
   FROM events)"""
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,7 +232,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = replay_pairs(table(spark, sf_dir, "conversations"))
+    texts = store(replay_pairs(table(spark, sf_dir, "conversations")), "pairs")
     words = build_vocabulary(texts, ["response"])
     coded = encode(texts, TEXT, words)
     return coded.select("traj_id", shown(F.col("prompt_ids")).alias("prompt_ids"),
@@ -436,22 +435,23 @@ def user_row_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(rows, count_letters, schema, {"letters": "aeiou"}, ["text"])
 
 
-def batch_spread(frame: pd.DataFrame) -> pd.DataFrame:
-    first = frame.iloc[0]
-    return pd.DataFrame(
-        {
-            "epoch": [first["epoch"]],
-            "batch_id": [first["batch_id"]],
-            "rows": [len(frame)],
-            "spread": [frame["value"].max() - frame["value"].min()],
-        }
-    )
+def batch_spread(rows: list[dict]) -> list[dict]:
+    values = [row["value"] for row in rows]
+    place = {name: rows[0][name] for name in ("epoch", "batch_id")}
+    return [{**place, "rows": len(rows), "spread": max(values) - min(values)}]
 
 
 def user_batch_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "value")
     placed = events.join(assign_batches(events, "event_id", RUN), "event_id")
-    schema = "epoch int, batch_id bigint, rows bigint, spread double"
+    schema = T.StructType(
+        [
+            T.StructField("epoch", T.IntegerType()),
+            T.StructField("batch_id", T.LongType()),
+            T.StructField("rows", T.LongType()),
+            T.StructField("spread", T.DoubleType()),
+        ]
+    )
     return rounded(map_batches(placed, batch_spread, schema, ["epoch", "batch_id"]))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajloom.operators.replay import group_advantage, label_origin, replay_pairs
+from trajloom.operators.store import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,11 @@ def with_reward(pairs: DataFrame) -> DataFrame:
 
 
 def text_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trajectories of the conversations, with untidy labels and missing values put in."""
+    """Trajectories of the conversations, with untidy labels and missing values put in.
+
+    They are written once, as a recorded trajectory table would be: the steps that
+    follow read them several times.
+    """
     pairs = with_reward(replay_pairs(table(spark, sf_dir, "conversations")))
     rows = group_advantage(pairs)
     label = label_origin(F.col("advantage"))
@@ -38,9 +43,10 @@ def text_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((label == "negative") & (size % 11 == 0), F.lit(" Negative "))
         .otherwise(label)
     )
-    return rows.withColumn("origin_label", untidy).withColumn(
+    rows = rows.withColumn("origin_label", untidy).withColumn(
         "advantage", F.when(size % 19 != 0, F.col("advantage"))
     )
+    return store(rows, "trajectories")
 
 
 def scored_text_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +77,19 @@ def numeric_trajectories(spark: SparkSession, sf_dir: str, null_nll: bool = Fals
 
 
 def event_trajectories(events: DataFrame) -> DataFrame:
-    """Trajectories of an event feed; the same for a static table and for a stream."""
-    nll = F.col("value") * 0.35 + 1.0
+    """Trajectories of an event feed; the same for a static table and for a stream.
+
+    Values are divided by 3 and 9, so that means of a few of them have no short decimal
+    form whose rounding would hang on the order of a sum.
+    """
+    nll = F.col("value") / 3.0 + 1.0
     return events.select(
         F.col("event_id").alias("traj_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").alias("group_id"),
         nll.alias("nll_seq"),
         F.when(F.col("event_type") == "error", "negative").otherwise("positive").alias("origin_label"),
-        F.when(F.col("event_type") != "view", F.col("value") / 100.0 - 1.0).alias("advantage"),
+        F.when(F.col("event_type") != "view", F.col("value") / 90.0 - 1.0).alias("advantage"),
         (-nll + (F.length("event_type") - 5) * 0.5).alias("policy_logps"),
         F.greatest(F.floor(F.col("value") / 4.0), F.lit(1)).cast("double").alias("completion_len"),
     )
