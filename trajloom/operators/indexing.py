@@ -14,6 +14,8 @@ from trajloom.operators.store import store
 
 # Four hex digits: 65 536 buckets of about equal size.
 BUCKET_DIGITS = 4
+# Fixed value: monotonically_increasing_id() keeps the partition above these bits.
+ROW_BITS = 33
 
 
 def order_key(seed: int, *parts: Column) -> Column:
@@ -50,15 +52,22 @@ def hash_positions(df: DataFrame, key: str, groups: list[str], digits: int = BUC
 def range_positions(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
     """Add ``position`` (0-based) in the order of any unique list of columns.
 
-    Spark samples the range borders, so the ranged table is written before it is
-    counted: both readings then see the same borders.
+    Each range is sorted in its task, which numbers its rows as it writes them. Spark
+    samples the range borders, so the table is written: all later readings see the same
+    borders, and only add the number of rows in the ranges before.
     """
     if partitions is None:
-        # Several ranges per task, since hashing spreads a few of them unevenly.
-        partitions = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id())
-    ranged = store(ranged, "ranged")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # The id holds the task's range above ROW_BITS and the row's number in it below.
+    ranged = store(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumns(
+        {
+            "_part": F.shiftright("_at", ROW_BITS),
+            "_row": F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)),
+        }
+    )
+    counts = ranged.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))
     # One row per range; the constant key only says that they form one group.
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1
@@ -66,9 +75,8 @@ def range_positions(df: DataFrame, order: list[Column], partitions: int | None =
     offsets = counts.select(
         "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("_part").orderBy(*order)
     return (
         ranged.join(F.broadcast(offsets), "_part")
-        .withColumn("position", F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_part", "_offset")
+        .withColumn("position", F.col("_offset") + F.col("_row"))
+        .drop("_at", "_part", "_row", "_offset")
     )

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from trajloom.functions.tokens import model_inputs, model_prompt, split_tokens
 from trajloom.operators.indexing import range_positions
 from trajloom.operators.lookup import BROADCAST_BYTES, HOT_ROWS, fits_broadcast, lookup_join
-from trajloom.operators.store import store
 from trajloom.options import FIRST_TOKEN_ID, UNK_ID, TokenOptions
 
 
 def build_vocabulary(df: DataFrame, columns: list[str], first_id: int = FIRST_TOKEN_ID) -> DataFrame:
     """Distinct tokens with their count ``n`` and a dense ``token_id``, most frequent first.
 
-    The table is written: encoding reads it more than once.
+    The ranked table is written, so encoding can read it more than once.
     """
     words = F.concat(*[F.coalesce(split_tokens(F.col(c)), F.array().cast("array<string>")) for c in columns])
     counts = (
@@ -24,10 +23,7 @@ def build_vocabulary(df: DataFrame, columns: list[str], first_id: int = FIRST_TO
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ranked = range_positions(counts, [F.desc("n"), F.asc("token")])
-    return store(
-        ranked.select("token", "n", (F.col("position") + first_id).cast("int").alias("token_id")),
-        "vocabulary",
-    )
+    return ranked.select("token", "n", (F.col("position") + first_id).cast("int").alias("token_id"))
 
 
 def encode(

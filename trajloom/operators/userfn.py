@@ -9,12 +9,17 @@ from operator import itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+import trajloom
 from trajloom.options import TokenOptions
 
+# Functions of this package travel by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(trajloom)
+
 SCORE_FIELDS = [
     T.StructField("policy_logps", T.DoubleType()),
     T.StructField("completion_len", T.DoubleType()),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import logging
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,9 @@ FORMAT_MARKERS = {".json": "json", ".parquet": "parquet"}
 # The columns that later steps keep, besides the token lists.
 KEPT_COLUMNS = ["prompt", "response", "nll_seq", "advantage", "origin_label"]
 TRAIN, TEST = "train", "test"
-SCHEMA_ROWS = 10_000
+SCHEMA_ROWS = 1000
+URI_START = r"^[A-Za-z0-9+.-]+:(//[^/]*)?"
+SPLIT_WORD = r"(?:^|[^A-Za-z0-9])(train|test)(?:[^A-Za-z0-9]|$)"
 
 
 def file_format(path: str) -> str | None:
@@ -69,12 +72,16 @@ def read_json(
 def json_schema(
     spark: SparkSession, paths: list[str], arrays: bool, rows: int = SCHEMA_ROWS, **options
 ) -> T.StructType:
-    """Inferred schema, with whole numbers widened to doubles."""
+    """Schema of the first lines, with whole numbers widened to doubles.
+
+    Columns that only come later are not seen; pass a schema for such files.
+    """
     if arrays:
         found = spark.read.json(paths, multiLine=True, **options).schema
     else:
-        head = spark.read.text(paths, **options).limit(rows)
-        found = spark.read.json(head.rdd.map(lambda row: row[0])).schema
+        # head() stops after the first files, whatever the size of the data.
+        lines = [row[0] for row in spark.read.text(paths, **options).head(rows)]
+        found = spark.read.json(spark.sparkContext.parallelize(lines, 1)).schema
     widened = {T.LongType(): T.DoubleType()}
     return T.StructType([T.StructField(f.name, widened.get(f.dataType, f.dataType)) for f in found])
 
@@ -92,43 +99,45 @@ def read_directory(
 ) -> dict[str, DataFrame]:
     """A dataset directory. Files or folders named after a split hold that split.
 
-    The split is taken from the file path, so Spark lists the files once and a filter
-    on the split skips the other files. Without any split name all rows are training rows.
+    The split is taken from the file path, so no data is read to find the splits, and a
+    filter on the split skips the other files. Without any split name all rows are
+    training rows.
     """
-    fmt = fmt or directory_format(spark, path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fmt = fmt or directory_format(files.listFiles(folder, True), path)
     if fmt == "json":
         df = read_json(spark, [path], schema, recursiveFileLookup=True)
     else:
         df = spark.read.option("recursiveFileLookup", True).format(fmt).load(path)
-    df = df.select("*", split_of(F.col("_metadata.file_path"), path).alias("split"))
-    names = {name for name in (TRAIN, TEST) if has_split(df, name)}
+    root = files.makeQualified(folder).toUri().getRawPath().rstrip("/")
+    names = {file_split(file, root) for file in df.inputFiles()} - {None}
     if not names:
-        return {TRAIN: df.drop("split")}
+        return {TRAIN: df}
     if TRAIN not in names:
         raise ValueError(f"no training files in {path}")
-    return {name: select_split(df, name) for name in (TRAIN, TEST) if name in names}
+    tagged = df.select("*", split_column(F.col("_metadata.file_path"), root).alias("_split"))
+    return {name: select_split(tagged, name, "_split") for name in (TRAIN, TEST) if name in names}
 
 
-def split_of(file_path, root: str):
-    """``train`` or ``test`` when it is a word of the path below the root, else null."""
-    below = F.substring_index(file_path, root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    name = F.regexp_extract(below, rf"(?:^|[^A-Za-z0-9])({TRAIN}|{TEST})(?:[^A-Za-z0-9]|$)", 1)
-    return F.nullif(name, F.lit(""))
+def file_split(file: str, root: str) -> str | None:
+    """``train`` or ``test`` when it is a word of the path below the root."""
+    word = re.search(SPLIT_WORD, re.sub(URI_START, "", file)[len(root):])
+    return word and word.group(1)
 
 
-def has_split(df: DataFrame, name: str) -> bool:
-    return not df.where(F.col("split") == name).select("split").isEmpty()
+def split_column(file: Column, root: str) -> Column:
+    """:func:`file_split` as a Column; empty text without a split."""
+    below = F.substring(F.regexp_replace(file, URI_START, ""), len(root) + 1, 1 << 20)
+    return F.regexp_extract(below, SPLIT_WORD, 1)
 
 
-def select_split(df: DataFrame, name: str) -> DataFrame:
-    return df.where(F.col("split") == name).drop("split")
+def select_split(df: DataFrame, name: str, split: str = "split") -> DataFrame:
+    return df.where(F.col(split) == name).drop(split)
 
 
-def directory_format(spark: SparkSession, path: str) -> str:
-    """The format of the first data file found; listing stops there."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+def directory_format(files, path: str) -> str:
+    """The format of the first data file in a listing; the listing stops there."""
     while files.hasNext():
         name = files.next().getPath().getName()
         if not name.startswith(("_", ".")) and file_format(name):
