@@ -106,17 +106,19 @@ def test_mixed_formats_are_refused(spark):
         read_trajectories(spark, "a.json||b.parquet")
 
 
-@pytest.mark.parametrize("layout", ["files", "folders", "partitions"])
+@pytest.mark.parametrize("layout", ["files", "folders", "partitions", "other words"])
 def test_directory_splits(spark, tmp_path, layout):
     root = tmp_path / "my train data" / "train"
     names = {
         "files": ("train-00000.jsonl", "test-00000.jsonl"),
         "folders": ("train/a.jsonl", "test/a.jsonl"),
         "partitions": ("split=train/a.jsonl", "split=test/a.jsonl"),
+        "other words": ("data/training_0.jsonl", "data/my-eval.jsonl"),
     }[layout]
     for name, rows in zip(names, ([ROW, ROW], [ROW])):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         write_lines(root / name, rows)
+    write_lines(root / "validation.jsonl", [ROW])
     splits = read_trajectories(spark, str(root))
     assert {name: df.count() for name, df in splits.items()} == {"train": 2, "test": 1}
     assert splits["train"].columns == ["advantage", "nll_seq", "origin_label", "prompt", "response"]
@@ -156,6 +158,28 @@ def test_store_uses_the_shared_folder(spark):
     assert df.count() == 5 and new_path(spark, "x") != new_path(spark, "x")
 
 
+def test_stored_tables_can_be_removed(spark, monkeypatch, tmp_path):
+    import trajloom.operators.store as module
+
+    monkeypatch.setattr(module, "shared_dir", lambda _: str(tmp_path))
+    (tmp_path / "trajloom" / "other-app").mkdir(parents=True)
+    store(spark.range(5), "numbers")
+    module.remove_stored(spark)
+    assert [p.name for p in (tmp_path / "trajloom").iterdir()] == ["other-app"]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "yarn"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_from_file_to_training_set_and_metrics(spark, tmp_path):
     root = tmp_path / "data"
     root.mkdir()

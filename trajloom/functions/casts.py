@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: the characters str.strip() removes. Java's \s and \p{Z} miss the
-# four separators 1C-1F and the next-line character 85.
-STRIP_CLASS = r"[\s\p{Z}\x1c-\x1f\x85]"
+# Fixed value: the characters that str.strip() removes.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Fixed value: what float() accepts once underscores between digits are gone.
 FLOAT_TEXT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
@@ -16,7 +19,7 @@ NAN_TEXT = r"^[+-]?(?i:nan)$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{STRIP_CLASS}+|{STRIP_CLASS}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def float_text(text: Column) -> Column:

@@ -23,7 +23,14 @@ def origin_flag(label: Column, dtype: T.DataType) -> Column:
     A number is taken as the flag itself, so 1 and true mean negative.
     """
     if isinstance(dtype, T.StringType):
-        return F.when(F.lower(strip(label)) == "negative", 1.0).otherwise(0.0)
+        tidy = F.lower(strip(label)) == "negative"
+        # The two usual spellings first: most rows then skip the cleaning.
+        return (
+            F.when(label == "negative", 1.0)
+            .when(label == "positive", 0.0)
+            .when(tidy, 1.0)
+            .otherwise(0.0)
+        )
     return F.coalesce(as_float(label, dtype), F.lit(0.0))
 
 
@@ -46,41 +53,36 @@ def capped_weight(ratio: Column, alpha: float) -> Column:
     return F.when(F.isnan(ratio), ratio).otherwise(clamped)
 
 
-def loss_columns(
-    policy_logps: Column,
-    old_logps: Column,
-    completion_len: Column,
-    advantage: Column | None = None,
-    origin_is_negative: Column | None = None,
-    options: LossOptions = LossOptions(),
-) -> dict[str, Column]:
-    """Loss, reward and diagnostics of one trajectory, by name.
+def loss_stages(
+    options: LossOptions = LossOptions(), with_advantage: bool = True, with_flag: bool = True
+) -> list[dict[str, Column]]:
+    """Loss, reward and diagnostics of one trajectory, as projections to apply in turn.
 
-    Without an advantage the default applies; without an origin flag every weight is 1.
+    Inputs are the columns ``policy_logps``, ``old_logps``, ``completion_len`` and, if
+    present, ``advantage`` and ``origin_is_negative``. Without an advantage the default
+    applies; without an origin flag every weight is 1. A stage only reads earlier ones,
+    so that the generated code computes each value once.
     """
-    if options.length_normalize:
-        pol, old = policy_logps / completion_len, old_logps / completion_len
-    else:
-        pol, old = policy_logps, old_logps
-    ratio = clipped_ratio(pol - old, options.clip_ratio_max)
-    w = capped_weight(ratio, options.alpha)
-    one = F.lit(1.0)
-    weight = one if origin_is_negative is None else (
-        F.when(flag_is_set(origin_is_negative), w).otherwise(one)
-    )
-    if options.use_dataset_advantage and advantage is not None:
-        gain = advantage
+    pol, old, size = F.col("policy_logps"), F.col("old_logps"), F.col("completion_len")
+    ratio, weight = F.col("ratio"), F.lit(1.0)
+    if with_flag:
+        weight = F.when(flag_is_set(F.col("origin_is_negative")), F.col("w")).otherwise(weight)
+    if with_advantage and options.use_dataset_advantage:
+        gain = F.col("advantage")
     else:
         gain = F.lit(float(options.default_advantage))
-    coef = -gain * weight
-    return {
-        "log_ratio": pol - old,
-        "ratio": ratio,
-        "w": w,
-        "weight": weight,
-        "advantage_used": gain,
-        "coef": coef,
-        "loss": coef * pol,
-        "reward": (policy_logps - old_logps) / completion_len,
-        "capped": (ratio >= float(options.alpha)) & ~F.isnan(ratio),
-    }
+    by = size if options.length_normalize else None
+    used_pol, used_old = (pol, old) if by is None else (pol / by, old / by)
+    return [
+        {"log_ratio": used_pol - used_old},
+        {"ratio": clipped_ratio(F.col("log_ratio"), options.clip_ratio_max)},
+        {"w": capped_weight(ratio, options.alpha)},
+        {
+            "weight": weight,
+            "advantage_used": gain,
+            "reward": (pol - old) / size,
+            "capped": (ratio >= float(options.alpha)) & ~F.isnan(ratio),
+        },
+        {"coef": -F.col("advantage_used") * F.col("weight")},
+        {"loss": F.col("coef") * used_pol},
+    ]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajloom.functions.casts import as_float, as_float_or_raise
-from trajloom.functions.offpolicy import advantage_or_default, loss_columns, origin_flag
+from trajloom.functions.offpolicy import advantage_or_default, loss_stages, origin_flag
 from trajloom.functions.templates import render
 from trajloom.options import LossOptions, TokenOptions
 
@@ -67,12 +67,10 @@ def model_batch(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def with_loss(df: DataFrame, options: LossOptions = LossOptions()) -> DataFrame:
     """Add the loss columns to rows that have scores and the enriched columns."""
-    advantage = F.col(ADVANTAGE) if ADVANTAGE in df.columns else None
-    flag = F.col("origin_is_negative") if "origin_is_negative" in df.columns else None
-    columns = loss_columns(
-        F.col("policy_logps"), F.col("old_logps"), F.col("completion_len"), advantage, flag, options
-    )
-    return df.withColumns(columns)
+    known = set(df.columns)
+    for stage in loss_stages(options, ADVANTAGE in known, "origin_is_negative" in known):
+        df = df.withColumns(stage)
+    return df
 
 
 def apply_template(df: DataFrame, options: TokenOptions = TokenOptions()) -> DataFrame:

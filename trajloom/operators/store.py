@@ -28,8 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark).rstrip('/')}/trajloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/trajloom/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete all tables this application has stored; call it once their readers are done."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

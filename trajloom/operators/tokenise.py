@@ -50,7 +50,7 @@ def encode(
     found = lookup_join(tokens, table, ["token"], [id_col, "field", "pos"], small, hot_rows)
     item = F.struct("field", "pos", F.coalesce("token_id", F.lit(unk_id)).alias("id"))
     coded = found.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), item))).alias("_items")
+        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), item))).alias("_items")
     )
     coded = coded.select(id_col, *[_ids_of(i, column) for i, column in enumerate(columns)])
     return df.join(coded, id_col)

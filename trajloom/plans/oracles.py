@@ -313,8 +313,8 @@ SELECT origin_label, {metric_list()} FROM losses GROUP BY origin_label""",
 named AS (SELECT *, CASE WHEN origin_is_negative > 0.5E0 THEN 'negative' ELSE 'positive' END AS origin FROM losses)
 SELECT domain, origin, GROUPING(domain, origin) AS level, {metric_list()}
 FROM named GROUP BY ROLLUP (domain, origin)""",
-    "eval_metrics": f"""WITH {NUMERIC}, negatives AS (SELECT * FROM numbers WHERE origin_label = 'negative'),
-{losses("negatives")} SELECT {metric_list(prefix="eval_")} FROM losses""",
+    "eval_metrics": f"""WITH {NUMERIC}, {losses("numbers", carry="origin_label,")}
+SELECT origin_label, {metric_list(prefix="eval_")} FROM losses GROUP BY origin_label""",
     "expert_mix": f"""WITH {MIXED}
 SELECT domain, COUNT(*) AS samples, COUNT(prompt) AS prompts, COUNT(advantage) AS advantages,
   round(SUM(nll_seq), 4) AS nll_sum FROM mixed GROUP BY domain""",

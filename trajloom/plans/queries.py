@@ -146,10 +146,9 @@ def expert_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics outside training carry a prefix; here of the rows of negative origin."""
-    rows = numeric_trajectories(spark, sf_dir)
-    result = metrics(losses(rows.where(F.col("origin_label") == "negative")))
-    return rounded(with_prefix(result, "eval_", ["samples"]))
+    """Metrics under the prefix they carry outside training."""
+    result = metrics(losses(numeric_trajectories(spark, sf_dir)), ["origin_label"])
+    return rounded(with_prefix(result, "eval_", ["origin_label", "samples"]))
 
 
 # --- Columns ------------------------------------------------------------------

@@ -23,7 +23,14 @@ KEPT_COLUMNS = ["prompt", "response", "nll_seq", "advantage", "origin_label"]
 TRAIN, TEST = "train", "test"
 SCHEMA_ROWS = 1000
 URI_START = r"^[A-Za-z0-9+.-]+:(//[^/]*)?"
-SPLIT_WORD = r"(?:^|[^A-Za-z0-9])(train|test)(?:[^A-Za-z0-9]|$)"
+# The words that name a split in a file or folder name.
+SPLIT_WORDS = {
+    "train": ["train", "training"],
+    "validation": ["validation", "valid", "dev", "val"],
+    "test": ["test", "testing", "eval", "evaluation"],
+}
+SPLIT_OF = {word: split for split, words in SPLIT_WORDS.items() for word in words}
+SPLIT_WORD = rf"(?:^|[^A-Za-z0-9])({'|'.join(SPLIT_OF)})(?:[^A-Za-z0-9]|$)"
 
 
 def file_format(path: str) -> str | None:
@@ -99,9 +106,10 @@ def read_directory(
 ) -> dict[str, DataFrame]:
     """A dataset directory. Files or folders named after a split hold that split.
 
-    The split is taken from the file path, so no data is read to find the splits, and a
-    filter on the split skips the other files. Without any split name all rows are
-    training rows.
+    Training needs ``train``; ``test`` is used if there; ``validation`` files are left
+    alone. The split is taken from the file path, so no data is read to find the
+    splits, and a filter on the split skips the other files. Without any split name all
+    rows are training rows.
     """
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -121,15 +129,19 @@ def read_directory(
 
 
 def file_split(file: str, root: str) -> str | None:
-    """``train`` or ``test`` when it is a word of the path below the root."""
+    """The split named by a word of the path below the root, if any."""
     word = re.search(SPLIT_WORD, re.sub(URI_START, "", file)[len(root):])
-    return word and word.group(1)
+    return word and SPLIT_OF[word.group(1)]
 
 
 def split_column(file: Column, root: str) -> Column:
-    """:func:`file_split` as a Column; empty text without a split."""
+    """:func:`file_split` as a Column."""
     below = F.substring(F.regexp_replace(file, URI_START, ""), len(root) + 1, 1 << 20)
-    return F.regexp_extract(below, SPLIT_WORD, 1)
+    word = F.regexp_extract(below, SPLIT_WORD, 1)
+    split = F.lit(None)
+    for name, words in SPLIT_WORDS.items():
+        split = F.when(word.isin(words), name).otherwise(split)
+    return split
 
 
 def select_split(df: DataFrame, name: str, split: str = "split") -> DataFrame:
