@@ -8,6 +8,7 @@ from trajloom.operators.batching import assign_batches
 from trajloom.operators.enrich import enrich, with_loss
 from trajloom.operators.metrics import metrics
 from trajloom.operators.policy import completion_tokens
+from trajloom.operators.store import store
 from trajloom.operators.tokenise import build_vocabulary, encode
 from trajloom.plans.queries import QUERIES
 from trajloom.sources.tables import numeric_trajectories, table
@@ -59,7 +60,7 @@ def test_numbering_has_no_window_over_all_rows(spark):
 
 def test_encoding_shuffles_texts_not_tokens(spark):
     texts = table(spark, SF, "documents").select("doc_id", "text")
-    words = build_vocabulary(texts, ["text"])
+    words = store(build_vocabulary(texts, ["text"]), "words")
     text = plan(encode(texts, ["text"], words, "doc_id"))
     side = text[text.index("collect_list"):]
     # Below the aggregate there is one shuffle, and it comes before the split.
