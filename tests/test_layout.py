@@ -134,6 +134,8 @@ def conversations():
 def plain_pairs(turns):
     out, groups = set(), {}
     for conv, turn, role, text in turns:
+        if conv is None:
+            continue
         groups.setdefault(conv, []).append((turn, role, text))
     for conv, rows in groups.items():
         rows.sort()

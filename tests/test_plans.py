@@ -8,6 +8,7 @@ from trajloom.operators.batching import assign_batches
 from trajloom.operators.enrich import enrich, with_loss
 from trajloom.operators.metrics import metrics
 from trajloom.operators.policy import completion_tokens
+from trajloom.operators.replay import replay_pairs
 from trajloom.operators.store import store
 from trajloom.operators.tokenise import build_vocabulary, encode
 from trajloom.plans.queries import QUERIES
@@ -68,6 +69,17 @@ def test_encoding_shuffles_texts_not_tokens(spark):
     assert side.index("Generate") < side.index("Exchange hashpartitioning")
 
 
+def test_pairs_shuffle_the_texts_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = replay_pairs(table(spark, SF, "conversations"))
+        df.collect()
+        text = plan(df).split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("FileScan") == 1 and text.count("ReusedExchange") == 1
+
+
 def test_exploded_rows_carry_no_arrays(spark):
     df = spark.createDataFrame([(1, [1, 2], [1, 2])], "traj_id int, input_ids array<int>, labels array<int>")
     out = completion_tokens(df, ["traj_id"])

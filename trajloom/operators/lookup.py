@@ -53,15 +53,17 @@ def lookup_join(
     spread: list[str],
     broadcast: bool,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` to ``table`` on ``keys``.
 
     ``broadcast`` is the result of :func:`fits_broadcast`; ``spread`` names columns
-    that tell rows of one key apart. All rows are kept, null keys too.
+    that tell rows of one key apart. All rows are kept, null keys too. ``counted`` holds
+    the same keys as ``rows`` where those are dear to compute.
     """
     if broadcast:
         return rows.join(F.broadcast(table), keys, "left")
-    hot = hot_keys(rows, keys, hot_rows).withColumn("_hot", F.lit(True))
+    hot = hot_keys(rows if counted is None else counted, keys, hot_rows).withColumn("_hot", F.lit(True))
     # Null keys match nothing; salted too, they do not pile up in one task.
     salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(

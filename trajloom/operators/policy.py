@@ -104,7 +104,9 @@ def score_tokens(
     k, v = float(policy.smoothing), float(policy.vocab_size)
     seen = F.coalesce(F.col("n"), F.lit(0.0)) + k
     if policy.is_bigram:
-        found = lookup_join(found, policy.contexts, ["prev"], spread, small_contexts, hot_rows)
+        found = lookup_join(
+            found, policy.contexts, ["prev"], spread, small_contexts, hot_rows, counted=tokens
+        )
         whole = F.coalesce(F.col("total"), F.lit(0.0)) + k * v
     else:
         whole = F.lit(policy.total + k * v)

@@ -25,36 +25,41 @@ def replay_pairs(
 
     The previous turn is looked up inside chunks of turn numbers, and the last turn of
     each chunk is handed to the next one, so a conversation of any length is spread
-    over many tasks. (conversation, turn) must be unique.
+    over many tasks. (conversation, turn) must be unique; turns without either are no
+    part of a conversation. The texts are shuffled once, for both lookups.
     """
-    rows = turns.select(
+    rows = turns.where(F.col(conversation).isNotNull() & F.col(turn).isNotNull()).select(
         F.col(conversation).alias("group_id"),
         F.col(turn).alias("turn"),
         F.col(role).alias("role"),
         F.col(text).alias("text"),
-        F.floor(F.col(turn) / chunk).alias("_chunk"),
+        F.call_function("div", F.col(turn), F.lit(chunk)).alias("_chunk"),
     )
-    place = ["group_id", "_chunk"]
-    # Only a user's text can become a prompt.
-    said = F.struct(F.when(F.col("role") == "user", F.col("text")).alias("prompt"))
-    inside = Window.partitionBy(*place).orderBy("turn")
+    inside = Window.partitionBy("group_id", "_chunk").orderBy("turn")
     rows = rows.withColumns(
         {
-            "_said": said,
-            "_previous": F.lag(said).over(inside),
-            "_is_last": F.lead(F.lit(True), 1, False).over(inside) == F.lit(False),
+            "_role": F.lag("role").over(inside),
+            "_text": F.lag("text").over(inside),
+            "_is_first": F.lag(F.lit(False), 1, True).over(inside),
+            "_is_last": F.lead(F.lit(False), 1, True).over(inside),
         }
     )
     chunks = Window.partitionBy("group_id").orderBy("_chunk")
     edges = rows.where("_is_last").select(
-        F.col("group_id").alias("_group"),
-        F.col("_chunk").alias("_at"),
-        F.lag("_said").over(chunks).alias("_edge"),
+        "group_id",
+        "_chunk",
+        F.lag("role").over(chunks).alias("_edge_role"),
+        F.lag("text").over(chunks).alias("_edge_text"),
+    )
+    # Placed like the rows, so that the join moves only the few edges.
+    edges = edges.where(F.col("_edge_role").isNotNull()).repartition("group_id", "_chunk")
+    before = F.when(F.col("_is_first"), F.col("_edge_role")).otherwise(F.col("_role"))
+    prompt = F.when(F.col("_is_first"), F.col("_edge_text")).otherwise(F.col("_text"))
+    pairs = rows.join(edges, ["group_id", "_chunk"], "left").withColumns(
+        {"_before": before, "prompt": prompt}
     )
-    same_chunk = F.col("group_id").eqNullSafe(F.col("_group")) & F.col("_chunk").eqNullSafe(F.col("_at"))
-    prompt = F.coalesce("_previous", "_edge")["prompt"]
-    pairs = rows.join(edges, same_chunk).withColumn("prompt", prompt)
-    return pairs.where((F.col("role") == "assistant") & F.col("prompt").isNotNull()).select(
+    is_pair = (F.col("role") == "assistant") & (F.col("_before") == "user")
+    return pairs.where(is_pair & F.col("prompt").isNotNull()).select(
         F.concat_ws(":", F.col("group_id").cast("string"), F.col("turn").cast("string")).alias("traj_id"),
         "group_id",
         "turn",
