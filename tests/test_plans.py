@@ -72,7 +72,7 @@ def test_encoding_shuffles_texts_not_tokens(spark):
 def test_pairs_shuffle_the_texts_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = replay_pairs(table(spark, SF, "conversations"))
+        df = replay_pairs(table(spark, SF, "conversations"), chunk=1)
         df.collect()
         text = plan(df).split("Initial Plan")[0]
     finally:
