@@ -26,12 +26,33 @@ MEANS = {
 METRIC_NAMES = [*MEANS, "frac_capped", "frac_origin_negative", "length_normalize"]
 
 
-def metric_columns(options: LossOptions = LossOptions(), with_flag: bool = True) -> list[Column]:
-    columns = [F.avg(source).alias(name) for name, source in MEANS.items()]
-    columns.append(F.avg(F.col("capped").cast("double")).alias("frac_capped"))
+def metric_values(with_flag: bool = True) -> dict[str, Column]:
+    """What each metric is the mean of."""
+    values = {name: F.col(source) for name, source in MEANS.items()}
+    values["frac_capped"] = F.col("capped").cast("double")
     if with_flag:
-        is_set = flag_is_set(F.col("origin_is_negative"))
-        columns.append(F.avg(is_set.cast("double")).alias("frac_origin_negative"))
+        values["frac_origin_negative"] = flag_is_set(F.col("origin_is_negative")).cast("double")
+    return values
+
+
+def metric_columns(options: LossOptions = LossOptions(), with_flag: bool = True) -> list[Column]:
+    columns = [F.avg(value).alias(name) for name, value in metric_values(with_flag).items()]
     # A constant, but written as an aggregate so that it sits in any groupBy.
-    columns.append(F.max(F.lit(float(options.length_normalize))).alias("length_normalize"))
-    return columns
+    return [*columns, F.max(F.lit(float(options.length_normalize))).alias("length_normalize")]
+
+
+def metric_parts(with_flag: bool = True) -> list[Column]:
+    """Sum and count of each metric, to be combined by :func:`metrics_of_parts`."""
+    return [
+        part
+        for name, value in metric_values(with_flag).items()
+        for part in (F.sum(value).alias(f"{name}_sum"), F.count(value).alias(f"{name}_n"))
+    ]
+
+
+def metrics_of_parts(options: LossOptions = LossOptions(), with_flag: bool = True) -> list[Column]:
+    means = [
+        (F.sum(f"{name}_sum") / F.nullif(F.sum(f"{name}_n"), F.lit(0))).alias(name)
+        for name in metric_values(with_flag)
+    ]
+    return [*means, F.max(F.lit(float(options.length_normalize))).alias("length_normalize")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajloom.functions.metrics import metric_columns
+from trajloom.functions.metrics import metric_columns, metric_parts, metrics_of_parts
 from trajloom.options import LossOptions
 
 
@@ -21,11 +21,16 @@ def metrics(
 def metrics_rollup(
     df: DataFrame, by: list[str], options: LossOptions = LossOptions()
 ) -> DataFrame:
-    """Metrics per group and for each coarser level. ``level`` tells the levels apart."""
-    return df.rollup(*by).agg(
+    """Metrics per group and for each coarser level. ``level`` tells the levels apart.
+
+    The rows are summed once, per finest group; only those sums are rolled up.
+    """
+    with_flag = "origin_is_negative" in df.columns
+    finest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_samples"), *metric_parts(with_flag))
+    return finest.rollup(*by).agg(
         F.grouping_id().cast("bigint").alias("level"),
-        F.count(F.lit(1)).alias("samples"),
-        *_columns(df, options),
+        F.sum("_samples").alias("samples"),
+        *metrics_of_parts(options, with_flag),
     )
 
 

@@ -286,9 +286,10 @@ def step_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pad_batches_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text_tokens(spark, sf_dir).select("traj_id", "input_ids", "attention_mask", "labels")
-    placed = rows.join(assign_batches(rows, "traj_id", RUN), "traj_id")
+    base = text_trajectories(spark, sf_dir)
     lists = ["input_ids", "attention_mask", "labels"]
+    rows = tokenised(base, options=PADDED).select("traj_id", *lists)
+    placed = rows.join(assign_batches(base, "traj_id", RUN), "traj_id")
     return pad_batches(placed, PADDED).select(
         "traj_id", *BATCH_KEYS, F.col("batch_max_len").cast("bigint").alias("batch_max_len"),
         *[shown(F.col(c)).alias(c) for c in lists],
@@ -535,10 +536,10 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_set_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text_tokens(spark, sf_dir)
-    ready = store(model_batch(enrich(rows), ["traj_id"]), "ready")
+    base = text_trajectories(spark, sf_dir)
+    ready = model_batch(enrich(tokenised(base, options=PADDED)), ["traj_id"])
     path = new_path(spark, "training-set")
-    assignment = assign_batches(ready, "traj_id", RUN)
+    assignment = assign_batches(base, "traj_id", RUN)
     save_training_set(training_set(ready, assignment, "traj_id", PADDED, 4), path)
     back = spark.read.parquet(path)
     return rounded(
@@ -573,7 +574,9 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed."""
-    return rounded(drain(windowed_metrics(event_feed(spark, sf_dir)), "stream-metrics"))
+    rows = drain(windowed_metrics(event_feed(spark, sf_dir)), "stream-metrics")
+    edges = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return rounded(rows.withColumns(edges))
 
 
 QUERIES: dict[str, Query] = {
