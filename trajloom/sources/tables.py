@@ -79,7 +79,7 @@ def numeric_trajectories(spark: SparkSession, sf_dir: str, null_nll: bool = Fals
 def event_trajectories(events: DataFrame) -> DataFrame:
     """Trajectories of an event feed; the same for a static table and for a stream.
 
-    Values are divided by 3 and 9, so that means of a few of them have no short decimal
+    Values are divided by 3 and 90, so that means of a few of them have no short decimal
     form whose rounding would hang on the order of a sum.
     """
     nll = F.col("value") / 3.0 + 1.0
