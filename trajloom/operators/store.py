@@ -7,6 +7,7 @@ unlike a row checkpoint it keeps column pruning and file statistics.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,11 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only if all runs in one JVM."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
