@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import packing, sharding, token_store
+from trajloom.llm import langid, licenses, packing, sharding, token_store, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.packed_documents,
     "op2_sharding": sharding.shard_documents,
+    "op3_license_scan": licenses.license_documents,
+    "op7_exact_topk": topk.nearest_embeddings,
+    "op8_language_id": langid.identify_documents,
+    "op9_warc": warc.archived_pages,
     "op10_token_files": token_store.token_documents,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_topk": topk.ORACLE,
+    "op9_warc": warc.ORACLE,
+}
