@@ -161,10 +161,10 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -
         inside = np.arange(len(text)) - np.repeat(np.cumsum(full) - full, full)
         out[out_bounds[text] + inside] = runs[bounds[text] + inside]
     for i in np.flatnonzero(short).tolist():
-        run = words[bounds[i]]
+        run = words[bounds[i] : bounds[i] + 1]
         for k in range(bounds[i] + 1, bounds[i + 1]):
-            run = mix(run[None])[0] + words[k]
-        out[out_bounds[i]] = mix(run[None] + np.uint64(counts[i]))[0]
+            run = mix(run) + words[k : k + 1]
+        out[out_bounds[i]] = mix(run + np.uint64(counts[i]))[0]
     return mix(out), out_bounds
 
 
