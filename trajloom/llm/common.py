@@ -8,8 +8,9 @@ property of each byte, so whole batches of texts are cut and hashed as one byte
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -243,8 +244,9 @@ class CachedEncoder:
 
     ``kind`` tells where a text may be cut without changing ids: at each single space of a
     byte-level vocabulary that keeps spaces (``spaced``), or at any space of one that drops
-    them (``dropped``). Texts with longer white space are cut nowhere in the first kind.
-    The memory holds at most ``words`` entries; it is emptied when full.
+    them (``dropped``). Texts with longer white space are cut nowhere in the first kind. New
+    words are encoded many at a time, with a word between them whose id is known. The
+    memory is emptied when it holds ``words`` entries.
     """
 
     def __init__(self, path: str, kind: str, end_id: int, words: int = 600_000):
@@ -254,39 +256,61 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.words = {"spaced": True, "dropped": False}[kind], words
         self.end = np.array([end_id], "<u4").tobytes()
+        self.between = "\n" if self.spaced else " | "
+        (self.between_id,) = self._ids(self.between)
+        # Words in which the divider, white space or a special token may hide go alone.
+        self.odd = re.compile(r"\s|\||<" if not self.spaced else r"\s|<")
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, with the end id."""
-        import re
-
-        if not text:
-            return self.end
-        if self.spaced:
-            if re.search(r"\s ", text):
-                return self._ids([text])[0] + self.end
-            head, *chunks = text.split(" ")
-            head = self._ids([head])[0] if head else b""
-        else:
-            head, chunks = b"", text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return head + b"".join([known[c] for c in chunks]) + self.end
-        except KeyError:
-            new = list({c for c in chunks if c not in known})
-        ids = self._ids([f" {c}" for c in new] if self.spaced else new)
-        if len(known) + len(new) > self.words:
-            known.clear()
-            new = list(set(chunks))
-            ids = self._ids([f" {c}" for c in new] if self.spaced else new)
-        if len(new) > self.words:
-            return head + self._ids([text])[0][len(head) :] + self.end
-        known.update(zip(new, ids))
-        return head + b"".join([known[c] for c in chunks]) + self.end
+        self.heads: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: Iterable[str], known: dict[str, bytes], lead: str) -> None:
+        plain = []
+        for word in words:
+            if not word or self.odd.search(word):
+                known[word] = np.array(self._ids(lead + word), "<u4").tobytes()
+            else:
+                plain.append(word)
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self._ids(self.between.join([lead + w for w in some])), "<u4")
+            cuts = np.flatnonzero(ids == self.between_id)
+            if len(cuts) != len(some) - 1:
+                raise ValueError("the divider of words is not a word of its own in this vocabulary")
+            starts, ends, ids = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
+            known.update(zip(some, [ids[a:b] for a, b in zip(starts, ends)]))
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, with the end id, of each text."""
+        cut, heads, new = [], set(), set()
+        for text in texts:
+            if self.spaced:
+                if text and re.search(r"\s ", text):
+                    cut.append(None)
+                    continue
+                head, *chunks = (text or "").split(" ")
+                heads.add(head)
+                cut.append((head, chunks))
+            else:
+                chunks = (text or "").replace("\n", " ").split(" ")
+                cut.append(("", chunks))
+            new.update(chunks)
+        for known, found, lead in ((self.heads, heads, ""), (self.known, new, " " if self.spaced else "")):
+            missing = found.difference(known)
+            if len(known) + len(missing) > self.words:
+                known.clear()
+                missing = found
+            self._learn(missing, known, lead)
+        out, known = [], self.known
+        for text, parts in zip(texts, cut):
+            if parts is None:
+                out.append(np.array(self._ids(text), "<u4").tobytes() + self.end)
+            else:
+                head = self.heads[parts[0]] if self.spaced else b""
+                out.append(head + b"".join([known[c] for c in parts[1]]) + self.end)
+        return out
 
 
 _ENCODERS: dict[tuple, CachedEncoder] = {}

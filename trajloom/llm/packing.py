@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajloom.llm.common import crc32, encoder, running_sums, table, tagged
+from trajloom.llm.common import crc32, encoder, running_sums, slices, table, tagged
 
 CAPACITY = 2048
 #: The rank of a remainder stays below 2**RANK_BITS.
@@ -132,11 +132,10 @@ def tokenised(df: DataFrame, tokenizer: str, kind: str, end_id: int, keep: list[
     """Written: the kept columns, ``_row``, ``n_tokens`` and the packed ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = encoder(tokenizer, kind, end_id).encode, zstandard.ZstdCompressor(level=1, write_content_size=True)
+        encode, pack = encoder(tokenizer, kind, end_id).encode_many, zstandard.ZstdCompressor(level=1, write_content_size=True)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [encode(t.as_py()) for t in part.column("text")]
+            for part in slices(batch, "text"):
+                ids = encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([pack_ids(pack, i) for i in ids], pa.binary())],
                     names=[*keep, "n_tokens", "ids"],

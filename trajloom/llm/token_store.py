@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajloom.llm.common import crc32, encoder, open_folder, shared_folder, table
+from trajloom.llm.common import crc32, encoder, open_folder, shared_folder, slices, table
 from trajloom.operators.store import store
 
 # Fixed values of the zstandard formats: skippable frames and the seek table.
@@ -113,14 +113,15 @@ def write_token_files(df: DataFrame, tokenizer: str, kind: str, end_id: int, wid
         from pyspark import TaskContext
 
         part, writer, name = TaskContext.get().partitionId(), None, f"{uuid.uuid4().hex}.zst"
-        encode = encoder(tokenizer, kind, end_id).encode
+        encode = encoder(tokenizer, kind, end_id).encode_many
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for rows_in in slices(batch, "text"):
                 if writer is None:
                     files, path = open_folder(folder)
                     files.create_dir(path, recursive=True)
                     writer = TokenFileWriter(files.open_output_stream(f"{path}/{name}", compression=None), width)
-                writer.add(doc_id, np.frombuffer(encode(text.as_py()), "<u4"))
+                for doc_id, ids in zip(rows_in.column("doc_id").to_pylist(), encode(rows_in.column("text").to_pylist())):
+                    writer.add(doc_id, np.frombuffer(ids, "<u4"))
         if writer is not None:
             writer.close()
             row = [[part], [f"{folder}/{name}"], [width], [len(writer.entries)], [writer.tokens], [writer.bytes]]
