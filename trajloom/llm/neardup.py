@@ -17,6 +17,7 @@ triangle inequality, already rule a link out. Every comparison is exact, on whol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -191,14 +192,9 @@ def components(links: DataFrame, ranks: DataFrame) -> DataFrame:
     return ranks.join(labels, "node", "left").select("node", F.coalesce("label", own).alias("label"))
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, class_id) for each row of ``docs`` (doc_id, text).
-
-    ``class_id`` is the smallest doc_id of the class, null if no row of it has one. Rows with
-    equal texts are one class. Texts without words are alike only if equal; a null text is a
-    class of its own doc_id, and has a null key. Classes are the connected components of
-    links of at least ``threshold``.
-    """
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and (key, rank, node, label) of each distinct text: its smallest id,
+    and as label the rank and node of the text that stands for its class."""
     sketches = sketch(docs, bands, rows, size)
     nodes = sketches.where(F.col("key").isNotNull()).groupBy("key")
     nodes = nodes.agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rank"), F.first("bands").alias("bands"))
@@ -211,8 +207,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     # Only texts that are in some pair are read again.
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = wanted.join(nodes.select("node", "key", "rank"), "node")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rank"), text_key(F.col("text")).alias("key"), "text")
     # Of equal texts one row is enough: that with the smallest id, and of those any.
+    texts = docs.select(rank_of("doc_id").alias("rank"), text_key(F.col("text")).alias("key"), "text")
     found = texts.join(wanted, ["key", "rank"]).select("node", "text")
     bags = store(packed_multisets(found, size).dropDuplicates(["node"]), "bags")
     links = compared(pairs, bags)
@@ -222,10 +218,46 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     if not rest.isEmpty():
         more = compared(rest, bags).where(F.col("similarity") >= threshold)
         labels = components(near.select("a", "b").union(more.select("a", "b")), ranks)
-    classes = nodes.join(labels, "node").select("key", F.col("label.rank").alias("class_id"))
-    rows_out = sketches.select("doc_id", "key").join(classes, "key", "left")
-    class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.when(F.col("class_id") != NO_ID, F.col("class_id")))
-    return rows_out.select("doc_id", "key", class_id.alias("class_id"))
+    return sketches, nodes.drop("bands").join(labels, "node")
+
+
+def rank_of(doc_id: str) -> Column:
+    """The id as a rank: no id comes last."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, class_id) for each row of ``docs`` (doc_id, text).
+
+    ``class_id`` is the smallest doc_id of the class, null if no row of it has one. Rows with
+    equal texts are one class. Texts without words are alike only if equal; a null text is a
+    class of its own doc_id. Classes are the connected components of links of at least
+    ``threshold``. Further columns are not read.
+    """
+    sketches, texts = text_classes(docs, threshold, bands, rows, size)
+    classes = texts.select("key", F.col("label.rank").alias("class_id"))
+    rows_out = sketches.join(classes, "key", "left")
+    class_id = F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("class_id") != NO_ID, F.col("class_id"))
+    return rows_out.select("doc_id", class_id.alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns: of each class the one with the smallest doc_id.
+
+    Of rows that agree in id and text any one stays; rows with a null text all stay.
+    """
+    sketches, texts = text_classes(docs, threshold)
+    kept = texts.where(F.col("label.node") == F.col("node")).select("key", "rank")
+    copies = sketches.groupBy("key", rank_of("doc_id").alias("rank")).agg(F.count(F.lit(1)).alias("copies"))
+    kept = store(kept.join(copies, ["key", "rank"]), "kept")
+    rows = docs.select(F.struct("*").alias("doc"), text_key(docs["text"]).alias("key"), rank_of("doc_id").alias("rank"))
+    single = rows.join(kept.where(F.col("copies") == 1).select("key", "rank"), ["key", "rank"], "left_semi")
+    parts = [single.select("doc.*"), docs.where(docs["text"].isNull())]
+    repeated = kept.where(F.col("copies") > 1).select("key", "rank")
+    if not repeated.isEmpty():
+        again = rows.join(repeated, ["key", "rank"], "left_semi")
+        parts.append(again.groupBy("key", "rank").agg(F.first("doc").alias("doc")).select("doc.*"))
+    return reduce(DataFrame.union, parts)
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
@@ -246,4 +278,4 @@ def rest_pairs(members: DataFrame, labels: DataFrame, links: DataFrame, threshol
 
 def document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each row of ``documents``."""
-    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))

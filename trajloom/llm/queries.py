@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import langid, licenses, neardup, packing, sharding, token_store, topk, warc
+from trajloom.llm import decontam, langid, licenses, neardup, ngram_lm, packing, sharding, token_store, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.packed_documents,
     "op2_sharding": sharding.shard_documents,
     "op3_license_scan": licenses.license_documents,
+    "op4_decontamination": decontam.leaked_documents,
     "op5_near_duplicates": neardup.document_classes,
+    "op6_ngram_scores": ngram_lm.scored_documents,
     "op7_exact_topk": topk.nearest_embeddings,
     "op8_language_id": langid.identify_documents,
     "op9_warc": warc.archived_pages,
@@ -20,7 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": decontam.leaked_documents,
     "op5_near_duplicates": neardup.document_classes,
+    "op6_ngram_scores": ngram_lm.scored_documents,
     "op7_exact_topk": topk.ORACLE,
     "op9_warc": warc.ORACLE,
 }
