@@ -8,10 +8,10 @@ point over all processes, so two texts agree in a component with exactly their w
 Jaccard similarity. Processes stop at the largest component found so far.
 
 Equal texts are one node. Signatures are cut into bands; nodes that share a band are
-candidates. Each bucket's nodes are first compared with the bucket's first node alone.
-The links found so far give classes, and only nodes of a bucket that are still in different
-classes are compared with each other, unless their distances from the first node, by the
-triangle inequality, already rule a link out. Every comparison is exact, on whole multisets.
+candidates. Each bucket's nodes are first compared with the bucket's leader alone, the node
+with the most company. The links found so far give classes, and only nodes of a bucket that
+are still in different classes are compared with each other, and only if what each of them
+shares with the leader leaves room for a link. Every comparison is exact, on whole multisets.
 """
 
 from __future__ import annotations
@@ -200,9 +200,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     nodes = nodes.agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rank"), F.first("bands").alias("bands"))
     nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     ranks = nodes.select("node", "rank")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    first = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = store(members.join(first.select("bucket", "a"), "bucket"), "buckets")
+    members = buckets(nodes)
     pairs = store(members.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), "pairs")
     # Only texts that are in some pair are read again.
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -212,15 +210,30 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     found = texts.join(wanted, ["key", "rank"]).select("node", "text")
     bags = store(packed_multisets(found, size).dropDuplicates(["node"]), "bags")
     links = compared(pairs, bags)
-    near = links.where(F.col("similarity") >= threshold)
-    labels = components(near, ranks)
-    rest = rest_pairs(members, labels, links, threshold)
+    labels = components(links.where(F.col("similarity") >= threshold), ranks)
+    rest = rest_pairs(members, labels, links, bags, threshold)
     if not rest.isEmpty():
-        more = compared(rest, bags).where(F.col("similarity") >= threshold)
-        labels = components(near.select("a", "b").union(more.select("a", "b")), ranks)
+        links = links.union(compared(rest, bags))
+        labels = components(links.where(F.col("similarity") >= threshold), ranks)
     return sketches, nodes.drop("bands").join(labels, "node")
 
 
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(node, bucket, a) for every bucket of two nodes or more, written; ``a`` leads it.
+
+    The leader is the node with the most company over all its buckets: the text that the
+    others are copies of agrees with each of them in more bands than they do with each other.
+    """
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    members = store(members.join(sizes, "bucket"), "members")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    known = members.select("node", "bucket").join(company, "node")
+    leaders = known.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("_lead"))
+    leaders = leaders.select("bucket", (-F.col("_lead.node")).alias("a"))
+    return store(members.select("node", "bucket").join(leaders, "bucket"), "buckets")
+
+
 def rank_of(doc_id: str) -> Column:
     """The id as a rank: no id comes last."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
@@ -260,20 +273,74 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket that are in different classes, were not compared yet, and whose
-    distances from the bucket's first node do not rule a link out; written."""
+RELATION = T.StructType(
+    [T.StructField("common", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("lead", T.LongType()), T.StructField("more", T.ArrayType(T.LongType()))]
+)
+
+
+@F.pandas_udf(RELATION)
+def relation(n_a: pd.Series, bag_a: pd.Series, n_b: pd.Series, bag_b: pd.Series) -> pd.DataFrame:
+    """What b shares with a, both weights, and the shingles that b has more often than a."""
+    out = []
+    for n, x, m, y in zip(n_a, bag_a, n_b, bag_b):
+        (has_a, count_a), (has_b, count_b) = unpacked(n, x), unpacked(m, y)
+        _, i, j = np.intersect1d(has_a, has_b, assume_unique=True, return_indices=True)
+        more = np.ones(len(has_b), bool)
+        more[j] = count_b[j] > count_a[i]
+        out.append((int(np.minimum(count_a[i], count_b[j]).sum()), int(count_b.sum()), int(count_a.sum()), has_b[more].view(np.int64)))
+    return pd.DataFrame(out, columns=RELATION.names)
+
+
+def rest_pairs(members: DataFrame, labels: DataFrame, links: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a bucket that are in different classes, were not compared yet, and that may be
+    linked for all that their relation to the bucket's leader tells; written.
+
+    Of a pair (x, y) with a link, let x not be linked to the leader. Either x and y have some
+    shingle more often than the leader has it; such pairs meet on (leader, shingle). Or all
+    they share is in the leader, and so is no more than what either shares with it, which
+    bounds the weight of each by that of the other; such pairs meet on (leader, class of
+    weights). Without either there is no link.
+    """
     rows = members.join(labels.select("node", F.col("label.node").alias("own")), "node")
     mixed = rows.groupBy("bucket").agg(F.min("own").alias("_least"), F.max("own").alias("_most"))
     mixed = mixed.where(F.col("_least") != F.col("_most")).select("bucket")
-    rows = rows.join(mixed, "bucket").where(F.col("node") != F.col("a"))
-    far = links.select("a", F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    rows = store(rows.join(far, ["a", "node"]).select("bucket", "node", "own", "far"), "mixed")
-    x, y = rows.alias("x"), rows.alias("y")
-    close = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & close)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return store(pairs.join(links, ["a", "b"], "left_anti"), "rest")
+    rows = rows.join(mixed, "bucket").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"), "own").distinct()
+    left = bags.select(F.col("node").alias("a"), F.col("n").alias("_n_a"), F.col("bag").alias("_bag_a"))
+    right = bags.select(F.col("node").alias("b"), F.col("n").alias("_n_b"), F.col("bag").alias("_bag_b"))
+    related = rows.join(right, "b").join(left, "a")
+    related = store(related.select("a", "b", "own", relation("_n_a", "_bag_a", "_n_b", "_bag_b").alias("r")).select("a", "b", "own", "r.*"), "related")
+    t = F.lit(threshold)
+    # A little more than the bound, so that rounding loses no pair that just meets it.
+    room = ((1 + t) * F.col("common") - t * F.col("weight")) / t + 1e-6
+    size = lambda w: F.floor(F.ln(w) / F.log(F.lit(1.05)))
+    related = related.withColumns({"room": room, "far": F.col("common") < t / (1 + t) * (F.col("weight") + F.col("lead"))})
+    # Groups that have a node without a link to the leader; others are one class.
+    open_groups = related.where("far").select("a").distinct()
+    related = related.join(open_groups, "a", "left_semi")
+    # Pairs that share what the leader lacks.
+    extra = related.select("a", "b", "own", "far", F.explode("more").alias("shingle"))
+    shared = extra.groupBy("a", "shingle").agg(F.min("own").alias("_least"), F.max("own").alias("_most"), F.max("far").alias("_far"))
+    shared = shared.where((F.col("_least") != F.col("_most")) & F.col("_far")).select("a", "shingle")
+    extra = store(extra.join(shared, ["a", "shingle"]), "extra")
+    meet = _cross(extra, extra.where("far"), ["a", "shingle"], F.lit(True))
+    # Pairs whose weights allow a link within the leader.
+    sized = related.where("weight > 0").withColumn("size", size(F.col("weight")))
+    fits = related.where("far AND room >= weight * %r" % threshold).withColumn(
+        "size", F.explode(F.sequence(size(F.col("weight") * t), size(F.col("room"))))
+    )
+    fit = (F.col("y.room") >= F.col("x.weight")) & (F.col("x.room") >= F.col("y.weight"))
+    within = _cross(sized, fits, ["a", "size"], fit)
+    pairs = meet.union(within).distinct()
+    known = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return store(pairs.join(known, ["a", "b"], "left_anti"), "rest")
+
+
+def _cross(rows: DataFrame, far: DataFrame, keys: list[str], also: Column) -> DataFrame:
+    """Pairs (a, b), smaller first, of a far row with any row of the same keys and another class."""
+    x, y = far.alias("x"), rows.alias("y")
+    same = reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
+    pairs = x.join(y, same & (F.col("x.own") != F.col("y.own")) & also)
+    return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
