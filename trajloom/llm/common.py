@@ -239,80 +239,175 @@ def open_folder(uri: str):
 # ---------------------------------------------------------------- tokenizers
 
 
-class CachedEncoder:
-    """Encode texts as the tokenizer file does, one word at a time with a memory of words.
+#: ASCII letters and digits.
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+#: A text of more characters is encoded in parts.
+LONG_TEXT = 2_000_000
+_WIDE_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class WordMemory:
+    """Word hash to token ids, in sorted arrays; emptied when it holds ``words`` words."""
+
+    def __init__(self, words: int):
+        self.words = words
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.used, self.count = np.zeros(1 << 20, np.uint32), 0, 0
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each hash; place -1 if unknown."""
+        place, size = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for keys, places, sizes in self.levels:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
+        return place, size
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Hashes in ascending order, the ids of all their words, and their numbers."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.levels.append((hashes, self.used + np.cumsum(sizes) - sizes, sizes))
+        self.used, self.count = self.used + len(ids), self.count + len(hashes)
+        # Levels grow by halves, so each word is merged a few times only.
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
+            merged = [np.concatenate(c) for c in zip(self.levels.pop(), self.levels.pop())]
+            order = np.argsort(merged[0], kind="stable")
+            self.levels.append(tuple(c[order] for c in merged))
+
 
-    ``kind`` tells where a text may be cut without changing ids: at each single space of a
-    byte-level vocabulary that keeps spaces (``spaced``), or at any space of one that drops
-    them (``dropped``). Texts with longer white space are cut nowhere in the first kind. New
-    words are encoded many at a time, with a word between them whose id is known. The
-    memory is emptied when it holds ``words`` entries.
+class CachedEncoder:
+    """Encode texts as the tokenizer file does, word by word with a memory of words.
+
+    ``kind`` tells where a text may be cut without changing ids: a byte-level vocabulary that
+    keeps a space with the word after it (``spaced``), or one that drops white space and case
+    (``dropped``). Words end at spaces and line ends, and before a full stop or comma that
+    ends them. A text that has other white space, or two white spaces in a row, is encoded
+    whole in the first kind. New words are encoded many at a time, with a word between them
+    whose id is known. Words are told apart by a 64-bit hash.
     """
 
-    def __init__(self, path: str, kind: str, end_id: int, words: int = 600_000):
+    def __init__(self, path: str, kind: str, end_id: int, words: int = 3_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced, self.words = {"spaced": True, "dropped": False}[kind], words
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.spaced, self.end_id = {"spaced": True, "dropped": False}[kind], end_id
         self.between = "\n" if self.spaced else " | "
         (self.between_id,) = self._ids(self.between)
         # Words in which the divider, white space or a special token may hide go alone.
-        self.odd = re.compile(r"\s|\||<" if not self.spaced else r"\s|<")
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.odd = re.compile(r"\s|<" if self.spaced else r"\s|\||<")
+        self.memory = WordMemory(words)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, words: Iterable[str], known: dict[str, bytes], lead: str) -> None:
+    def _learn(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words, each with its leading space if it has one."""
+        found: list[np.ndarray | None] = [None] * len(words)
         plain = []
-        for word in words:
-            if not word or self.odd.search(word):
-                known[word] = np.array(self._ids(lead + word), "<u4").tobytes()
+        for i, word in enumerate(words):
+            if self.odd.search(word, 1 if self.spaced and word[0] == " " else 0):
+                found[i] = np.array(self._ids(word), np.uint32)
             else:
-                plain.append(word)
+                plain.append(i)
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
-            ids = np.array(self._ids(self.between.join([lead + w for w in some])), "<u4")
-            cuts = np.flatnonzero(ids == self.between_id)
-            if len(cuts) != len(some) - 1:
+            ids = np.array(self._ids(self.between.join([words[i] for i in some])), np.uint32)
+            parts = np.split(ids, np.flatnonzero(ids == self.between_id))
+            if len(parts) != len(some):
                 raise ValueError("the divider of words is not a word of its own in this vocabulary")
-            starts, ends, ids = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
-            known.update(zip(some, [ids[a:b] for a, b in zip(starts, ends)]))
+            for n, (i, part) in enumerate(zip(some, parts)):
+                found[i] = part[1:] if n else part
+        return found
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text can't be cut at words."""
+        return self.spaced and bool(re.search(r"\s\s| $", text) or _WIDE_SPACE.search(text))
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, with the end id, of each text."""
-        cut, heads, new = [], set(), set()
-        for text in texts:
-            if self.spaced:
-                if text and re.search(r"\s ", text):
-                    cut.append(None)
-                    continue
-                head, *chunks = (text or "").split(" ")
-                heads.add(head)
-                cut.append((head, chunks))
-            else:
-                chunks = (text or "").replace("\n", " ").split(" ")
-                cut.append(("", chunks))
-            new.update(chunks)
-        for known, found, lead in ((self.heads, heads, ""), (self.known, new, " " if self.spaced else "")):
-            missing = found.difference(known)
-            if len(known) + len(missing) > self.words:
-                known.clear()
-                missing = found
-            self._learn(missing, known, lead)
-        out, known = [], self.known
-        for text, parts in zip(texts, cut):
-            if parts is None:
-                out.append(np.array(self._ids(text), "<u4").tobytes() + self.end)
-            else:
-                head = self.heads[parts[0]] if self.spaced else b""
-                out.append(head + b"".join([known[c] for c in parts[1]]) + self.end)
+        end = np.array([self.end_id], "<u4").tobytes()
+        out: list[bytes] = [end] * len(texts)
+        cut: list[int] = []
+        for i, text in enumerate(texts):
+            if text and self._whole(text):
+                out[i] = np.array(self._ids(text), "<u4").tobytes() + end
+            elif text and len(text) > LONG_TEXT:
+                out[i] = b"".join(self._cut([part])[0][: -len(end)] for part in self._parts(text)) + end
+            elif text:
+                cut.append(i)
+        for i, ids in zip(cut, self._cut([texts[i] for i in cut]) if cut else ()):
+            out[i] = ids
         return out
 
-
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text, cut before spaces."""
+        at = 0
+        while at < len(text):
+            end = text.rfind(" ", at + 1, at + LONG_TEXT) if at + LONG_TEXT < len(text) else len(text)
+            end = text.find(" ", at + 1) if end < 0 else end
+            end = len(text) if end < 0 else end
+            yield text[at:end]
+            at = end
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        coded = [t.encode() for t in texts]
+        buffer = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
+        ends = np.cumsum([len(c) + 1 for c in coded]) - 1
+        gap = (buffer == 32) | (buffer == 10)
+        # A full stop or comma between a letter or digit and a gap is a word of its own.
+        mark = np.zeros(len(buffer), bool)
+        mark[1:-1] = ((buffer[1:-1] == 46) | (buffer[1:-1] == 44)) & _ALNUM[buffer[:-2]] & gap[2:]
+        first = ~gap
+        first[1:] &= gap[:-1] | mark[1:]
+        last = ~gap
+        last[:-1] &= gap[1:] | mark[1:]
+        first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+        codes = (BYTE_CODE if not self.spaced else _RAW_CODE)[buffer]
+        power, inverse = _powers(len(buffer) + 1)
+        prefix = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum(codes * power[: len(buffer)], out=prefix[1:])
+        hashes = mix((prefix[last] - prefix[first]) * inverse[first])
+        if self.spaced:
+            led = np.zeros(len(first), bool)
+            led[first > 0] = buffer[first[first > 0] - 1] == 32
+            hashes = np.where(led, ~hashes, hashes)
+        distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place, size = self.memory.find(distinct)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if self.memory.count + len(new) > self.memory.words:
+                self.memory.clear()
+                new = np.arange(len(distinct))
+            raw = buffer.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(first[sample[new]].tolist(), last[sample[new]].tolist())]
+            if self.spaced:
+                words = [" " + w if lead else w for w, lead in zip(words, led[sample[new]].tolist())]
+            ids = self._learn(words)
+            self.memory.add(distinct[new], np.concatenate(ids), np.array([len(i) for i in ids], np.int64))
+            place, size = self.memory.find(distinct)
+        # Words, line ends that are tokens, and ends of texts, in the order of the text.
+        extra = np.flatnonzero(buffer == 10) if self.spaced else ends
+        position = np.concatenate([first, extra])
+        order = np.argsort(position, kind="stable")
+        places = np.concatenate([place[which], np.where(np.isin(extra, ends), -2, -1)])[order]
+        sizes = np.concatenate([size[which], np.ones(len(extra), np.int64)])[order]
+        starts = np.cumsum(sizes) - sizes
+        ids = self.memory.ids[np.repeat(np.maximum(places, 0) - starts, sizes) + np.arange(int(sizes.sum()))]
+        ids[starts[places == -1]] = self.between_id
+        stops = starts[places == -2]
+        ids[stops] = self.end_id
+        whole, cuts = ids.astype("<u4").tobytes(), [0, *(4 * stops + 4).tolist()]
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+_RAW_CODE = mix(np.arange(1, 257, dtype=np.uint64))
 _ENCODERS: dict[tuple, CachedEncoder] = {}
 
 
