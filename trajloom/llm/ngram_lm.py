@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajloom.llm.common import batch_words, mix, slices, table, text_bytes
+from trajloom.llm.common import batch_words, mix, slices, table, text_bytes, word_spans
 from trajloom.operators.store import store
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
@@ -49,14 +49,21 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 
 
 def document_blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, sizes, texts): runs of documents with about BLOCK_BYTES of text, written."""
+    """(block, ids, sizes, texts, words): runs of documents with about BLOCK_BYTES of text, and
+    their number of words; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, ids, texts, size = zstandard.ZstdCompressor(level=3), [], [], 0
 
         def block() -> pa.RecordBatch:
-            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "texts"])
+            words = sum(len(word_spans(np.frombuffer(t, np.uint8))[0]) for t in texts)
+            columns = [
+                pa.array([ids], pa.list_(pa.int64())),
+                pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                pa.array([pack.compress(b"".join(texts))], pa.binary()),
+                pa.array([words], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "texts", "words"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -68,7 +75,7 @@ def document_blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield block()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "ids array<long>, sizes array<long>, texts binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "ids array<long>, sizes array<long>, texts binary, words long")
     return store(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
@@ -88,8 +95,8 @@ def block_grams(sizes: np.ndarray, texts: bytes, order: int) -> tuple[np.ndarray
 
 
 def gram_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(order, bucket, block, hashes, counts, total) of each block, written. Buckets are ranges of
-    hashes, so a block's buckets, in order, are its sorted n-grams."""
+    """(order, bucket, block, hashes, counts) of each block. Buckets are ranges of hashes, so a
+    block's buckets, in order, are its sorted n-grams."""
     shift = np.uint64(64 - int(math.log2(buckets))) if buckets > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +116,12 @@ def gram_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                             pa.array([row["block"]] * len(some), pa.int64()),
                             pa.array([pack_sorted(found[a:b]) for a, b in spans], pa.binary()),
                             pa.array([pack_array(counts[a:b].astype("<u4")) for a, b in spans], pa.binary()),
-                            pa.array([int(counts[a:b].sum()) for a, b in spans], pa.int64()),
                         ],
-                        names=["order", "bucket", "block", "hashes", "counts", "total"],
+                        names=["order", "bucket", "block", "hashes", "counts"],
                     )
 
-    return store(blocks.mapInArrow(run, "order int, bucket int, block long, hashes binary, counts binary, total long"), "gram-counts")
+    texts = blocks.select("block", "sizes", "texts")
+    return texts.mapInArrow(run, "order int, bucket int, block long, hashes binary, counts binary")
 
 
 def bucket_totals(rows: pd.DataFrame) -> pd.DataFrame:
@@ -167,10 +174,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     result.
     """
     blocks = document_blocks(docs)
-    buckets = 1 << max(0, math.ceil(math.log2(max(blocks.count(), 1))))
-    counts = gram_counts(blocks, order, buckets)
-    words = counts.where(F.col("order") == 1).agg(F.sum("total")).first()[0] or 0
-    answers = counts.select("order", "bucket", "block", "hashes", "counts").groupBy("order", "bucket")
+    number, words = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    buckets = 1 << max(0, math.ceil(math.log2(max(number, 1))))
+    answers = gram_counts(blocks, order, buckets).groupBy("order", "bucket")
     answers = answers.applyInPandas(bucket_totals, "block long, order int, bucket int, totals binary")
 
     def score(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
