@@ -172,6 +172,7 @@ def write_index(captures: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
     """
     folder = shared_folder(captures.sparkSession, "index")
     partitions = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Keys are compared as Python compares strings: by code point, as Spark compares UTF-8.
     order = ["key", "page_id", "file", "offset"]
     ordered = captures.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
@@ -257,13 +258,22 @@ class IndexFile:
 def find_captures(keys: DataFrame, index: DataFrame) -> DataFrame:
     """The captures (see CAPTURE) of every distinct key of the column ``key``.
 
-    Keys are placed with the index files whose key range holds them; the list of ranges has
-    one row per index file. A key with captures in several files goes to each of them.
+    Keys are sent to the index files whose key range holds them, found by binary search in
+    the list of ranges, which has one entry per index file. A key with captures in several
+    files goes to each of them.
     """
-    ranges = index.select("index", "first_key", "last_key")
-    wanted = keys.select("key").distinct()
-    placed = wanted.join(F.broadcast(ranges), F.col("key").between(F.col("first_key"), F.col("last_key"))).select("index", "key")
+    ranges = index.orderBy("part").select("index", "first_key", "last_key").collect()
+    files, firsts, lasts = ([r[c] for r in ranges] for c in ("index", "first_key", "last_key"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(files[i], k) for k in batch.column("key").to_pylist() for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
+            columns = list(zip(*found)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["index", "key"])
+
+    wanted = keys.select("key").where(F.col("key").isNotNull()).distinct()
     partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = wanted.mapInArrow(place, "index string, key string")
     placed = placed.repartition(partitions, "index").sortWithinPartitions("index", "key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
