@@ -1,0 +1,52 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [ROOT, HERE]
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, HERE, os.environ.get("PYTHONPATH", "")])
+
+SCHEMA = "doc_id long, text string, lang string, source string, score double, key string, rank long, node long, label string, _row long, doc string"
+
+
+@pytest.fixture(scope="session")
+def folder(tmp_path_factory):
+    """Writes tables to a new folder, as the queries read them."""
+
+    def write(**tables):
+        path = tmp_path_factory.mktemp("tables")
+        for name, df in tables.items():
+            df.write.parquet(f"{path}/{name}.parquet")
+        return str(path)
+
+    return write
+
+
+@pytest.fixture(scope="session")
+def odd_documents(spark):
+    """Null ids and texts, empty and very long texts, ties, repeated rows, clashing columns."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    rows = [
+        (1, "The quick brown fox jumps over the lazy dog, again.", "en"),
+        (1, "The quick brown fox jumps over the lazy dog, again.", "en"),
+        (2, "The quick brown fox jumps over the lazy dog, again.", "en"),
+        (2, None, "en"),
+        (3, "", None),
+        (4, "   ", "de"),
+        (5, "12 34 !!", "de"),
+        (6, long, "en"),
+        (None, "une phrase courte, mais claire", "fr"),
+        (None, None, None),
+        (7, "Licensed under the Apache License, Version 2.0.\nMIT License", None),
+        (8, "a", "fr"),
+        (9, "äöü ÄÖÜ ß 漢字 \u0000 x", "de"),
+    ]
+    filler = (0.5, "k", 7, 8, "l", 9, "d")
+    return spark.createDataFrame([(i, t, g, "s", *filler) for i, t, g in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def empty_documents(spark):
+    return spark.createDataFrame([], SCHEMA)

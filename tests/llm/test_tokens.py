@@ -1,0 +1,168 @@
+import io
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from trajloom.llm import packing, token_store
+from trajloom.llm.common import CachedEncoder
+from trajloom.llm.queries import QUERIES
+
+BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+PARTS = ["a", "The", "word", "don't", "'s", ",", ".", ". ", ", ", " ", "  ", "\n", "\t", "\r", "12", "é", "é", "Σ", "ß", "漢", "　", " ", "|", " | ", "<|endoftext|>", "\u0000", "😀"]
+
+
+def plain(path, text, end):
+    ids = Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return np.array([*ids, end], "<u4")
+
+
+@pytest.mark.parametrize("path,kind", [(BYTE, "spaced"), (WORD, "dropped")])
+def test_words_with_memory_give_the_same_ids(path, kind):
+    draw = random.Random(5)
+    tokenizer = Tokenizer.from_file(path)
+    encoder = CachedEncoder(path, kind, 7, words=50)  # emptied again and again
+    for _ in range(40):
+        texts = [None, "", *("".join(draw.choices(PARTS, k=draw.randint(0, 20))) for _ in range(60))]
+        for text, ids in zip(texts, encoder.encode_many(texts)):
+            expected = tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == [*expected, 7], repr(text)
+
+
+def test_long_texts_are_cut(monkeypatch):
+    monkeypatch.setattr("trajloom.llm.common.LONG_TEXT", 100)
+    text = " ".join(f"word{i}, and" for i in range(300)) + "x" * 250
+    for path, kind in ((BYTE, "spaced"), (WORD, "dropped")):
+        (ids,) = CachedEncoder(path, kind, 7).encode_many([text])
+        assert np.frombuffer(ids, "<u4").tolist() == plain(path, text, 7).tolist()
+
+
+def check_packing(rows, texts):
+    ids = {}
+    for doc_id, text in texts:
+        ids.setdefault((doc_id, len(t := plain(BYTE, text, 1))), []).append(t)
+    cover, sequences = {}, {}
+    for r in rows:
+        options = ids[(r.doc_id, r.doc_tokens)]
+        assert any(zlib.crc32(t[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for t in options)
+        cover.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for key, spans in cover.items():
+        seen = np.zeros(key[1], int)
+        for start, length in spans:
+            seen[start : start + length] += 1
+        assert (seen == len(ids[key])).all()
+    assert set(cover) == set(ids)
+    padding = 0
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padding == 0
+
+
+def test_packing_of_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    check_packing(QUERIES["op1_packing"](spark, sf).collect(), docs)
+
+
+def test_packing_of_odd_rows(spark, odd_documents):
+    rows = packing.pack_table(odd_documents, with_ids=True).collect()
+    check_packing(rows, odd_documents.select("doc_id", "text").collect())
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
+def test_packing_of_nothing(spark, empty_documents):
+    assert packing.pack_table(empty_documents).collect() == []
+
+
+@pytest.mark.parametrize("counts", [{}, {5: 1}, {1500: 1000}, {1500: 400, 548: 100}, {1: 5000, 2047: 3}, {n: n % 7 for n in range(1, 2048)}])
+def test_plan_places_every_remainder_once(counts):
+    plan = packing.plan_packing(counts)
+    used = {}
+    for length, n in counts.items():
+        for rank in range(n):
+            pieces = plan.pieces(length, rank)
+            assert sum(p[1] for p in pieces) == length
+            for _, size, window, offset in pieces:
+                used.setdefault(window, []).append((offset, size))
+    assert len(used) == plan.windows
+    short = 0
+    for spans in used.values():
+        at = 0
+        for offset, size in sorted(spans):
+            assert offset == at
+            at += size
+        short += at < 2048
+        assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
+    assert short <= 11
+
+
+def test_closest_fill_against_all_sums():
+    draw = random.Random(3)
+    for _ in range(200):
+        counts = {draw.randint(1, 30): draw.randint(1, 3) for _ in range(4)}
+        sums = {0}
+        for length, n in counts.items():
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        total, chosen = packing.closest_fill(counts, 40)
+        assert total == max(s for s in sums if s <= 40) == sum(k * n for k, n in chosen.items())
+        assert all(n <= counts[k] for k, n in chosen.items())
+
+
+def expected_tokens(texts):
+    start, out = 0, []
+    for doc_id, text in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = plain(WORD, text, 2)
+        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_token_files_of_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    rows = QUERIES["op10_token_files"](spark, sf).orderBy("start").collect()
+    assert [tuple(r) for r in rows] == expected_tokens(map(tuple, docs))
+
+
+def test_token_files_of_odd_rows(spark, folder, odd_documents, empty_documents):
+    rows = QUERIES["op10_token_files"](spark, folder(documents=odd_documents)).orderBy("start").collect()
+    assert [tuple(r) for r in rows] == expected_tokens(map(tuple, odd_documents.select("doc_id", "text").collect()))
+    assert QUERIES["op10_token_files"](spark, folder(documents=empty_documents)).collect() == []
+
+
+def test_one_document_is_read_alone(spark, odd_documents):
+    manifest = token_store.write_token_files(odd_documents, WORD, "dropped", 2)
+    found = token_store.fetch(spark, manifest, [6, 1, 99])
+    assert len(found[1]) == 2 and 99 not in found
+    text = odd_documents.where("doc_id = 6").first().text
+    assert found[6][0].tolist() == plain(WORD, text, 2).tolist()
+
+
+def test_damage_is_found():
+    class Sink(io.BytesIO):
+        def close(self):
+            pass
+
+    writer = token_store.TokenFileWriter(sink := Sink())
+    for i in range(3):
+        writer.add(i, np.arange(i * 10, dtype="<u4"))
+    writer.close()
+    data = sink.getvalue()
+    assert token_store.TokenFile(io.BytesIO(data), len(data)).ids(2).tolist() == list(range(20))
+    broken = bytearray(data)
+    broken[int(token_store.TokenFile(io.BytesIO(data), len(data)).starts[2]) + 12] ^= 1
+    with pytest.raises(Exception):
+        token_store.TokenFile(io.BytesIO(bytes(broken)), len(broken)).ids(2)
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
+    assert np.frombuffer(whole, "<u2").tolist() == [*range(10), *range(20)]
