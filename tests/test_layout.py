@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajloom.operators.batching import assign_batches, training_set
 from trajloom.operators.indexing import hash_positions, order_key, range_positions
-from trajloom.operators.lookup import fits_broadcast, lookup_join, measured_bytes
+from trajloom.operators.lookup import fits_broadcast, hot_keys, lookup_join, measured_bytes
 from trajloom.operators.replay import group_advantage, label_origin, mix_buffers, replay_pairs
 from trajloom.options import BatchOptions, TokenOptions
 
@@ -140,19 +140,58 @@ def plain_pairs(turns):
     for conv, rows in groups.items():
         rows.sort()
         for (_, before, said), (turn, role, text) in zip(rows, rows[1:]):
-            if role == "assistant" and before == "user" and said is not None:
+            if role == "assistant" and before == "user":
                 out.add((conv, turn, said, text))
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 4, 4096])
-def test_pairs_across_chunks(spark, chunk):
+@pytest.mark.parametrize("ranges", [1, 4, 60])
+def test_pairs_across_ranges(spark, ranges):
     df = spark.createDataFrame(conversations(), "conv_id int, turn int, role string, text string")
-    out = replay_pairs(df, chunk=chunk).collect()
+    out = replay_pairs(df.repartition(3), ranges=ranges).collect()
     assert {(r.group_id, r.turn, r.prompt, r.response) for r in out} == plain_pairs(conversations())
     assert len({r.traj_id for r in out}) == len(out)
 
 
+def test_a_long_conversation_is_spread(spark):
+    turns = spark.range(4000).selectExpr(
+        "1 AS conv_id", "id * 60000 AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text"
+    )
+    out = replay_pairs(turns.repartition(5), ranges=16)
+    assert out.count() == 2000
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert {(r.turn // 60000, r.prompt) for r in out.collect()} == {(i, f"t{i - 1}") for i in range(1, 4000, 2)}
+    assert max(sizes) < 2000
+
+
+def test_pairs_of_nothing(spark):
+    assert replay_pairs(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).collect() == []
+
+
+def test_salts_follow_the_counts(spark):
+    """5000 frequent keys, one key with a third of the rows: no task takes much more than its share."""
+    rows = spark.range(60_000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000))
+    hot = hot_keys(rows, ["k"], min_rows=100)
+    threshold = 60_000 // (4 * 8)
+    assert [(r.k, r._salts) for r in hot.collect()] == [(0, -(-rows.where("k = 0").count() // threshold))]
+    table = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup_join(rows, table, ["k"], ["id"], False, hot_rows=100)
+        assert joined.where("v <> 2 * k OR v IS NULL").count() == 0
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 8
+
+
+def test_steps_past_the_last_epoch(spark):
+    df = spark.range(10).withColumnRenamed("id", "traj_id")
+    rows = assign_batches(df, "traj_id", BatchOptions(accumulation=1, epochs=1, max_steps=50)).collect()
+    assert sorted(r.global_step for r in rows) == list(range(50)) and {r.epoch for r in rows} == set(range(5))
+    assert len(assign_batches(df, "traj_id", BatchOptions(accumulation=1, epochs=3, max_steps=4)).collect()) == 4
+
+
 @pytest.mark.parametrize("salted", [False, True])
 def test_group_advantage(spark, salted):
     rewards = {0: [1.0, 0.0, 1.0, 1.0], 1: [0.1] * 7, 2: [3.0], 3: [0.5, -0.5]}

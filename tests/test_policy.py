@@ -19,8 +19,8 @@ from trajloom.operators.policy import (
     train_policy,
     unigram_logits,
 )
-from trajloom.operators.userfn import encode_with, map_batches, map_rows, score_sequence, score_with
-from trajloom.options import LossOptions
+from trajloom.operators.userfn import encode_with, map_batches, map_rows, score_rows, score_with
+from trajloom.options import LossOptions, TokenOptions
 from trajloom.plans.training_run import scored_losses
 from pyspark.sql import types as T
 
@@ -94,12 +94,33 @@ def test_unseen_tokens_without_smoothing(spark, table):
 
 
 def test_softmax_of_counts_is_the_smoothed_policy(table):
-    policy = fit_policy(table, 9, smoothing=1.0)
-    total = sum(r.n + 1 for r in policy.counts.collect())
-    for row in softmax_policy(unigram_logits(policy)).collect():
-        assert row.logp == pytest.approx(row.theta - math.log(total))
+    words = table.sparkSession.range(4, 30).withColumnRenamed("id", "token_id")
+    policy = fit_policy(table, 26, smoothing=0.5)
+    softmax = {r.token: r.logp for r in softmax_policy(unigram_logits(policy, words)).collect()}
+    assert len(softmax) == 26 and sum(map(math.exp, softmax.values())) == pytest.approx(1)
+    scores = score_tokens(table, policy).where("token is not null").collect()
+    assert scores and all(r.token_logp == pytest.approx(softmax[r.token]) for r in scores)
     with pytest.raises(ValueError):
-        softmax_policy(unigram_logits(policy).where("false"))
+        softmax_policy(unigram_logits(policy, words).where("false"))
+    with pytest.raises(ValueError, match="smoothing"):
+        unigram_logits(fit_policy(table, 26, smoothing=0.0), words)
+
+
+def test_gradients_sum_to_zero_and_unknown_tokens_fail(spark):
+    _, samples = samples_for(spark)
+    theta = spark.createDataFrame([(t, 0.1 * t) for t in range(4, 14)], "token int, theta double")
+    out = policy_update(samples, theta, 0.5).collect()
+    assert sum(r.gradient for r in out) == pytest.approx(0, abs=1e-9)
+    with pytest.raises(Exception, match="no logit for token 4"):
+        policy_update(samples, theta.where("token > 4"), 0.5).collect()
+
+
+def test_equal_ids_do_not_matter_to_the_gradient(spark):
+    _, samples = samples_for(spark)
+    theta = spark.createDataFrame([(t, 0.1 * t) for t in range(4, 14)], "token int, theta double")
+    same = samples.withColumn("traj_id", F.lit(None).cast("int"))
+    first, second = ({r.token: r.gradient for r in policy_update(s, theta, 0.5).collect()} for s in (samples, same))
+    assert first == pytest.approx(second)
 
 
 def samples_for(spark):
@@ -178,7 +199,7 @@ def model():
 
 def longer_model():
     inner = model()
-    return lambda ids, mask: np.concatenate([np.full((2, 13), 7.0), inner(ids, mask)])
+    return lambda ids, mask: np.concatenate([np.full((len(ids), 2, 13), 7.0), inner(ids, mask)], axis=1)
 
 
 def make_model():
@@ -190,7 +211,7 @@ def make_longer_model():
 
 
 def plain_score(row):
-    logits, total = model()(np.asarray(row[1], dtype=int), None), 0.0
+    logits, total = model()(np.asarray([row[1]], dtype=int), None)[0], 0.0
     for p in range(1, len(row[1])):
         if row[3][p] != M:
             x = logits[p - 1]
@@ -200,7 +221,10 @@ def plain_score(row):
 
 @pytest.mark.parametrize("factory", [make_model, make_longer_model])
 def test_user_model(spark, table, factory):
-    out = {r.traj_id: r for r in score_with(table, factory).collect()}
+    tokens = score_with(table, factory, batch_rows=3)
+    for r in tokens.collect():
+        assert r.pos is None or ROWS[r.traj_id][3][r.pos] == r.token
+    out = {r.traj_id: r for r in sequence_scores(tokens).collect()}
     assert len(out) == len(ROWS)
     for row in ROWS:
         assert out[row[0]].policy_logps == pytest.approx(plain_score(row), abs=1e-9)
@@ -211,13 +235,21 @@ def test_user_model(spark, table, factory):
 def test_long_logits(spark, skipped):
     logits, targets = [], []
     for row in ROWS:
-        values = (model() if skipped is None else longer_model())(np.asarray(row[1], dtype=int), None)
+        values = (model() if skipped is None else longer_model())(np.asarray([row[1]], dtype=int), None)[0]
         logits += [(row[0], p, t, float(x), skipped) for p, line in enumerate(values) for t, x in enumerate(line)]
         targets += [(row[0], p, row[3][p]) for p in range(1, len(row[1])) if row[3][p] != M]
     long = spark.createDataFrame(logits, "traj_id int, pos int, token int, logit double, skipped int")
     wanted = spark.createDataFrame(targets, "traj_id int, pos int, token int")
-    out = logits_scores(long, wanted, None if skipped is None else "skipped").collect()
+    shift = None if skipped is None else "skipped"
+    out = logits_scores(long, wanted, shift).collect()
     assert len(out) == len(targets)
+    shuffled = logits_scores(long, wanted, shift, broadcast_bytes=0).collect()
+    by_place = [{(r.traj_id, r.pos, r.token): r.token_logp for r in rows} for rows in (out, shuffled)]
+    assert by_place[0] == pytest.approx(by_place[1])
+    with pytest.raises(Exception, match="no logit"):
+        logits_scores(long.where("token <> 4"), wanted, shift).count()
+    with pytest.raises(Exception, match="no logit"):
+        logits_scores(long.where("traj_id > 5"), wanted, shift).count()
     sums = {}
     for r in out:
         sums[r.traj_id] = sums.get(r.traj_id, 0.0) + r.token_logp
@@ -225,11 +257,20 @@ def test_long_logits(spark, skipped):
         assert sums.get(row[0], 0.0) == pytest.approx(plain_score(row), abs=1e-9)
 
 
+def test_long_logits_of_any_size(spark):
+    values = [-2000.0, 1999.0, 2000.0, 1400.0, 0.0]
+    logits = spark.createDataFrame([(1, 0, t, v) for t, v in enumerate(values)], "traj_id int, pos int, token int, logit double")
+    wanted = spark.createDataFrame([(1, 1, t) for t in range(5)], "traj_id int, pos int, token int")
+    found = {r.token: r.token_logp for r in logits_scores(logits, wanted).collect()}
+    norm = 2000 + math.log(1 + math.exp(-1))
+    assert found == pytest.approx({t: v - norm for t, v in enumerate(values)})
+
+
 def test_span_that_starts_at_zero_skips_its_first_token():
-    flat = lambda ids, mask: np.zeros((len(ids), 4))
-    labels = np.array([1, 2, 3])
-    assert score_sequence(flat, labels, None, labels, M) == pytest.approx((2 * math.log(0.25), 2.0))
-    assert score_sequence(flat, labels[:1], None, labels[:1], M) == (0.0, 1.0)
+    flat = lambda ids, mask: np.zeros((*ids.shape, 4))
+    row, pos, token, logp = score_rows(flat, [[1, 2, 3], [1], []], [[1] * 3, [1], []], [[1, 2, 3], [1], []], TokenOptions())
+    assert (row, pos.to_pylist(), token.to_pylist()) == ([0, 0, 1, 2], [1, 2, None, None], [2, 3, None, None])
+    assert logp.to_pylist() == [pytest.approx(math.log(0.25))] * 2 + [None] * 2
 
 
 def add_note(row, suffix):
@@ -254,6 +295,17 @@ def test_user_encoder(spark):
     assert (row.prompt_ids, row.response_ids) == ([1, 2], [])
 
 
+def in_order(rows):
+    return [{"batch": rows[0]["batch"], "ids": [r["id"] for r in rows]}]
+
+
+def test_batch_function_sees_rows_by_position(spark):
+    df = spark.range(100).withColumns({"batch": F.col("id") % 9, "position": -F.col("id")}).repartition(5)
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
+    out = {r.batch: r.ids for r in map_batches(df, in_order, schema, ["batch"]).collect()}
+    assert out == {b: list(range(b, 100, 9))[::-1] for b in range(9)}
+
+
 def join_ids(rows):
     return [{"batch": rows[0]["batch"], "ids": sorted(r["id"] for r in rows)}]
 

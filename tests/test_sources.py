@@ -8,7 +8,7 @@ from trajloom.operators.enrich import enrich
 from trajloom.operators.policy import fit_policy
 from trajloom.operators.store import new_path, shared_dir, store
 from trajloom.options import BatchOptions, LossOptions, TokenOptions
-from trajloom.plans.training_run import evaluate, prepare_training_set
+from trajloom.plans.training_run import evaluate, prepare_training_set, with_ids
 from trajloom.sources.reader import (
     check_tokenised,
     file_format,
@@ -18,10 +18,9 @@ from trajloom.sources.reader import (
 )
 
 ROW = {
-    "prompt": "Calculate the sum of 1 and 2.",
-    "response": "To calculate the sum of 1 and 2, we add them together: 1 + 2 = 3.\n"
-    "The answer is \\boxed{3}.",
-    "nll_seq": 123.456,
+    "prompt": "Name a river in Peru.",
+    "response": "The Ucayali\nis one of them; \\n is no line end.",
+    "nll_seq": 17.25,
     "advantage": 1.0,
     "origin_label": "positive",
 }
@@ -49,7 +48,7 @@ def test_json_lines(spark, tmp_path):
     df = read_trajectories(spark, f"{a}||{b}")["train"]
     assert dict(df.dtypes)["nll_seq"] == "double"
     rows = df.collect()
-    assert sorted(r.nll_seq for r in rows) == [2.0, 3.0, 123.456]
+    assert sorted(r.nll_seq for r in rows) == [2.0, 3.0, 17.25]
     assert rows[0].response == ROW["response"]
 
 
@@ -64,6 +63,24 @@ def test_json_whole_numbers_widen(spark, tmp_path):
     assert sorted(r.nll_seq for r in read_json(spark, [path]).collect()) == [1.0, 1.5]
 
 
+def test_columns_of_any_row_are_found(spark, tmp_path):
+    plain = {k: v for k, v in ROW.items() if k not in ("origin_label", "advantage")}
+    late = [{**ROW, "origin_label": "negative", "advantage": -2}] * 5
+    a = write_lines(tmp_path / "a.jsonl", [plain] * 1500 + late[:1])
+    b = write_lines(tmp_path / "b.jsonl", late)
+    rows = enrich(read_trajectories(spark, f"{a}||{b}")["train"])
+    assert rows.where("origin_is_negative = 1 AND advantage = -2").count() == 6
+    numeric = write_lines(tmp_path / "c.jsonl", [{**ROW, "origin_label": None}] * 1200 + [{**ROW, "origin_label": 1}] * 9)
+    assert enrich(read_trajectories(spark, numeric)["train"]).where("origin_is_negative = 1").count() == 9
+
+
+def test_long_ids_stay_whole(spark, tmp_path):
+    ids = [2**53 + i for i in range(4)]
+    path = write_lines(tmp_path / "a.jsonl", [{**ROW, "traj_id": i, "nll_seq": 3} for i in ids])
+    df = read_json(spark, [path])
+    assert sorted(r.traj_id for r in df.collect()) == ids and dict(df.dtypes)["nll_seq"] == "double"
+
+
 def test_json_numeric_labels_mean_the_flag(spark, tmp_path):
     path = write_lines(tmp_path / "a.jsonl", [{**ROW, "origin_label": v} for v in (1, 0, None)])
     flags = [r.origin_is_negative for r in enrich(read_trajectories(spark, path)["train"]).collect()]
@@ -80,13 +97,13 @@ def test_broken_json_fails(spark, tmp_path):
 
 def test_missing_columns(spark, tmp_path, caplog):
     path = write_lines(tmp_path / "a.jsonl", [{"prompt": "p", "response": "r"}])
-    with pytest.raises(ValueError, match="nll_seq.*a.jsonl"):
+    with pytest.raises(ValueError, match="a.jsonl.*nll_seq"):
         read_trajectories(spark, path)
     path = write_lines(tmp_path / "b.jsonl", [{"prompt": "p", "response": "r", "nll_seq": 1.0}])
     df = read_trajectories(spark, path)["train"]
-    assert "treated as positive" in caplog.text
+    assert "counts as positive" in caplog.text
     assert enrich(df).first().origin_is_negative == 0.0
-    with pytest.raises(RuntimeError, match="dropped"):
+    with pytest.raises(RuntimeError, match="lost"):
         check_tokenised(df.drop("nll_seq"))
 
 
@@ -124,6 +141,51 @@ def test_directory_splits(spark, tmp_path, layout):
     assert splits["train"].columns == ["advantage", "nll_seq", "origin_label", "prompt", "response"]
 
 
+@pytest.mark.parametrize("kind", ["json", "parquet"])
+def test_cards_are_not_read(spark, tmp_path, kind):
+    root = tmp_path / "set + card"
+    rows = spark.createDataFrame([("p", "r", 1.0)] * 4, "prompt string, response string, nll_seq double")
+    getattr(rows.write, kind)(str(root / "data"))
+    (root / "README.md").write_text("# card")
+    (root / "info.json").write_text('{"description": "x"}')
+    (root / "dataset_info.json").write_text('{"description": "x", "nll_seq": 7}')
+    splits = read_trajectories(spark, str(root))
+    assert list(splits) == ["train"] and splits["train"].count() == 4
+    assert "description" not in splits["train"].columns
+
+
+def test_parquet_folder_with_two_schemas(spark, tmp_path):
+    path = str(tmp_path / "mixed")
+    spark.createDataFrame([("p", "r", 1.0)], "prompt string, response string, nll_seq double").write.parquet(path)
+    more = spark.createDataFrame([("p", "r", 1.0, "negative")], "prompt string, response string, nll_seq double, origin_label string")
+    more.write.mode("append").parquet(path)
+    assert enrich(read_trajectories(spark, path)["train"]).where("origin_is_negative = 1").count() == 1
+    (tmp_path / "a.parquet").mkdir()
+    listed = str(tmp_path / "a.parquet" / "x")
+    more.write.parquet(listed)
+    spark.createDataFrame([("p", "r", 1.0)], "prompt string, response string, nll_seq double").write.mode("append").parquet(listed)
+    assert read_trajectories(spark, listed)["train"].where("origin_label = 'negative'").count() == 1
+
+
+def test_folder_without_data_or_of_two_kinds(spark, tmp_path):
+    (tmp_path / "README.md").write_text("# card")
+    with pytest.raises(ValueError, match="JSON or parquet"):
+        read_trajectories(spark, str(tmp_path))
+
+
+def test_ids_hang_on_the_rows_alone(spark):
+    df = spark.createDataFrame([(f"p{i % 7}", i % 3) for i in range(50)], "prompt string, n int")
+    first, second = (sorted(map(tuple, with_ids(df.repartition(p)).collect())) for p in (1, 6))
+    assert first == second and sorted(r[-1] for r in first) == list(range(50))
+
+
+@pytest.mark.parametrize("lenient", [False, True])
+def test_text_that_is_no_number_fails_whatever_is_read(spark, lenient):
+    df = spark.createDataFrame([("abc",), ("1.5",)], "nll_seq string")
+    with pytest.raises(Exception, match="not a number"):
+        enrich(df, LossOptions(require_old_nll=not lenient)).count()
+
+
 def test_split_filter_skips_the_other_files(spark, tmp_path):
     path = str(tmp_path / "set")
     spark.range(100).selectExpr(
@@ -164,7 +226,9 @@ def test_stored_tables_can_be_removed(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(module, "shared_dir", lambda _: str(tmp_path))
     (tmp_path / "trajloom" / "other-app").mkdir(parents=True)
     store(spark.range(5), "numbers")
-    module.remove_stored(spark)
+    with pytest.raises(KeyError):
+        with module.stored_tables(spark):
+            raise KeyError
     assert [p.name for p in (tmp_path / "trajloom").iterdir()] == ["other-app"]
 
 
@@ -196,7 +260,23 @@ def test_from_file_to_training_set_and_metrics(spark, tmp_path):
     assert {"input_ids", "attention_mask", "labels", "old_logps", "advantage", "origin_is_negative"} <= set(back.columns)
     assert "nll_seq" not in back.columns and "prompt" not in back.columns
     policy = fit_policy(tables["train"], 200, bigram=True)
-    evaluate(tables, policy, scores, options)
+    evaluate({**tables, "math": tables["test"]}, policy, scores, options)
     found = {r.split: r for r in spark.read.json(scores).collect()}
-    assert (found["train"].samples, found["eval"].samples) == (20, 3)
+    assert (found["train"].samples, found["eval"].samples, found["eval_math"].samples) == (20, 3, 3)
     assert found["train"].frac_origin_negative == 0.5
+
+
+def code_points():
+    return lambda text: [ord(c) for c in text]
+
+
+def test_training_set_with_a_users_tokenizer(spark, tmp_path):
+    path = write_lines(tmp_path / "a.jsonl", [{**ROW, "traj_id": 1, "response": f"ab{i % 2}"} for i in range(8)])
+    out = str(tmp_path / "set")
+    schema = read_json(spark, [path]).schema
+    options = TokenOptions(max_prompt_length=2)
+    tables = prepare_training_set(spark, path, out, options, batch_options=BatchOptions(epochs=1), schema=schema, make_encoder=code_points)
+    assert tables["train"].count() == 8
+    back = spark.read.parquet(out).collect()
+    assert sorted(r.labels[2:] for r in back) == [[97, 98, 48]] * 4 + [[97, 98, 49]] * 4
+    assert {r.traj_id for r in back} == {1} and len({r.row_id for r in back}) == 8

@@ -183,11 +183,41 @@ def test_vocabulary_and_encoding(spark, salted):
     known = words.where("token <> 'b'")
     limits = {"broadcast_bytes": 0, "hot_rows": 2} if salted else {}
     coded = encode(df, ["prompt", "response"], known, **limits)
+    assert coded.columns == [*df.columns, "prompt_ids", "response_ids"]
     found = {r.traj_id: (r.prompt_ids, r.response_ids) for r in coded.collect()}
     code = lambda text: [1 if t == "b" else ids[t] for t in plain_tokens(text)]
     assert found == {i: (code(p), code(r)) for i, (p, r) in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("salted", [False, True])
+def test_rows_with_equal_or_no_ids_keep_their_tokens(spark, salted):
+    rows = [("x", "a b"), ("x", "d"), (None, "g"), (None, "g"), ("x", "a b")]
+    df = spark.createDataFrame(rows, "traj_id string, response string")
+    words = build_vocabulary(df, ["response"])
+    ids = {r.token: r.token_id for r in words.collect()}
+    limits = {"broadcast_bytes": 0, "hot_rows": 1} if salted else {}
+    found = [(r.traj_id, r.response, r.response_ids) for r in encode(df, ["response"], words, **limits).collect()]
+    expected = [(i, t, [ids[w] for w in t.split()]) for i, t in rows]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+# Written out here: the engine's texts are not the ones to compare with.
+BOXED = "Please reason step by step, and put your final answer within \\boxed{}."
+START, END = "<|im_start|>", "<|im_end|>"
+WHOLE = {
+    "deepseek-math": "User: Do it.\n" + BOXED + "\n\nAssistant:",
+    "qwen2-boxed": f"{START}system\nYou are a helpful assistant.{END}\n{START}user\nDo it.\n{BOXED}{END}\n{START}assistant\n",
+    "ours": f"{START}system\nYou are Qwen, created by Alibaba Cloud. You are a helpful assistant.{END}\n{START}user\nDo it.{END}\n{START}assistant\n",
+    "alpaca": "Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n### Instruction:\nDo it.\n\n### Response:",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_template_texts(spark, name):
+    df = spark.createDataFrame([("Do it.", "r")], "prompt string, response string")
+    assert apply_template(df, TokenOptions(template=name)).first().prompt == WHOLE[name]
+
+
 def test_log_softmax_is_stable(spark):
     df = spark.createDataFrame([([1000.0, 1001.0, 1002.0], 1), ([-5.0], 0)], "x array<double>, t int")
     out = [r[0] for r in df.select(log_softmax_at(F.col("x"), F.col("t"))).collect()]

@@ -37,12 +37,3 @@ def as_float(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return float_text(column)
     return F.lit(None).cast("double")
-
-
-def as_float_or_raise(column: Column, dtype: T.DataType, name: str) -> Column:
-    """Like :func:`as_float`, but a value that is no number fails the job."""
-    if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return column.cast("double")
-    value = as_float(column, dtype)
-    message = F.concat(F.lit(f"`{name}` is not a number: "), column.cast("string"))
-    return F.when(column.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value)

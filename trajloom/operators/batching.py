@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from trajloom.functions.tokens import pad_right
 from trajloom.operators.indexing import hash_positions, order_key
+from trajloom.operators.lookup import shuffle_partitions
 from trajloom.options import BatchOptions, TokenOptions
 
 # Rows that are padded together: what one device takes in one forward call.
 BATCH_KEYS = ["epoch", "batch_id", "rank"]
-BATCHES_PER_SHARD = 1000
+# Rows of a shard, about: a folder of the training set.
+SHARD_ROWS = 1_000_000
 
 
 def assign_batches(
@@ -23,7 +25,12 @@ def assign_batches(
     (forward call), ``rank`` (device), ``step_id`` (in the epoch) and ``global_step``.
     Only ids are shuffled here; join the result to the wide rows.
     """
-    epochs = F.explode(F.sequence(F.lit(0), F.lit(options.epochs - 1)))
+    count = options.epochs
+    if options.max_steps is not None:
+        # The step count wins over the epochs: rows come again until it is reached.
+        per_epoch = max(1, -(-df.count() // (options.rows_per_batch * options.accumulation)))
+        count = max(1, -(-options.max_steps // per_epoch))
+    epochs = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     rows = df.select(id_col, epochs.alias("epoch"))
     rows = rows.withColumn("_key", order_key(options.seed, F.col("epoch"), F.col(id_col)))
     placed = hash_positions(rows, "_key", ["epoch"])
@@ -70,14 +77,26 @@ def training_set(
     assignment: DataFrame,
     id_col: str = "traj_id",
     options: TokenOptions = TokenOptions(),
-    batches_per_shard: int = BATCHES_PER_SHARD,
+    batches_per_shard: int | None = None,
 ) -> DataFrame:
     """Padded batches in training order, ready to write by epoch and shard.
 
-    A shard is a run of consecutive batches. Rows are placed by shard once; padding and
-    sorting both use that placement.
+    A shard is a run of consecutive batches, by default so many that it has SHARD_ROWS rows
+    and there are at most as many shards as shuffle partitions. Rows are placed by shard
+    once; padding and sorting both use that placement. Ids must be unique.
     """
+    if batches_per_shard is None:
+        batches_per_shard = shard_batches(assignment)
     rows = assignment.withColumn("shard", F.floor(F.col("batch_id") / batches_per_shard))
     placed = df.join(rows, id_col).repartition("epoch", "shard")
     padded = pad_batches(placed, options, ["epoch", "shard", "batch_id", "rank"])
     return padded.sortWithinPartitions("epoch", "shard", "batch_id", "rank", "position")
+
+
+def shard_batches(assignment: DataFrame) -> int:
+    """Batches per shard, from the numbers of rows and batches of an epoch."""
+    rows, batches = assignment.where("epoch = 0").agg(F.count(F.lit(1)), F.max("batch_id") + 1).first()
+    if not rows:
+        return 1
+    shards = min(-(-rows // SHARD_ROWS), shuffle_partitions(assignment.sparkSession))
+    return max(1, -(-batches // shards))

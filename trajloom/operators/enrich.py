@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajloom.functions.casts import as_float, as_float_or_raise
+from trajloom.functions.casts import as_float
 from trajloom.functions.offpolicy import advantage_or_default, loss_stages, origin_flag
 from trajloom.functions.templates import render
 from trajloom.options import LossOptions, TokenOptions
@@ -18,7 +18,7 @@ ORIGIN = "origin_label"
 def require_nll_column(df: DataFrame, options: LossOptions = LossOptions()) -> None:
     """The trainer's own check: raises before any job when the NLL column is missing."""
     if options.require_old_nll and NLL not in df.columns:
-        raise ValueError(f"dataset is missing required column `{NLL}`. Got columns: {df.columns}")
+        raise ValueError(f"the loss needs a column `{NLL}`; there are {df.columns}")
 
 
 def with_old_logps(df: DataFrame, options: LossOptions = LossOptions()) -> DataFrame:
@@ -28,12 +28,14 @@ def with_old_logps(df: DataFrame, options: LossOptions = LossOptions()) -> DataF
         known = F.col("old_logps").cast("double") if "old_logps" in df.columns else F.lit(None)
         return df.withColumn("old_logps", F.coalesce(known, F.lit(0.0)))
     nll = F.col(NLL)
+    value = as_float(nll, df.schema[NLL].dataType)
+    # In a filter: as projected columns the checks would be pruned when unused.
+    wrong = F.concat(F.lit(f"`{NLL}` is not a number: "), nll.cast("string"))
+    valid = F.when(nll.isNotNull() & value.isNull(), F.raise_error(wrong).cast("boolean"))
     if options.require_old_nll:
-        # In a filter: as a projected column the check would be pruned when unused.
-        error = F.raise_error(F.lit(f"found null in `{NLL}`")).cast("boolean")
-        df = df.where(F.when(nll.isNull(), error).otherwise(F.lit(True)))
-    old = -as_float_or_raise(nll, df.schema[NLL].dataType, NLL)
-    return df.withColumn("old_logps", F.coalesce(old, F.lit(0.0)))
+        valid = valid.when(nll.isNull(), F.raise_error(F.lit(f"a null in `{NLL}`")).cast("boolean"))
+    df = df.where(valid.otherwise(F.lit(True)))
+    return df.withColumn("old_logps", F.coalesce(-value, F.lit(0.0)))
 
 
 def with_advantage(df: DataFrame, options: LossOptions = LossOptions()) -> DataFrame:
@@ -76,7 +78,7 @@ def with_loss(df: DataFrame, options: LossOptions = LossOptions()) -> DataFrame:
 def apply_template(df: DataFrame, options: TokenOptions = TokenOptions()) -> DataFrame:
     """Replace ``prompt`` by its rendered text. A null response is an error."""
     rendered = render(options.template, F.col("prompt"))
-    error = F.raise_error(F.lit("found null in `response`")).cast("boolean")
+    error = F.raise_error(F.lit("a null in `response`")).cast("boolean")
     checked = df.where(F.when(F.col("response").isNull(), error).otherwise(F.lit(True)))
     return checked.withColumn("prompt", rendered)
 

@@ -8,18 +8,18 @@ per salt.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajloom.operators.store import store
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-# A key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of the
-# rows, so the list is short whatever the data and still covers every hot key.
-HOT_KEYS = 1024
+# Rows of a key that one task may always take.
 HOT_ROWS = 100_000
-SALTS = 128
+# A key is hot if it holds more than this part of a partition's fair share of rows, so
+# there are at most SHARES * partitions hot keys, whatever the data.
+SHARES = 4
 
 
 def measured_bytes(table: DataFrame) -> int:
@@ -40,10 +40,22 @@ def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def hot_keys(rows: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys with at least ``min_rows`` rows, at most HOT_KEYS of them."""
+    """All keys with more rows than one task should take, and the salts that spread them.
+
+    Each salt of a key gets about as many rows as the threshold: ``min_rows``, or the
+    SHARES-th part of a partition's share of all rows if that is more.
+    """
+    spark = rows.sparkSession
     counts = rows.where(_no_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") >= min_rows).orderBy(F.desc("_n")).limit(HOT_KEYS)
-    return store(hot.select(*keys), "hot-keys")
+    counts = store(counts, "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    threshold = max(min_rows, -(-total // (SHARES * shuffle_partitions(spark))))
+    hot = counts.where(F.col("_n") > threshold)
+    return store(hot.select(*keys, F.ceil(F.col("_n") / threshold).cast("int").alias("_salts")), "hot-keys")
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def lookup_join(
@@ -63,21 +75,16 @@ def lookup_join(
     """
     if broadcast:
         return rows.join(F.broadcast(table), keys, "left")
-    hot = hot_keys(rows if counted is None else counted, keys, hot_rows).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot_keys(rows if counted is None else counted, keys, hot_rows))
     # Null keys match nothing; salted too, they do not pile up in one task.
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | ~_no_null(keys), salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_table = table.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(copies)
-    )
+    salts = F.when(_no_null(keys), F.col("_salts")).otherwise(SHARES * shuffle_partitions(rows.sparkSession))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), salts), F.lit(0)).cast("int")
+    salted_rows = rows.join(hot, keys, "left").withColumn("_salt", salt)
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_table = table.join(hot, keys, "left").withColumn("_salt", F.explode(copies))
     return (
-        salted_rows.drop("_hot")
-        .join(salted_table.drop("_hot"), [*keys, "_salt"], "left")
+        salted_rows.drop("_salts")
+        .join(salted_table.drop("_salts"), [*keys, "_salt"], "left")
         .drop("_salt")
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajloom.functions.tokens import scored_tokens
@@ -87,7 +87,7 @@ def score_tokens(
     """(id, pos, token, token_logp) per completion token.
 
     A trajectory without scored tokens keeps one row with nulls, so that sums per
-    trajectory lose nobody.
+    trajectory lose nobody. Ids must be unique; ``training_run.with_ids`` makes such ids.
     """
     small = fits_broadcast(policy.counts, broadcast_bytes)
     if policy.is_bigram:
@@ -130,37 +130,59 @@ def sequence_nll(token_scores: DataFrame, id_col: str = "traj_id") -> DataFrame:
     return token_scores.groupBy(id_col).agg((F.lit(0.0) - total).alias("nll_seq"))
 
 
+# Logits of one class lie within SPAN, so their exponentials, taken from its lower end, stay finite.
+SPAN = 500.0
+
+
 def logits_scores(
-    logits: DataFrame, targets: DataFrame, shift: str | None = None, id_col: str = "traj_id"
+    logits: DataFrame,
+    targets: DataFrame,
+    shift: str | None = None,
+    id_col: str = "traj_id",
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Token log-probs from a long table (id, pos, token, logit) of raw logits.
 
     ``targets`` holds (id, pos, token) of the scored tokens; the logits at ``pos - 1``
     predict the token at ``pos``. ``shift`` names a column of ``logits`` with the number
-    of logit positions in front of the labelled ones, to be skipped. All steps share
-    one placement by position; a group is one position's vocabulary.
+    of logit positions in front of the labelled ones, to be skipped. The log-sum-exp is
+    summed per class of logits of similar size, so it combines before the shuffle; the
+    logits themselves are moved only if the targets are too many to broadcast. A target
+    without a logit is an error.
     """
     at = F.col("pos") + 1
     if shift is not None:
         at = at - F.col(shift)
-    scores = logits.select(id_col, at.alias("pos"), F.col("token").alias("candidate"), "logit")
-    rows = scores.join(targets.select(id_col, "pos", "token"), [id_col, "pos"])
-    # Stable log-sum-exp: the largest logit first, then the sum against it.
-    top = F.max("logit").over(Window.partitionBy(id_col, "pos"))
-    picked = F.when(F.col("candidate") == F.col("token"), F.col("logit") - F.col("top"))
-    return (
-        rows.withColumn("top", top)
-        .groupBy(id_col, "pos")
-        .agg(
-            F.first("token").alias("token"),
-            (F.max(picked) - F.ln(F.sum(F.exp(F.col("logit") - F.col("top"))))).alias("token_logp"),
-        )
-    )
-
-
-def unigram_logits(policy: TabularPolicy) -> DataFrame:
-    """(token, theta) of the softmax policy that equals a smoothed unigram policy."""
-    return policy.counts.select("token", F.ln(F.col("n") + policy.smoothing).alias("theta"))
+    scores = logits.select(id_col, at.alias("pos"), F.col("token"), F.col("logit").cast("double").alias("logit"))
+    targets = targets.select(id_col, "pos", "token")
+    sized = scores.withColumn("_class", F.floor(F.col("logit") / SPAN).cast("double"))
+    parts = sized.groupBy(id_col, "pos", "_class").agg(F.sum(F.exp(F.col("logit") - F.col("_class") * SPAN)).alias("_sum"))
+    part = F.struct(F.col("_class").alias("c"), F.ln("_sum").alias("s"))
+    norms = parts.groupBy(id_col, "pos").agg(F.collect_list(part).alias("_parts"), F.max("_class").alias("_top"))
+    # A few classes per position.
+    shares = F.aggregate("_parts", F.lit(0.0), lambda total, p: total + F.exp(p["s"] + (p["c"] - F.col("_top")) * SPAN))
+    norms = norms.select(id_col, "pos", (F.ln(shares) + F.col("_top") * SPAN).alias("_norm"))
+    keys = [id_col, "pos", "token"]
+    small = F.broadcast(targets.distinct()) if fits_broadcast(targets, broadcast_bytes) else targets.distinct()
+    picked = scores.join(small, keys).select(*keys, "logit")
+    rows = targets.join(norms, [id_col, "pos"], "left").join(picked, keys, "left")
+    error = F.raise_error(F.lit("a target has no logit")).cast("boolean")
+    known = F.col("logit").isNotNull() & F.col("_norm").isNotNull()
+    rows = rows.where(F.when(known, F.lit(True)).otherwise(error))
+    return rows.select(id_col, "pos", "token", (F.col("logit") - F.col("_norm")).alias("token_logp"))
+
+
+def unigram_logits(policy: TabularPolicy, vocabulary: DataFrame) -> DataFrame:
+    """(token, theta) of the softmax policy that equals a smoothed unigram policy.
+
+    ``vocabulary`` holds every ``token_id`` that the policy's vocabulary size counts; tokens
+    that were never seen get the logit of the smoothing alone.
+    """
+    if not policy.smoothing > 0:
+        raise ValueError("a token with probability 0 has no logit: smoothing must be positive")
+    tokens = vocabulary.select(F.col("token_id").alias("token")).distinct()
+    counts = tokens.join(policy.counts, "token", "full")
+    return counts.select("token", F.ln(F.coalesce("n", F.lit(0.0)) + policy.smoothing).alias("theta"))
 
 
 def softmax_policy(theta: DataFrame) -> DataFrame:
@@ -172,12 +194,33 @@ def softmax_policy(theta: DataFrame) -> DataFrame:
     return theta.withColumn("logp", F.col("theta") - F.lit(top + math.log(total)))
 
 
+def counted_samples(samples: DataFrame, options: TokenOptions = TokenOptions()) -> DataFrame:
+    """The samples as the gradient needs them, written: a row number of their own, the columns
+    of the loss, and the completion's distinct tokens with their numbers."""
+    rows = samples.withColumn("_row", F.monotonically_increasing_id())
+    tokens = F.transform(scored_tokens(F.col("input_ids"), F.col("labels"), options.label_pad_token_id), lambda t: t["token"])
+    kept = [c for c in ("old_logps", "advantage", "origin_is_negative") if c in samples.columns]
+    rows = rows.select("_row", *kept, F.array_sort(tokens).alias("_all"))
+    # Equal tokens lie side by side: a run's length is where the next one begins.
+    starts = F.filter(
+        F.transform("_all", lambda t, i: F.when((i == 0) | (t != F.get("_all", i - 1)), i)), lambda i: i.isNotNull()
+    )
+    rows = rows.withColumn("_starts", starts)
+    counts = F.transform(
+        "_starts",
+        lambda at, k: F.struct(
+            F.get("_all", at).alias("token"),
+            (F.coalesce(F.get("_starts", k + 1), F.size("_all")) - at).alias("n"),
+        ),
+    )
+    return store(rows.withColumn("tokens", counts).drop("_all", "_starts"), "samples")
+
+
 def policy_update(
     samples: DataFrame,
     theta: DataFrame,
     lr: float,
     loss_options: LossOptions = LossOptions(),
-    id_col: str = "traj_id",
     options: TokenOptions = TokenOptions(),
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
@@ -187,27 +230,33 @@ def policy_update(
     With A(v) the summed coefficients of all occurrences of token v and S their sum
     over all tokens, the gradient is (A(v) - S * pi(v)) / rows. The ratio inside the
     coefficient counts as a constant. ``samples`` has the token lists and the enriched
-    columns; every token in them must be in ``theta``.
-    Returns (token, theta, gradient, new_theta).
+    columns, or comes from :func:`counted_samples`; a token that is not in ``theta`` is an
+    error. Returns (token, theta, gradient, new_theta).
     """
+    rows = samples if "tokens" in samples.columns else counted_samples(samples, options)
     policy = store(softmax_policy(theta), "softmax")
     small = fits_broadcast(policy, broadcast_bytes)
-    rows = samples.repartition(id_col) if small else samples
-    tokens = completion_tokens(rows, [id_col], options, outer=True)
     table = policy.select("token", F.col("logp").alias("token_logp"))
-    scored = lookup_join(tokens, table, ["token"], [id_col, "pos"], small, hot_rows)
-    scores = with_loss(samples.join(sequence_scores(scored, id_col), id_col), loss_options)
-    coef = F.col("coef")
-    if loss_options.length_normalize:
-        coef = coef / F.col("completion_len")
-    weighted = scores.withColumn("_coef", coef)
-    used = completion_tokens(weighted, ["_coef"], options)
-    sums = store(used.groupBy("token").agg(F.sum("_coef").alias("_a")), "gradient")
-    whole = sums.agg(F.sum("_a")).first()[0] or 0.0
-    count = samples.count()
-    gradient = (F.coalesce("_a", F.lit(0.0)) - F.exp("logp") * F.lit(whole)) / F.lit(max(count, 1))
+    tokens = rows.select("_row", F.inline("tokens"))
+    found = lookup_join(tokens, table, ["token"], ["_row"], small, hot_rows)
+    error = F.raise_error(F.concat(F.lit("no logit for token "), F.col("token").cast("string"))).cast("boolean")
+    found = found.where(F.when(F.col("token_logp").isNotNull(), F.lit(True)).otherwise(error))
+    sums = found.groupBy("_row").agg(F.sum(F.col("n") * F.col("token_logp")).alias("_sum"), F.sum("n").alias("_scored"))
+    scored = rows.join(sums, "_row", "left").withColumns(
+        {
+            "policy_logps": F.coalesce("_sum", F.lit(0.0)),
+            "completion_len": F.greatest(F.coalesce("_scored", F.lit(0)), F.lit(1)).cast("double"),
+        }
+    )
+    losses = with_loss(scored, loss_options)
+    coef = F.col("coef") / F.col("completion_len") if loss_options.length_normalize else F.col("coef")
+    weighted = store(losses.select(coef.alias("_coef"), F.coalesce("_scored", F.lit(0)).alias("_scored"), "tokens"), "coefficients")
+    count, whole = weighted.agg(F.count(F.lit(1)), F.sum(F.col("_coef") * F.col("_scored"))).first()
+    used = weighted.select("_coef", F.inline("tokens"))
+    masses = used.groupBy("token").agg(F.sum(F.col("_coef") * F.col("n")).alias("_a"))
+    gradient = (F.coalesce("_a", F.lit(0.0)) - F.exp("logp") * F.lit(whole or 0.0)) / F.lit(max(count, 1))
     return (
-        policy.join(sums, "token", "left")
+        policy.join(masses, "token", "left")
         .withColumn("gradient", gradient)
         .select("token", "theta", "gradient", (F.col("theta") - lr * F.col("gradient")).alias("new_theta"))
     )
@@ -219,11 +268,11 @@ def train_policy(
     lr: float,
     steps: int,
     loss_options: LossOptions = LossOptions(),
-    id_col: str = "traj_id",
     options: TokenOptions = TokenOptions(),
 ) -> DataFrame:
     """Several full-batch steps. Each step's table is written, so the plan stays short."""
+    rows = counted_samples(samples, options)
     for _ in range(steps):
-        updated = policy_update(samples, theta, lr, loss_options, id_col, options)
+        updated = policy_update(rows, theta, lr, loss_options, options)
         theta = store(updated.select("token", F.col("new_theta").alias("theta")), "theta")
     return theta

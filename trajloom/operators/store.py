@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """For jobs: what is stored inside, and before it, is deleted at the end, also after errors."""
+    try:
+        yield
+    finally:
+        remove_stored(spark)
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Delete all tables this application has stored; call it once their readers are done."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajloom.functions.tokens import model_inputs, model_prompt, split_tokens
 from trajloom.operators.indexing import range_positions
 from trajloom.operators.lookup import BROADCAST_BYTES, HOT_ROWS, fits_broadcast, lookup_join
+from trajloom.operators.store import store
 from trajloom.options import FIRST_TOKEN_ID, UNK_ID, TokenOptions
 
 
@@ -30,45 +36,64 @@ def encode(
     df: DataFrame,
     columns: list[str],
     vocabulary: DataFrame,
-    id_col: str = "traj_id",
     unk_id: int = UNK_ID,
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``<column>_ids`` for each text column. ``id_col`` must be unique.
+    """Add ``<column>_ids`` for each text column, row by row: ids of rows play no part.
 
-    With a vocabulary small enough to broadcast, rows are placed by id before they are
-    split, so whole texts are shuffled once and the token rows never are.
+    A vocabulary whose measured size is within the limit goes to all tasks, and each row
+    is encoded where it lies, on Arrow batches. With a larger one the rows are written with
+    a number of their own, only their tokens are joined, and the lists come back by number.
     """
     table = vocabulary.select("token", "token_id")
-    small = fits_broadcast(table, broadcast_bytes)
-    texts = df.select(id_col, *columns)
-    if small:
-        texts = texts.repartition(id_col)
+    if fits_broadcast(table, broadcast_bytes):
+        lookup = token_lookup(table.toArrow(), unk_id)
+        return df.withColumns({f"{c}_ids": lookup(_words(c)) for c in columns})
+    rows = store(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
     pieces = F.concat(*[_numbered(i, column) for i, column in enumerate(columns)])
-    tokens = texts.select(id_col, F.inline_outer(pieces))
-    found = lookup_join(tokens, table, ["token"], [id_col, "field", "pos"], small, hot_rows)
+    tokens = rows.select("_row", F.inline(pieces))
+    found = lookup_join(tokens, table, ["token"], ["_row", "field", "pos"], False, hot_rows)
     item = F.struct("field", "pos", F.coalesce("token_id", F.lit(unk_id)).alias("id"))
-    coded = found.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), item))).alias("_items")
-    )
-    coded = coded.select(id_col, *[_ids_of(i, column) for i, column in enumerate(columns)])
-    return df.join(coded, id_col)
+    coded = found.groupBy("_row").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    joined = rows.join(coded, "_row", "left")
+    return joined.withColumns({f"{c}_ids": _ids_of(i) for i, c in enumerate(columns)}).drop("_row", "_items")
+
+
+def token_lookup(table: pa.Table, unk_id: int) -> Callable[[Column], Column]:
+    """A function from lists of tokens to lists of ids, over whole Arrow batches at a time."""
+    words = table["token"].combine_chunks()
+    ids = pa.concat_arrays([*table["token_id"].cast(pa.int32()).chunks, pa.array([unk_id], pa.int32())])
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def lookup(tokens: pa.Array) -> pa.Array:
+        flat = tokens.flatten()
+        at = pc.index_in(flat, words)
+        found = ids.take(pc.fill_null(at, len(words)))
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0)
+        ends = pc.cumulative_sum(sizes.cast(pa.int64()))
+        offsets = pa.concat_arrays([pa.array([0], pa.int64()), ends]).cast(pa.int32())
+        return pa.ListArray.from_arrays(offsets, found)
+
+    return lookup
+
+
+def _words(column: str) -> Column:
+    return F.coalesce(split_tokens(F.col(column)), F.array().cast("array<string>"))
 
 
-def _numbered(field: int, column: str):
-    words = F.coalesce(split_tokens(F.col(column)), F.array().cast("array<string>"))
+def _numbered(field: int, column: str) -> Column:
     return F.transform(
-        words,
+        _words(column),
         lambda word, pos: F.struct(
             F.lit(field).alias("field"), pos.alias("pos"), word.alias("token")
         ),
     )
 
 
-def _ids_of(field: int, column: str):
+def _ids_of(field: int) -> Column:
     mine = F.filter("_items", lambda item: item["field"] == field)
-    return F.transform(mine, lambda item: item["id"]).alias(f"{column}_ids")
+    return F.coalesce(F.transform(mine, lambda item: item["id"]), F.array().cast("array<int>"))
 
 
 def with_model_inputs(df: DataFrame, options: TokenOptions = TokenOptions()) -> DataFrame:

@@ -20,10 +20,6 @@ from trajloom.options import TokenOptions
 # Functions of this package travel by value, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(trajloom)
 
-SCORE_FIELDS = [
-    T.StructField("policy_logps", T.DoubleType()),
-    T.StructField("completion_len", T.DoubleType()),
-]
 # Rows that a batch function's task gathers before it hands them back.
 OUTPUT_ROWS = 10_000
 
@@ -73,13 +69,16 @@ def map_batches(
     fn: Callable[[list[dict]], list[dict]],
     schema: T.StructType,
     keys: list[str],
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Apply ``fn(rows) -> rows`` to the rows of each batch, as a collator would see them.
 
+    Rows come in the order of ``order``, by default ``position`` if there is such a column.
     Batches have a fixed number of rows. Each task gets whole batches one after the other
     and holds one at a time.
     """
-    placed = df.repartition(*keys).sortWithinPartitions(*keys)
+    order = [c for c in ["position"] if c in df.columns] if order is None else order
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
@@ -100,40 +99,55 @@ def score_with(
     make_model: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
     id_col: str = "traj_id",
     options: TokenOptions = TokenOptions(),
+    batch_rows: int = 16,
 ) -> DataFrame:
-    """Score completions with a user's causal model, made once per partition.
+    """(id, pos, token, token_logp) of completions under a user's causal model.
 
-    The model takes one sequence's ids and mask and returns logits by position and
-    token; with more positions than labels the last ones count.
+    The model, made once per partition, takes the padded ids and masks of up to
+    ``batch_rows`` rows (row x position) and returns logits (row x position x token); with
+    more positions than ids the last ones count. A row without scored tokens keeps one row
+    of nulls, so that :func:`~trajloom.operators.policy.sequence_scores` loses nobody.
     """
-    masked = options.label_pad_token_id
-    schema = T.StructType([df.schema[id_col], *SCORE_FIELDS])
+    fields = [T.StructField("pos", T.IntegerType()), T.StructField("token", T.IntegerType()), T.StructField("token_logp", T.DoubleType())]
+    schema = T.StructType([df.schema[id_col], *fields])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
-        for frame in frames:
-            scores = [
-                score_sequence(model, np.asarray(i), np.asarray(m), np.asarray(t), masked)
-                for i, m, t in zip(frame["input_ids"], frame["attention_mask"], frame["labels"])
-            ]
-            sums, sizes = zip(*scores) if scores else ((), ())
-            yield pd.DataFrame(
-                {id_col: frame[id_col], "policy_logps": sums, "completion_len": sizes}
-            )
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                lists = (part.column(c).to_pylist() for c in ("input_ids", "attention_mask", "labels"))
+                row, pos, token, logp = score_rows(model, *lists, options)
+                columns = [part.column(id_col).take(pa.array(row)), pos, token, logp]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "pos", "token", "token_logp"])
 
     needed = df.select(id_col, "input_ids", "attention_mask", "labels")
-    return needed.mapInPandas(run, schema)
-
-
-def score_sequence(model, ids, mask, labels, masked: int) -> tuple[float, float]:
-    """Summed log-prob and length (at least 1) of one completion."""
-    targets = np.flatnonzero(labels != masked)
-    targets = targets[targets > 0]
-    if len(targets) == 0:
-        return 0.0, 1.0
-    logits = np.asarray(model(ids, mask), dtype=float)[-len(labels):]
-    rows = logits[targets - 1]
-    top = rows.max(axis=1)
-    norm = top + np.log(np.exp(rows - top[:, None]).sum(axis=1))
-    picked = rows[np.arange(len(targets)), labels[targets]]
-    return float((picked - norm).sum()), float(len(targets))
+    return needed.mapInArrow(run, schema)
+
+
+def padded(lists: list[list[int]], pad: int, width: int) -> np.ndarray:
+    out = np.full((len(lists), width), pad, np.int64)
+    for i, values in enumerate(lists):
+        out[i, : len(values)] = values
+    return out
+
+
+def score_rows(model, ids, masks, labels, options: TokenOptions):
+    """Row, position, token and log-prob of each scored token; nulls for rows without one."""
+    width = max(map(len, ids), default=0)
+    targets = padded(labels, options.label_pad_token_id, width)
+    scored = targets != options.label_pad_token_id
+    scored[:, :1] = False
+    row, pos = np.nonzero(scored)
+    token, logp = targets[row, pos], np.zeros(0)
+    if len(row):
+        logits = np.asarray(model(padded(ids, options.pad_id, width), padded(masks, 0, width)), float)[:, -width:]
+        found = logits[row, pos - 1]
+        top = found.max(axis=1)
+        logp = found[np.arange(len(row)), token] - top - np.log(np.exp(found - top[:, None]).sum(axis=1))
+    empty = np.flatnonzero(~scored.any(axis=1)) if width else np.arange(len(ids))
+    order = np.argsort(np.concatenate([row, empty]), kind="stable")
+    nulls = [None] * len(empty)
+    columns = [[*row.tolist(), *empty.tolist()], [*pos.tolist(), *nulls], [*token.tolist(), *nulls], [*logp.tolist(), *nulls]]
+    row, pos, token, logp = ([c[i] for i in order] for c in columns)
+    return row, pa.array(pos, pa.int32()), pa.array(token, pa.int32()), pa.array(logp, pa.float64())

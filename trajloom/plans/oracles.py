@@ -272,7 +272,14 @@ grad{i} AS (
 theta_{i} AS (SELECT token, theta - 0.1E0 * gradient AS theta FROM grad{i})"""
 
 
-THETA = "theta_0 AS (SELECT token, ln(n + 1) AS theta FROM unigrams)"
+THETA = """theta_0 AS (
+  SELECT token_id AS token, ln(coalesce(n, 0.0E0) + 1) AS theta
+  FROM (SELECT token_id FROM vocabulary) LEFT JOIN unigrams ON token = token_id)"""
+
+ENRICHED = f"""WITH {TEXT}
+SELECT traj_id, {r6("-nll_seq")} AS old_logps, {r6("coalesce(advantage, 1.0E0)")} AS advantage,
+  CASE WHEN lower(trim(origin_label)) = 'negative' THEN 1.0E0 ELSE 0.0E0 END AS origin_is_negative
+FROM trajectories"""
 
 
 def policy_update(norm: bool = False) -> str:
@@ -334,6 +341,8 @@ SELECT traj_id, {r6("coalesce(round(advantage, 3), 0.25E0)")} AS advantage FROM
     "template_boxed": template("qwen2-boxed"),
     "template_default": template("ours"),
     "replay_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
+    "replay_pairs_sparse": f"""WITH {PAIRS}
+SELECT * REPLACE (group_id || ':' || turn * 60000 AS traj_id, turn * 60000 AS turn) FROM pairs""",
     "group_advantage": f"""WITH {TEXT}
 SELECT traj_id, group_id, reward, {r6("full_advantage")} AS advantage FROM advantaged""",
     "event_advantage": f"""WITH rewarded AS (
@@ -349,6 +358,10 @@ SELECT word AS token, n, token_id FROM vocabulary""",
     "encode": f"""WITH {PAIRS}, {words("pairs", ["prompt", "response"])},
 {vocabulary("WHERE field = 1")}, {coded("pairs")}
 SELECT traj_id, {shown("p")} AS prompt_ids, {shown("r")} AS response_ids FROM coded""",
+    "encode_repeated_ids": f"""WITH {PAIRS}, {words("pairs", ["prompt", "response"])},
+{vocabulary("WHERE field = 1")}, {coded("pairs")}
+SELECT CASE WHEN group_id % 5 <> 0 THEN group_id END AS group_id, {shown("p")} AS prompt_ids,
+  {shown("r")} AS response_ids FROM coded JOIN pairs USING (traj_id)""",
     "truncate_keep_end": model_inputs(**LIMITS),
     "truncate_keep_start": model_inputs(**LIMITS, start=True),
     "labels_mask": model_inputs(bos=False),
@@ -368,6 +381,16 @@ FROM kept JOIN trajectories USING (traj_id) GROUP BY origin_label""",
     "batch_assign_events": f"WITH {assignment('events', 'event_id')} SELECT event_id, {PLACE} FROM placed",
     "step_limit": f"""WITH {assignment("events", "event_id", per=1, procs=1, accum=1, epochs=1)}
 SELECT event_id, {PLACE} FROM placed WHERE global_step < 5""",
+    "step_limit_over_epochs": f"""WITH steps AS (SELECT CAST(ceil(COUNT(*) / 128.0E0) AS BIGINT) AS per FROM events),
+passes AS (SELECT unnest(range((SELECT CAST(greatest(ceil(100.0E0 / per), 1) AS BIGINT) FROM steps))) AS epoch),
+ordered AS (
+  SELECT event_id, CAST(epoch AS INTEGER) AS epoch,
+    ROW_NUMBER() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || event_id)) - 1 AS position
+  FROM events, passes),
+placed AS (
+  SELECT event_id, epoch, position, position // 16 AS batch_id, (position % 16) // 4 AS rank,
+    position // 128 AS step_id, epoch * per + position // 128 AS global_step FROM ordered, steps)
+SELECT event_id, {PLACE} FROM placed WHERE global_step < 100""",
     "pad_batches": f"""WITH {text_tokens()}, {assignment("tokens", "traj_id")},
 sized AS (
   SELECT *, MAX(len(ids)) OVER (PARTITION BY epoch, batch_id, rank) AS m
@@ -382,9 +405,10 @@ last AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY epoch, step_id ORDER BY batch_id DESC) AS back
   FROM per_batch WHERE rank = 0)
 SELECT CAST(epoch AS BIGINT) AS epoch, * EXCLUDE (epoch, back, rank) FROM last WHERE back = 1""",
-    "preview": f"""WITH {TEXT}, {words("trajectories", ["prompt"])}
+    "preview": f"""WITH {text_tokens()}
 SELECT md5('42:' || traj_id) AS preview_key, origin_label, {r6("nll_seq")} AS nll_seq,
-  {r6("-nll_seq")} AS log_mu FROM trajectories ORDER BY 1 LIMIT 3""",
+  len(ids) AS input_length, {r6("-nll_seq")} AS log_mu
+FROM trajectories JOIN tokens USING (traj_id) ORDER BY 1 LIMIT 3""",
     "unigram_policy": f"""WITH {text_tokens()}, {SCORED}, {UNIGRAM}
 SELECT token, n FROM unigrams""",
     "bigram_policy": f"""WITH {text_tokens()}, {SCORED}, {BIGRAM}
@@ -409,6 +433,10 @@ rows AS (
     "policy_training": f"""WITH {text_tokens()}, {SCORED}, {UNIGRAM}, {THETA},
 {update_step(1, "theta_0")}, {update_step(2, "theta_1")}
 SELECT CAST(token AS BIGINT) AS token, {r6("theta")} AS theta FROM theta_2""",
+    "softmax_of_unigram": f"""WITH {text_tokens()}, {SCORED}, {UNIGRAM}
+SELECT CAST(token_id AS BIGINT) AS token, {r6("ln(coalesce(n, 0.0E0) + 1)")} AS theta,
+  {r6("ln((coalesce(n, 0.0E0) + 1) / (total + v))")} AS logp
+FROM (SELECT token_id FROM vocabulary) LEFT JOIN unigrams ON token = token_id, size, mass""",
     "logits_softmax_gather": f"""WITH cells AS (
   SELECT vec_id, label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
 SELECT vec_id, {r6("MAX(x) FILTER (WHERE i = label) - ln(SUM(exp(x)))")} AS token_logp
@@ -427,7 +455,8 @@ SELECT traj_id, {shown("ids")} AS input_ids, {shown("labels")} AS labels FROM to
     "user_row_map": """SELECT doc_id, lang,
   CAST(length(regexp_replace(text, '[^aeiou]', '', 'g')) AS BIGINT) AS letters FROM documents""",
     "user_batch_function": f"""WITH {assignment("events", "event_id")}
-SELECT CAST(epoch AS BIGINT) AS epoch, batch_id, COUNT(*) AS rows, {r6("MAX(value) - MIN(value)")} AS spread
+SELECT CAST(epoch AS BIGINT) AS epoch, batch_id, COUNT(*) AS rows, {r6("SUM((position % 16 + 1) * value)", 4)} AS drift,
+  arg_min(event_id, position) AS first_id
 FROM placed JOIN events USING (event_id) GROUP BY epoch, batch_id""",
     "user_scorer": f"""WITH {text_tokens(**LIMITS)},
 cells AS (
@@ -439,10 +468,14 @@ logits AS (
   SELECT traj_id, pos, label % 16 AS target, c, CAST((CAST(seen AS BIGINT) + 3 * c) % 7 AS DOUBLE) / 2.0E0 AS x
   FROM states, range(16) AS k(c) WHERE label <> -100 AND pos >= 1),
 token_scores AS (
-  SELECT traj_id, pos, MAX(x) FILTER (WHERE c = target) - ln(SUM(exp(x))) AS token_logp
-  FROM logits GROUP BY traj_id, pos), {sequences("sequences", "token_scores")}
-SELECT traj_id, {rounded(["policy_logps", "completion_len"])} FROM sequences""",
+  SELECT traj_id, pos, MAX(target) AS token, MAX(x) FILTER (WHERE c = target) - ln(SUM(exp(x))) AS token_logp
+  FROM logits GROUP BY traj_id, pos)
+SELECT traj_id, pos, token, {r6("token_logp")} AS token_logp FROM token_scores""",
     "json_source": SOURCE,
+    "json_inferred": ENRICHED,
+    "json_long_ids": f"""SELECT event_id + 9007199254740993 AS traj_id, {r6("floor(value)")} AS nll_seq FROM events""",
+    "parquet_mixed_folder": ENRICHED,
+    "directory_with_card": SOURCE,
     "parquet_source": SOURCE,
     "directory_source": SOURCE + " WHERE advantage IS NOT NULL",
     "split_counts": f"""WITH {TEXT}
@@ -450,8 +483,8 @@ SELECT COUNT(advantage) AS train_samples, COUNT(*) - COUNT(advantage) AS eval_sa
     "missing_label_source": f"""WITH {TEXT}
 SELECT traj_id, CAST(NULL AS VARCHAR) AS origin_label, 0.0E0 AS origin_is_negative FROM trajectories""",
     "metrics_sink": f"""WITH {NUMERIC}, {losses("numbers", carry="origin_label,")}
-SELECT CASE WHEN origin_label = 'negative' THEN 'eval' ELSE 'train' END AS split, COUNT(*) AS samples,
-  {r6("AVG(loss)")} AS loss, {r6("AVG(capped)")} AS frac_capped FROM losses GROUP BY 1""",
+SELECT CASE WHEN origin_label = 'negative' THEN 'eval' ELSE 'train' END AS split, {metric_list()}
+FROM losses GROUP BY 1""",
     "training_set_sink": f"""WITH {text_tokens()}, {assignment("tokens", "traj_id")},
 sized AS (
   SELECT *, MAX(len(ids)) OVER (PARTITION BY epoch, batch_id, rank) AS m

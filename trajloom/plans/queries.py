@@ -32,6 +32,7 @@ from trajloom.operators.policy import (
     score_tokens,
     sequence_nll,
     sequence_scores,
+    softmax_policy,
     train_policy,
     unigram_logits,
 )
@@ -238,6 +239,16 @@ def encode_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                         shown(F.col("response_ids")).alias("response_ids"))
 
 
+def encode_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several samples per id, and rows without one: each keeps its own tokens."""
+    texts = replay_pairs(table(spark, sf_dir, "conversations"))
+    words = build_vocabulary(texts, ["response"])
+    group = F.when(F.col("group_id") % 5 != 0, F.col("group_id")).alias("group_id")
+    coded = encode(texts.select(group, *TEXT), TEXT, words)
+    return coded.select("group_id", shown(F.col("prompt_ids")).alias("prompt_ids"),
+                        shown(F.col("response_ids")).alias("response_ids"))
+
+
 def model_inputs_query(options: TokenOptions) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = text_tokens(spark, sf_dir, options)
@@ -307,20 +318,27 @@ def step_metrics_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(last_metrics(per_batch, ["epoch", "step_id", "global_step"]))
 
 
+def step_limit_over_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More steps than one pass has: the step count wins over the one epoch asked for."""
+    options = BatchOptions(per_device=4, processes=4, accumulation=8, epochs=1, max_steps=100)
+    return assign_batches(table(spark, sf_dir, "events"), "event_id", options)
+
+
 def preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = preview_rows(text_trajectories(spark, sf_dir))
-    return rounded(preview(rows, "preview_key"))
+    return rounded(preview(preview_rows(text_tokens(spark, sf_dir), "traj_id"), "preview_key"))
 
 
 # --- Policies -----------------------------------------------------------------
 
 
-def trained(spark: SparkSession, sf_dir: str, bigram: bool) -> tuple[DataFrame, TabularPolicy]:
-    """Token table and a policy counted on its completions."""
+def trained(
+    spark: SparkSession, sf_dir: str, bigram: bool
+) -> tuple[DataFrame, TabularPolicy, DataFrame]:
+    """Token table, a policy counted on its completions, and the vocabulary."""
     texts = apply_template(text_trajectories(spark, sf_dir), PADDED)
     words = build_vocabulary(texts, TEXT)
     tokens = store(with_model_inputs(encode(texts, TEXT, words), PADDED), "tokens")
-    return tokens, fit_policy(tokens, words.count(), bigram, SMOOTHING, options=PADDED)
+    return tokens, fit_policy(tokens, words.count(), bigram, SMOOTHING, options=PADDED), words
 
 
 def unigram_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,26 +357,26 @@ def weighted_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_query(bigram: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tokens, policy = trained(spark, sf_dir, bigram)
+        tokens, policy, words = trained(spark, sf_dir, bigram)
         return rounded(sequence_scores(score_tokens(tokens, policy, options=PADDED)))
 
     return query
 
 
 def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, policy = trained(spark, sf_dir, True)
+    tokens, policy, words = trained(spark, sf_dir, True)
     scores = score_tokens(tokens, policy, options=PADDED).where(F.col("pos").isNotNull())
     return rounded(scores)
 
 
 def sequence_nll_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, policy = trained(spark, sf_dir, False)
+    tokens, policy, words = trained(spark, sf_dir, False)
     return rounded(sequence_nll(score_tokens(tokens, policy, options=PADDED)))
 
 
 def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From text to metrics: the behaviour policy is the unigram, the policy the bigram."""
-    tokens, policy = trained(spark, sf_dir, True)
+    tokens, policy, words = trained(spark, sf_dir, True)
     behaviour = fit_policy(tokens, policy.vocab_size, False, SMOOTHING, options=PADDED)
     nll = sequence_nll(score_tokens(tokens, behaviour, options=PADDED))
     scores = sequence_scores(score_tokens(tokens, policy, options=PADDED))
@@ -368,21 +386,27 @@ def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def policy_update_query(options: LossOptions) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tokens, policy = trained(spark, sf_dir, False)
+        tokens, policy, words = trained(spark, sf_dir, False)
         samples = enrich(tokens, options)
         return rounded(
-            policy_update(samples, unigram_logits(policy), 0.1, options, options=PADDED)
+            policy_update(samples, unigram_logits(policy, words), 0.1, options, options=PADDED)
         )
 
     return query
 
 
 def policy_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, policy = trained(spark, sf_dir, False)
-    theta = train_policy(enrich(tokens), unigram_logits(policy), 0.1, 2, options=PADDED)
+    tokens, policy, words = trained(spark, sf_dir, False)
+    theta = train_policy(enrich(tokens), unigram_logits(policy, words), 0.1, 2, options=PADDED)
     return rounded(theta)
 
 
+def softmax_of_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The softmax policy that training starts from gives the fitted policy's probabilities."""
+    _, policy, words = trained(spark, sf_dir, False)
+    return rounded(softmax_policy(unigram_logits(policy, words)))
+
+
 def logits_softmax_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     score = log_softmax_at(F.col("embedding"), F.col("label")).alias("token_logp")
@@ -435,10 +459,11 @@ def user_row_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(rows, count_letters, schema, {"letters": "aeiou"}, ["text"])
 
 
-def batch_spread(rows: list[dict]) -> list[dict]:
-    values = [row["value"] for row in rows]
+def batch_drift(rows: list[dict]) -> list[dict]:
+    """Values weighted by their place in the batch: another order, another result."""
     place = {name: rows[0][name] for name in ("epoch", "batch_id")}
-    return [{**place, "rows": len(rows), "spread": max(values) - min(values)}]
+    drift = sum(i * row["value"] for i, row in enumerate(rows, 1))
+    return [{**place, "rows": len(rows), "drift": drift, "first_id": rows[0]["event_id"]}]
 
 
 def user_batch_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,16 +474,17 @@ def user_batch_function(spark: SparkSession, sf_dir: str) -> DataFrame:
             T.StructField("epoch", T.IntegerType()),
             T.StructField("batch_id", T.LongType()),
             T.StructField("rows", T.LongType()),
-            T.StructField("spread", T.DoubleType()),
+            T.StructField("drift", T.DoubleType()),
+            T.StructField("first_id", T.LongType()),
         ]
     )
-    return rounded(map_batches(placed, batch_spread, schema, ["epoch", "batch_id"]))
+    return rounded(map_batches(placed, batch_drift, schema, ["epoch", "batch_id"]), 4)
 
 
 def toy_logits(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """16 logits per position from the ids up to it."""
-    seen = np.cumsum(ids * mask)[:, None]
-    return ((seen + 3 * np.arange(16)[None, :]) % 7) / 2.0
+    """16 logits per position from the ids of its row up to it."""
+    seen = np.cumsum(ids * mask, axis=1)[:, :, None]
+    return ((seen + 3 * np.arange(16)) % 7) / 2.0
 
 
 def make_toy_model():
@@ -469,7 +495,8 @@ def user_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's causal model, over token ids folded into 16 classes."""
     rows = text_tokens(spark, sf_dir, LIMITS)
     folded = F.transform("labels", lambda label: F.when(label < 0, label).otherwise(label % 16))
-    return rounded(score_with(rows.withColumn("labels", folded), make_toy_model, options=LIMITS))
+    scores = score_with(rows.withColumn("labels", folded), make_toy_model, options=LIMITS)
+    return rounded(scores.where(F.col("pos").isNotNull()))
 
 
 # --- Sources, sinks, streams --------------------------------------------------
@@ -489,6 +516,63 @@ def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_columns(read_trajectories(spark, "||".join(paths), rows.schema)["train"])
 
 
+def late_columns(rows: DataFrame) -> list[DataFrame]:
+    """The rows in two parts, of which only the second has labels and advantages."""
+    plain = F.col("origin_label").isNull() & F.col("advantage").isNull()
+    return [rows.where(plain).drop("origin_label", "advantage"), rows.where(~plain)]
+
+
+def json_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No schema given; labels and advantages come in the second file only."""
+    paths = [new_path(spark, "early") + ".jsonl", new_path(spark, "late") + ".jsonl"]
+    for part, path in zip(late_columns(text_trajectories(spark, sf_dir)), paths):
+        part.write.json(path)
+    rows = read_trajectories(spark, "||".join(paths))["train"]
+    return rounded(enrich(rows).select("traj_id", "old_logps", "advantage", "origin_is_negative"))
+
+
+def json_long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids beyond the whole numbers that a double holds stay as they are."""
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("event_id") + F.lit((1 << 53) + 1)).alias("traj_id"), F.lit("p").alias("prompt"),
+        F.lit("r").alias("response"), F.floor("value").alias("nll_seq"),
+    )
+    path = new_path(spark, "ids") + ".jsonl"
+    rows.write.json(path)
+    back = read_trajectories(spark, path)["train"]
+    return rounded(back.select("traj_id", "nll_seq"))
+
+
+def parquet_mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder whose files have different columns."""
+    path = new_path(spark, "mixed")
+    for part in late_columns(text_trajectories(spark, sf_dir)):
+        part.write.mode("append").parquet(path)
+    rows = read_trajectories(spark, path)["train"]
+    return rounded(enrich(rows).select("traj_id", "old_logps", "advantage", "origin_is_negative"))
+
+
+def directory_with_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON data beside a card and an info file, none of them named after a split."""
+    path = new_path(spark, "carded")
+    text_trajectories(spark, sf_dir).write.json(f"{path}/data")
+    card = spark.range(1).select(F.lit('{"description": "no row"}').alias("value"))
+    names = {"info.json": f"{path}/.card", "README.md": f"{path}/.readme"}
+    for name, part in names.items():
+        card.coalesce(1).write.text(part)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        (written,) = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        files.rename(written, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+    return source_columns(read_trajectories(spark, path)["train"])
+
+
+def replay_pairs_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn numbers that are times, a minute apart."""
+    turns = table(spark, sf_dir, "conversations").withColumn("turn", F.col("turn") * 60_000)
+    return replay_pairs(turns)
+
+
 def parquet_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parquet files with different columns, read back as one list."""
     rows = text_trajectories(spark, sf_dir)
@@ -529,9 +613,10 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = losses(numeric_trajectories(spark, sf_dir))
     path = new_path(spark, "metrics")
     negative = F.col("origin_label") == "negative"
-    save_metrics(rounded(metrics(rows.where(~negative))), path, "train")
-    save_metrics(rounded(metrics(rows.where(negative))), path, "eval")
-    schema = "split string, samples bigint, loss double, frac_capped double"
+    results = {"train": rounded(metrics(rows.where(~negative))), "eval": rounded(metrics(rows.where(negative)))}
+    for split, result in results.items():
+        save_metrics(result, path, split)
+    schema = T.StructType([T.StructField("split", T.StringType()), *results["train"].schema.fields])
     return spark.read.schema(schema).json(path)
 
 
@@ -602,11 +687,13 @@ QUERIES: dict[str, Query] = {
     "template_boxed": template("qwen2-boxed"),
     "template_default": template("ours"),
     "replay_pairs": pairs_query,
+    "replay_pairs_sparse": replay_pairs_sparse,
     "group_advantage": group_advantage_query,
     "event_advantage": event_advantage,
     "origin_labelling": origin_labelling,
     "vocabulary": vocabulary,
     "encode": encode_query,
+    "encode_repeated_ids": encode_repeated_ids,
     "truncate_keep_end": model_inputs_query(LIMITS),
     "truncate_keep_start": model_inputs_query(KEEP_START),
     "labels_mask": model_inputs_query(TokenOptions()),
@@ -616,6 +703,7 @@ QUERIES: dict[str, Query] = {
     "batch_assign": batch_assign,
     "batch_assign_events": batch_assign_events,
     "step_limit": step_limit,
+    "step_limit_over_epochs": step_limit_over_epochs,
     "pad_batches": pad_batches_query,
     "batch_metrics": batch_metrics_query,
     "step_metrics_last": step_metrics_last,
@@ -631,6 +719,7 @@ QUERIES: dict[str, Query] = {
     "policy_update": policy_update_query(LossOptions()),
     "policy_update_length_norm": policy_update_query(LossOptions(length_normalize=True)),
     "policy_training": policy_training,
+    "softmax_of_unigram": softmax_of_unigram,
     "logits_softmax_gather": logits_softmax_gather,
     "logits_long": logits_long,
     "user_encoder": user_encoder,
@@ -638,6 +727,10 @@ QUERIES: dict[str, Query] = {
     "user_batch_function": user_batch_function,
     "user_scorer": user_scorer,
     "json_source": json_source,
+    "json_inferred": json_inferred,
+    "json_long_ids": json_long_ids,
+    "parquet_mixed_folder": parquet_mixed_folder,
+    "directory_with_card": directory_with_card,
     "parquet_source": parquet_source,
     "directory_source": directory_source,
     "split_counts": split_counts_query,

@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajloom.operators.batching import assign_batches, training_set
-from trajloom.operators.enrich import apply_template, enrich, model_batch, with_loss
-from trajloom.operators.indexing import order_key
+from trajloom.operators.enrich import apply_template, enrich, model_batch, preview, with_loss
+from trajloom.operators.indexing import order_key, range_positions
 from trajloom.operators.metrics import metrics
 from trajloom.operators.policy import TabularPolicy, score_tokens, sequence_scores
 from trajloom.operators.store import store
 from trajloom.operators.tokenise import build_vocabulary, encode, with_model_inputs
+from trajloom.operators.userfn import encode_with
 from trajloom.options import BatchOptions, LossOptions, TokenOptions
 from trajloom.sources.reader import TEST, TRAIN, check_tokenised, prune, read_trajectories
 from trajloom.sources.writer import save_metrics, save_training_set
 
+logger = logging.getLogger(__name__)
+TEXTS = ["prompt", "response"]
+
+
+ROW_ID = "row_id"
+
+
+def with_ids(df: DataFrame, id_col: str = ROW_ID) -> DataFrame:
+    """The rows, written, with a dense number each that hangs on their content alone.
 
-def with_ids(df: DataFrame, id_col: str = "traj_id") -> DataFrame:
-    """Give each row an id and write the rows, so that every later reading sees the same ids."""
-    if id_col in df.columns:
-        return df
-    return store(df.withColumn(id_col, F.monotonically_increasing_id()), "trajectories")
+    Rows are numbered in the order of a checksum of all columns; equal rows, which are
+    interchangeable, are told apart by place. Files, partitions and settings play no part.
+    """
+    named = df.drop(id_col)
+    key = F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    rows = named.withColumns({"_key": key, "_tie": F.monotonically_increasing_id()})
+    numbered = range_positions(rows, [F.asc("_key"), F.asc("_tie")])
+    return numbered.withColumnRenamed("position", id_col).drop("_key", "_tie")
 
 
 def tokenised(
     df: DataFrame,
     vocabulary: DataFrame | None = None,
     options: TokenOptions = TokenOptions(),
-    id_col: str = "traj_id",
+    make_encoder: Callable[[], Callable[[str], list[int]]] | None = None,
 ) -> DataFrame:
-    """Template, encode, truncate and mask; side columns stay for the loss."""
+    """Template, encode, truncate and mask; side columns stay for the loss.
+
+    ``make_encoder`` makes a user's own tokenizer; without one the words of ``vocabulary``
+    are the tokens, or of a vocabulary built here.
+    """
     texts = apply_template(df, options)
-    if vocabulary is None:
-        vocabulary = build_vocabulary(texts, ["prompt", "response"])
-    rows = with_model_inputs(encode(texts, ["prompt", "response"], vocabulary, id_col), options)
+    if make_encoder is not None:
+        coded = encode_with(texts, make_encoder, TEXTS)
+    else:
+        words = build_vocabulary(texts, TEXTS) if vocabulary is None else vocabulary
+        coded = encode(texts, TEXTS, words)
+    rows = with_model_inputs(coded, options)
     check_tokenised(rows)
     return rows
 
@@ -69,18 +93,29 @@ def prepare_training_set(
     token_options: TokenOptions = TokenOptions(),
     loss_options: LossOptions = LossOptions(),
     batch_options: BatchOptions = BatchOptions(),
+    schema: T.StructType | None = None,
+    make_encoder: Callable[[], Callable[[str], list[int]]] | None = None,
 ) -> dict[str, DataFrame]:
-    """Read, check, tokenise, batch and pad; write the training set. Returns token tables."""
-    splits = read_trajectories(spark, data_path)
+    """Read, check, tokenise, batch and pad; write the training set. Returns token tables.
+
+    Rows get an id of their own, ``row_id``; ids in the data are data. The token tables lie
+    in the shared folder until ``store.remove_stored`` is called.
+    """
+    splits = read_trajectories(spark, data_path, schema)
     rows = {name: with_ids(prune(df, ["traj_id"])) for name, df in splits.items()}
-    texts = apply_template(rows[TRAIN], token_options)
-    vocabulary = build_vocabulary(texts, ["prompt", "response"])
+    vocabulary = None
+    if make_encoder is None:
+        vocabulary = build_vocabulary(apply_template(rows[TRAIN], token_options), TEXTS)
     tables = {
-        name: store(tokenised(df, vocabulary, token_options), name) for name, df in rows.items()
+        name: store(tokenised(df, vocabulary, token_options, make_encoder), name)
+        for name, df in rows.items()
     }
-    ready = model_batch(enrich(tables[TRAIN], loss_options), ["traj_id"])
-    assignment = assign_batches(tables[TRAIN], "traj_id", batch_options)
-    save_training_set(training_set(ready, assignment, "traj_id", token_options), output_dir)
+    for row in preview(preview_rows(tables[TRAIN], ROW_ID, batch_options.seed), "preview_key").collect():
+        logger.info("sample %s", row.asDict())
+    known = [c for c in ("traj_id",) if c in tables[TRAIN].columns]
+    ready = model_batch(enrich(tables[TRAIN], loss_options), [ROW_ID, *known])
+    assignment = assign_batches(tables[TRAIN], ROW_ID, batch_options)
+    save_training_set(training_set(ready, assignment, ROW_ID, token_options), output_dir)
     return tables
 
 
@@ -90,12 +125,17 @@ def evaluate(
     metrics_dir: str,
     token_options: TokenOptions = TokenOptions(),
     loss_options: LossOptions = LossOptions(),
+    id_col: str = ROW_ID,
 ) -> None:
-    """Score each split under a policy and append its metrics."""
+    """Score each table under a policy and append its metrics.
+
+    The split ``test`` is named ``eval``; further evaluation sets keep their names, as in
+    ``eval_math``.
+    """
     for name, df in tables.items():
-        scores = sequence_scores(score_tokens(df, policy, options=token_options))
-        result = metrics(scored_losses(df, scores, loss_options), None, loss_options)
-        save_metrics(result, metrics_dir, {TRAIN: "train", TEST: "eval"}[name])
+        scores = sequence_scores(score_tokens(df, policy, id_col, token_options), id_col)
+        result = metrics(scored_losses(df, scores, loss_options, id_col), None, loss_options)
+        save_metrics(result, metrics_dir, {TRAIN: "train", TEST: "eval"}.get(name, f"eval_{name}"))
 
 
 def preview_rows(df: DataFrame, id_col: str = "traj_id", seed: int = 42) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import logging
 import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajloom.operators.enrich import NLL, ORIGIN
+from trajloom.operators.enrich import ADVANTAGE, NLL, ORIGIN
 
 logger = logging.getLogger(__name__)
 
@@ -21,7 +22,12 @@ FORMAT_MARKERS = {".json": "json", ".parquet": "parquet"}
 # The columns that later steps keep, besides the token lists.
 KEPT_COLUMNS = ["prompt", "response", "nll_seq", "advantage", "origin_label"]
 TRAIN, TEST = "train", "test"
-SCHEMA_ROWS = 1000
+# Columns that are numbers with a fraction, even where a file has whole ones only.
+REAL_COLUMNS = (NLL, ADVANTAGE)
+# Cards and info files that lie beside the data of a dataset.
+SIDE_FILES = ["info.json", "dataset_info.json", "dataset_infos.json", "dataset_dict.json", "state.json", "metadata.json", "config.json"]
+# The rightmost marker in a file's name.
+NAME_FORMAT = r"^.*\.(json|parquet)"
 URI_START = r"^[A-Za-z0-9+.-]+:(//[^/]*)?"
 # The words that name a split in a file or folder name.
 SPLIT_WORDS = {
@@ -29,8 +35,7 @@ SPLIT_WORDS = {
     "validation": ["validation", "valid", "dev", "val"],
     "test": ["test", "testing", "eval", "evaluation"],
 }
-SPLIT_OF = {word: split for split, words in SPLIT_WORDS.items() for word in words}
-SPLIT_WORD = rf"(?:^|[^A-Za-z0-9])({'|'.join(SPLIT_OF)})(?:[^A-Za-z0-9]|$)"
+SPLIT_WORD = rf"(?:^|[^A-Za-z0-9])({'|'.join(w for words in SPLIT_WORDS.values() for w in words)})(?:[^A-Za-z0-9]|$)"
 
 
 def file_format(path: str) -> str | None:
@@ -64,10 +69,10 @@ def read_trajectories(
 def read_json(
     spark: SparkSession, paths: list[str], schema: T.StructType | None = None, **options
 ) -> DataFrame:
-    """JSON lines, or files that hold one JSON array each.
+    """JSON lines, or files that hold one JSON array each (a task reads such a file whole).
 
-    Without a schema the first lines give one, so lines need no second full pass.
-    Values that do not fit the schema fail the job instead of turning into nulls.
+    Without a schema all rows of all files give one, in a distributed pass; pass a schema to
+    save it. Values that do not fit the schema fail the job instead of turning into nulls.
     """
     first = spark.read.text(paths, **options).where(F.trim("value") != "").first()
     arrays = first is not None and first[0].lstrip().startswith("[")
@@ -76,28 +81,23 @@ def read_json(
     return spark.read.schema(schema).json(paths, mode="FAILFAST", multiLine=arrays, **options)
 
 
-def json_schema(
-    spark: SparkSession, paths: list[str], arrays: bool, rows: int = SCHEMA_ROWS, **options
-) -> T.StructType:
-    """Schema of the first lines, with whole numbers widened to doubles.
-
-    Columns that only come later are not seen; pass a schema for such files.
-    """
-    if arrays:
-        found = spark.read.json(paths, multiLine=True, **options).schema
-    else:
-        # head() stops after the first files, whatever the size of the data.
-        lines = [row[0] for row in spark.read.text(paths, **options).head(rows)]
-        found = spark.read.json(spark.sparkContext.parallelize(lines, 1)).schema
-    widened = {T.LongType(): T.DoubleType()}
-    return T.StructType([T.StructField(f.name, widened.get(f.dataType, f.dataType)) for f in found])
+def json_schema(spark: SparkSession, paths: list[str], arrays: bool, **options) -> T.StructType:
+    """The columns of all rows. Whole numbers stay whole, but for NLL and advantage."""
+    found = spark.read.json(paths, mode="FAILFAST", multiLine=arrays, samplingRatio=1.0, **options)
+    whole = T.LongType()
+    return T.StructType(
+        [
+            T.StructField(f.name, T.DoubleType() if f.name in REAL_COLUMNS and f.dataType == whole else f.dataType)
+            for f in found.schema
+        ]
+    )
 
 
 def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Parquet files as one bag; files with other columns are aligned by name."""
-    tables = [spark.read.parquet(p) for p in paths]
+    tables = [spark.read.parquet(p, mergeSchema=True) for p in paths]
     if all(t.schema == tables[0].schema for t in tables):
-        return spark.read.parquet(*paths)
+        return spark.read.schema(tables[0].schema).parquet(*paths)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
@@ -109,17 +109,28 @@ def read_directory(
     Training needs ``train``; ``test`` is used if there; ``validation`` files are left
     alone. The split is taken from the file path, so no data is read to find the
     splits, and a filter on the split skips the other files. Without any split name all
-    rows are training rows.
+    rows are training rows. Cards and info files beside the data are not read.
     """
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fmt = fmt or directory_format(files.listFiles(folder, True), path)
+    files = spark.read.format("binaryFile").load(path, recursiveFileLookup=True)
+    files = files.select(F.col("_metadata.file_path").alias("file"), F.lower("_metadata.file_name").alias("name"))
+    files = files.withColumns({"format": F.regexp_extract("name", NAME_FORMAT, 1), "side": F.col("name").isin(SIDE_FILES)})
+    root = directory_root(files, path)
+    data = files.where((F.col("format") != "") & ~F.col("side"))
+    # One row per format and split, however many files there are.
+    kinds = data.select("format", split_column(F.col("file"), root).alias("split")).distinct().collect()
+    formats = {k["format"] for k in kinds}
+    fmt = fmt or (formats.pop() if len(formats) == 1 else None)
+    if fmt is None:
+        raise ValueError(f"{path} must hold JSON or parquet files, and of one kind")
     if fmt == "json":
-        df = read_json(spark, [path], schema, recursiveFileLookup=True)
+        paths, options = [path], {"recursiveFileLookup": True, "pathGlobFilter": "*.json*"}
+        if not files.where((F.col("format") == "json") & F.col("side")).isEmpty():
+            # A glob can't leave files out, so the data files are named.
+            paths, options = [row["file"] for row in data.toLocalIterator()], {}
+        df = read_json(spark, [decoded_uri(p) for p in paths] if not options else paths, schema, **options)
     else:
-        df = spark.read.option("recursiveFileLookup", True).format(fmt).load(path)
-    root = files.makeQualified(folder).toUri().getRawPath().rstrip("/")
-    names = {file_split(file, root) for file in df.inputFiles()} - {None}
+        df = spark.read.parquet(path, recursiveFileLookup=True, mergeSchema=True, pathGlobFilter="*.parquet*")
+    names = {k["split"] for k in kinds} - {None}
     if not names:
         return {TRAIN: df}
     if TRAIN not in names:
@@ -128,17 +139,29 @@ def read_directory(
     return {name: select_split(tagged, name, "_split") for name in (TRAIN, TEST) if name in names}
 
 
-def file_split(file: str, root: str) -> str | None:
-    """The split named by a word of the path below the root, if any."""
-    word = re.search(SPLIT_WORD, re.sub(URI_START, "", file)[len(root):])
-    return word and SPLIT_OF[word.group(1)]
+def decoded_uri(uri: str) -> str:
+    return unquote(uri)
+
+
+def directory_root(files: DataFrame, path: str) -> str:
+    """The directory as it begins the paths of its files, without scheme and host."""
+    root = re.sub(URI_START, "", path).rstrip("/")
+    if root.startswith("/"):
+        return root
+    first = files.first()
+    if first is None:
+        return root
+    below = re.sub(URI_START, "", unquote(first["file"]))
+    name = re.sub(r"^(\./)+", "", root)
+    return below[: below.index(f"/{name}/") + len(name) + 1]
 
 
 def split_column(file: Column, root: str) -> Column:
-    """:func:`file_split` as a Column."""
-    below = F.substring(F.regexp_replace(file, URI_START, ""), len(root) + 1, 1 << 20)
+    """The split named by a word of a file's path below the root, if any."""
+    plain = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+    below = F.substring(F.regexp_replace(plain, URI_START, ""), len(root) + 1, 1 << 20)
     word = F.regexp_extract(below, SPLIT_WORD, 1)
-    split = F.lit(None)
+    split = F.lit(None).cast("string")
     for name, words in SPLIT_WORDS.items():
         split = F.when(word.isin(words), name).otherwise(split)
     return split
@@ -148,27 +171,18 @@ def select_split(df: DataFrame, name: str, split: str = "split") -> DataFrame:
     return df.where(F.col(split) == name).drop(split)
 
 
-def directory_format(files, path: str) -> str:
-    """The format of the first data file in a listing; the listing stops there."""
-    while files.hasNext():
-        name = files.next().getPath().getName()
-        if not name.startswith(("_", ".")) and file_format(name):
-            return file_format(name)
-    raise ValueError(f"no JSON or parquet files in {path}")
-
-
 def check_columns(df: DataFrame, path: str) -> None:
     """The NLL column is required; a missing origin label means that all rows are positive."""
     if NLL not in df.columns:
-        raise ValueError(f"Required column `{NLL}` not found in dataset ({path}).")
+        raise ValueError(f"{path} has no column `{NLL}`, which training needs")
     if ORIGIN not in df.columns:
-        logger.warning("column `%s` not found; all samples will be treated as positive", ORIGIN)
+        logger.warning("no column `%s`: every row counts as positive", ORIGIN)
 
 
 def check_tokenised(df: DataFrame) -> None:
     """After tokenisation the NLL column must still be there."""
     if NLL not in df.columns:
-        raise RuntimeError(f"column `{NLL}` was dropped during tokenization")
+        raise RuntimeError(f"encoding lost the column `{NLL}`")
 
 
 def with_origin_column(df: DataFrame) -> DataFrame:
