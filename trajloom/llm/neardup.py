@@ -319,8 +319,11 @@ def rest_pairs(members: DataFrame, labels: DataFrame, links: DataFrame, bags: Da
     related = related.join(open_groups, "a", "left_semi")
     # Pairs that share what the leader lacks.
     extra = related.select("a", "b", "own", "far", F.explode("more").alias("shingle"))
-    shared = extra.groupBy("a", "shingle").agg(F.min("own").alias("_least"), F.max("own").alias("_most"), F.max("far").alias("_far"))
-    shared = shared.where((F.col("_least") != F.col("_most")) & F.col("_far")).select("a", "shingle")
+    who = [F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("_sum"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("_check"), F.count(F.lit(1)).alias("_n")]
+    shared = extra.groupBy("a", "shingle").agg(F.min("own").alias("_least"), F.max("own").alias("_most"), F.max("far").alias("_far"), *who)
+    shared = shared.where((F.col("_least") != F.col("_most")) & F.col("_far"))
+    # Shingles that the same nodes share, as those around one changed word, give the same pairs.
+    shared = shared.groupBy("a", "_sum", "_check", "_n").agg(F.min("shingle").alias("shingle")).select("a", "shingle")
     extra = store(extra.join(shared, ["a", "shingle"]), "extra")
     meet = _cross(extra, extra.where("far"), ["a", "shingle"], F.lit(True))
     # Pairs whose weights allow a link within the leader.
@@ -339,7 +342,9 @@ def _cross(rows: DataFrame, far: DataFrame, keys: list[str], also: Column) -> Da
     """Pairs (a, b), smaller first, of a far row with any row of the same keys and another class."""
     x, y = far.alias("x"), rows.alias("y")
     same = reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
-    pairs = x.join(y, same & (F.col("x.own") != F.col("y.own")) & also)
+    # Two far rows meet in one order only.
+    once = ~F.col("y.far") | (F.col("x.b") < F.col("y.b"))
+    pairs = x.join(y, same & (F.col("x.own") != F.col("y.own")) & once & also)
     return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
