@@ -33,7 +33,7 @@ def test_odd_rows(spark, folder, odd_documents, empty_documents):
     rows = QUERIES["op3_license_scan"](spark, folder(documents=odd_documents)).collect()
     check(rows, odd_documents.select("doc_id", "text").collect())
     (notice,) = [r for r in rows if r.doc_id == 7]
-    assert notice.labels == "apache,apache-2.0-notice,mit" and notice.score == pytest.approx(7 / 9)
+    assert notice.labels == "apache,apache-2.0-notice,mit" and notice.score == pytest.approx(8 / 10)
     assert QUERIES["op3_license_scan"](spark, folder(documents=empty_documents)).collect() == []
 
 
