@@ -58,3 +58,10 @@ def test_odd_rows(spark, folder, odd_documents, empty_documents):
     rows = [tuple(r) for r in odd_documents.select("doc_id", "text").collect()]
     check(QUERIES["op6_ngram_scores"](spark, folder(documents=odd_documents)).collect(), expected(rows))
     assert QUERIES["op6_ngram_scores"](spark, folder(documents=empty_documents)).collect() == []
+
+
+def test_the_query_scores_with_trigrams(spark, folder, odd_documents):
+    for path in ("/root/testdata/sf0.001", folder(documents=odd_documents)):
+        docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+        rows = QUERIES["op6_ngram_scores"](spark, path)
+        check(rows.selectExpr("doc_id", "n_words", "log_score_3 AS log_score", "mean_score_3 AS mean_score").collect(), expected(docs, 3))

@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from trajloom.llm.common import batch_words, mix, slices, table, text_bytes, word_spans
 from trajloom.operators.store import store
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+#: The registered query keeps the scores of this order in ``log_score`` and ``mean_score``.
+FIRST_ORDER = 2
 BLOCK_BYTES = 8 << 20
 
 
@@ -136,12 +138,17 @@ def bucket_totals(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def score_block(block: pd.DataFrame, answers: pd.DataFrame, order: int, words: int, alpha: float, min_count: int) -> pd.DataFrame:
-    """Scores of one block's documents; ``answers`` are the corpus counts of its n-grams."""
+def score_block(
+    block: pd.DataFrame, answers: pd.DataFrame, order: int, words: int, alpha: float, min_count: int, lower: tuple[int, ...] = ()
+) -> pd.DataFrame:
+    """Scores of one block's documents; ``answers`` are the corpus counts of its n-grams.
+    The models of the ``lower`` orders get columns of their own."""
     row = block.iloc[0]
     bounds, grams = block_grams(np.asarray(row["sizes"]), row["texts"], order)
     answers = answers.sort_values(["order", "bucket"])
     scores, before = np.zeros(bounds[-1]), None
+    sizes = np.diff(bounds)
+    out = pd.DataFrame({"doc_id": pd.array(list(row["ids"]), "Int64") if len(sizes) else [], "n_words": sizes})
     for k, (hashes, at) in enumerate(grams, 1):
         own = answers.loc[answers["order"] == k, "totals"]
         totals = np.concatenate([unpack_array(t, "<u8") for t in own]).astype(float) if len(own) else np.zeros(0)
@@ -155,19 +162,20 @@ def score_block(block: pd.DataFrame, answers: pd.DataFrame, order: int, words: i
             scores[at] += math.log(alpha)
             scores[kept] = np.log(count[kept] / before[kept - 1])
         before = count
-    sizes = np.diff(bounds)
-    sums = np.zeros(len(sizes))
-    some = np.flatnonzero(sizes)
-    if len(some):
-        sums[some] = np.add.reduceat(scores, bounds[some])
-    out = pd.DataFrame({"doc_id": pd.array(list(row["ids"]), "Int64") if len(sizes) else [], "n_words": sizes, "log_score": sums})
-    out["mean_score"] = [s / n if n else None for s, n in zip(sums, sizes)]
+        if k == order or k in lower:
+            sums, some, end = np.zeros(len(sizes)), np.flatnonzero(sizes), "" if k == order else f"_{k}"
+            if len(some):
+                sums[some] = np.add.reduceat(scores, bounds[some])
+            out[f"log_score{end}"] = sums
+            out[f"mean_score{end}"] = [s / n if n else None for s, n in zip(sums, sizes)]
     return out
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+def score_documents(
+    docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, lower: tuple[int, ...] = ()
+) -> DataFrame:
     """(doc_id, n_words, log_score, mean_score) of each row of ``docs`` (doc_id, text) under the
-    model of all of them.
+    model of all of them; for each of the ``lower`` orders k also log_score_k and mean_score_k.
 
     A text that is null, empty or without words has score 0 and no mean. Repeated rows count,
     and are scored, as often as they occur; ids may be null. An empty table gives an empty
@@ -180,12 +188,16 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     answers = answers.applyInPandas(bucket_totals, "block long, order int, bucket int, totals binary")
 
     def score(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        return score_block(block, own, order, words, alpha, min_count)
+        return score_block(block, own, order, words, alpha, min_count, lower)
 
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    return scored.applyInPandas(score, "doc_id long, n_words long, log_score double, mean_score double")
+    ends = [f"_{k}" for k in sorted({*lower} - {order})] + [""]
+    return scored.applyInPandas(score, "doc_id long, n_words long, " + ", ".join(f"log_score{e} double, mean_score{e} double" for e in ends))
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``documents``."""
-    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every row of ``documents``, under the model of ORDER: log_score_3 and mean_score_3. The
+    scores of FIRST_ORDER, which its counts give too, keep the plain names."""
+    rows = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), lower=(FIRST_ORDER,))
+    plain = [F.col(f"{c}_{FIRST_ORDER}").alias(c) for c in ("log_score", "mean_score")]
+    return rows.select("doc_id", "n_words", *plain, *[F.col(c).alias(f"{c}_{ORDER}") for c in ("log_score", "mean_score")])
