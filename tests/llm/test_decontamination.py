@@ -115,3 +115,43 @@ def test_main_path_is_native(spark, tables):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     plan = decontam.find_leaks(d, b)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def leaking_pairs(docs, items, threshold=0.8):
+    """The pairs of which any window of the item's size, at whatever start, reaches the threshold."""
+    out = set()
+    for doc_id, text in docs:
+        for item_id, item in items:
+            size = min(5, len(words(item)))
+            if not size or text is None:
+                continue
+            want, have = Counter(runs(item, size)), runs(text, size)
+            length = sum(want.values())
+            spots = [i for i, run in enumerate(have) if run in want]
+            for start in {s for i in spots for s in range(i - length + 1, i + 1)}:
+                if jaccard(Counter(have[max(start, 0) : start + length]), want) >= threshold:
+                    out.add((doc_id, item_id))
+                    break
+    return out
+
+
+def test_windows_lie_anywhere(spark):
+    draw = random.Random(3)
+    text = lambda n: [f"w{draw.randrange(4000)}" for _ in range(n)]
+    items = [text(n) for n in (50, 50, 60, 90, 47)]
+    docs = []
+    for k, item in enumerate(items):
+        for before, after in ((0, 0), (0, 9), (31, 0), (70, 70)):
+            for cut in (len(item) // 2, 7, 12, len(item) - 8):
+                docs.append(text(before) + item[cut:] + item[:cut] + text(after))
+            docs.append(text(before) + item[cut:] + text(k) + item[:cut] + text(after))
+            docs.append(text(before) + item[: len(item) - 3] + text(after))
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(None, " ".join(items[0][25:] + items[0][:25]))]
+    items = [(i, " ".join(t)) for i, t in enumerate(items)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    # Without a loss by the fingerprints.
+    leaks = decontam.find_leaks(d, b, radius=40)
+    wanted = leaking_pairs(docs, items)
+    assert {(r.doc_id, r.item_id) for r in leaks.collect()} == wanted
+    assert (0, 0) in wanted and (None, 0) in wanted and (0, 0) not in expected(docs, items)
+    assert {r.doc_id for r in decontam.without_leaks(d, leaks).collect()} == {i for i, _ in docs} - {i for i, _ in wanted}

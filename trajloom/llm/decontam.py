@@ -1,13 +1,13 @@
 """Benchmark decontamination by SimHash over item-sized windows, in SQL functions alone.
 
-Every window of a document that has an item's size and shares a shingle with an item at the
-same place gets a 64-bit SimHash of its shingles, each weighted by its count; windows that
-share none have similarity 0 and need no fingerprint. Items are indexed by blocks of their
-fingerprints: with one block more than the radius, an item within the radius agrees with
-the window in a whole block. What a block lookup finds within the radius is verified by the
-exact weighted Jaccard similarity of the shingles.
-
-Nothing but ids, hashes and the windows' shingles leaves the scan of the documents.
+Windows have an item's size, wherever the shingles they share with it stand; at the ends of a
+document they are cut. Those that hold enough shingles of items of their size to reach the
+threshold get a 64-bit SimHash of their shingles, each weighted by its count. Items are indexed
+by blocks of their fingerprints: with one block more than the radius, an item within the radius
+agrees with the window in a whole block. What a block lookup finds within the radius is verified
+by the exact weighted Jaccard similarity of the shingles.
+
+Only ids, hashes and places leave the scan of the documents; a second one cuts the windows.
 """
 
 from __future__ import annotations
@@ -89,19 +89,58 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def window_starts(spots: Column, n: Column, length: Column, threshold: float) -> Column:
+    """Starts of the windows of ``length`` shingles that can reach the threshold, of a document of
+    ``n`` shingles. ``spots`` are the sorted places of shingles that items of this length have.
+
+    As a window moves on, its similarity to an item grows only when a spot enters at its end or,
+    where the document's end cuts it, when a shingle before a spot leaves. So the first best
+    window ends or begins at a spot. Of w shingles it must share t (w + length) / (1 + t), and
+    shares no more than it has spots. A negative start is cut to 0, a shorter window.
+    """
+
+    def need(w: Column) -> Column:
+        return F.ceil(F.lit(threshold) * (w + length) / F.lit(1 + threshold) - 1e-9).cast("int")
+
+    def ending(at: Column, i: Column) -> Column:
+        return F.when(F.get(spots, i + 1 - need(F.least(length, at + 1))) > at - length, at - length + 1)
+
+    def beginning(at: Column, i: Column) -> Column:
+        return F.when(F.get(spots, i - 1 + need(F.least(length, n - at))) < at + length, at)
+
+    starts = F.concat(F.transform(spots, ending), F.transform(spots, beginning))
+    return F.filter(starts, lambda start: start.isNotNull())
+
+
+def same_document(x: DataFrame, y: DataFrame) -> Column:
+    return x["doc_id"].eqNullSafe(y["_id"]) & (x["text_hash"] == y["_hash"])
+
+
 def leaks_of_size(docs: DataFrame, items: DataFrame, size: int, threshold: float, radius: int) -> DataFrame:
     items = store(items.withColumns({"fp": fingerprint(F.col("shingles")), "_item": F.monotonically_increasing_id()}), "items")
     places = items.select(F.posexplode("shingles").alias("place", "shingle"), F.size("shingles").alias("length"))
-    places = store(places.distinct(), "places")
-    # Windows: one per place of an item's shingle in a document.
+    places = store(places.groupBy("shingle", "length").agg(F.collect_set("place").alias("places")), "places")
+    # Spots: places of a document whose shingle some item has.
     text = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
     shingles = with_shingles(text, F.col("text"), size, "all").select("doc_id", "text_hash", "all")
     # The outer form: else Spark would filter on the array's size below, and make it anew there.
-    found = shingles.select("*", F.posexplode_outer("all").alias("at", "shingle")).join(small(places), "shingle")
-    first = F.greatest(F.col("at") - F.col("place"), F.lit(0))
-    last = F.least(F.col("at") - F.col("place") + F.col("length"), F.size("all"))
-    windows = found.select("doc_id", "text_hash", "length", first.alias("start"), F.slice("all", first + 1, last - first).alias("window"))
-    keys = ["doc_id", "text_hash", "length", "start"]
+    found = shingles.select("doc_id", "text_hash", F.size("all").alias("n"), F.posexplode_outer("all").alias("at", "shingle")).join(small(places), "shingle")
+    sized = ["doc_id", "text_hash", "length"]
+    spots = found.groupBy(*sized).agg(F.max("n").alias("n"), F.collect_set(F.struct("at", "places")).alias("found"))
+    spots = spots.withColumn("spots", F.array_sort(F.transform("found", lambda x: x["at"])))
+    spots = spots.withColumn("starts", window_starts(F.col("spots"), F.col("n"), F.col("length"), threshold))
+    spots = store(spots.where(F.size("starts") > 0).select(*sized, "starts", "found"), "spots")
+    # Beside them, the windows that have a shingle at an item's own place: a leak is reported there if it can be.
+    aligned = spots.select(*sized, F.explode("found").alias("x")).select(*sized, "x.at", F.explode("x.places").alias("place"))
+    starts = spots.select(*sized, F.explode("starts").alias("start")).union(aligned.select(*sized, F.col("at") - F.col("place"))).distinct()
+    starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("length", "start")).alias("starts"))
+    starts = store(starts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts"), "starts")
+    # Windows.
+    leaky = text.join(small(starts), same_document(text, starts)).select("doc_id", "text_hash", "text", "starts")
+    cut = with_shingles(leaky, F.col("text"), size, "all").select("doc_id", "text_hash", "all", F.inline_outer("starts"))
+    first, last = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("length"), F.size("all"))
+    windows = cut.select("doc_id", "text_hash", "length", "start", F.slice("all", first + 1, last - first).alias("window"))
+    keys = [*sized, "start"]
     windows = store(windows.groupBy(*keys).agg(F.first("window").alias("window")), "windows")
     windows = windows.select("*", fingerprint(F.col("window")).alias("own"))
     # Candidates: items of the same size within the radius, each found in its first equal block.
@@ -111,7 +150,11 @@ def leaks_of_size(docs: DataFrame, items: DataFrame, size: int, threshold: float
     near = near.where(first_equal_block(F.col("own"), F.col("fp"), radius) == F.col("block"))
     near = near.where(F.bit_count(F.col("own").bitwiseXOR(F.col("fp"))) <= radius)
     # Verification: the shared weight of each shingle, summed up per window and item.
-    pairs = ["doc_id", "text_hash", "length", "start", "_item"]
+    # A window is aligned if a shingle stands at its own place in the item.
+    part = F.slice("shingles", F.greatest(-F.col("start"), F.lit(0)) + 1, F.size("window"))
+    own_place = F.exists(F.zip_with("window", part, lambda x, y: x == y), lambda same: same)
+    near = near.join(small(items.select("_item", "shingles")), "_item").withColumn("aligned", F.coalesce(own_place, F.lit(False)))
+    pairs = ["doc_id", "text_hash", "length", "start", "aligned", "_item"]
     counted = near.select(*pairs, F.size("window").alias("n"), F.explode("window").alias("shingle")).groupBy(*pairs, "n", "shingle").agg(F.count(F.lit(1)).alias("have"))
     wanted = items.select("_item", F.explode("shingles").alias("shingle")).groupBy("_item", "shingle").agg(F.count(F.lit(1)).alias("want"))
     both = counted.join(small(store(wanted, "weights")), ["_item", "shingle"])
@@ -119,12 +162,13 @@ def leaks_of_size(docs: DataFrame, items: DataFrame, size: int, threshold: float
     similarity = F.col("shared") / (F.col("n") + F.col("length") - F.col("shared"))
     exact = shared.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
     names = items.select("_item", "item_id", "n_words")
-    return exact.join(small(names), "_item").select("doc_id", "text_hash", "item_id", "n_words", "start", "similarity")
+    return exact.join(small(names), "_item").select("doc_id", "text_hash", "item_id", "n_words", "aligned", "start", "similarity")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, item_id, n_words, start, similarity): the best window of each
-    document (doc_id, text) for each item (item_id, text) it leaks; the first one in ties.
+    document (doc_id, text) for each item (item_id, text) it leaks; the first one in ties. Windows
+    that have a shingle at its own place in the item come before all others.
 
     ``start`` counts words from 0. Items shorter than a shingle are sought as one shingle of
     all their words; items and documents that are null or have no words match nothing.
@@ -144,7 +188,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         empty = docs.sparkSession.createDataFrame([], schema)
         return empty.selectExpr("*", "0 AS n_words", "0 AS start", "0D AS similarity")
     leaks = reduce(DataFrame.union, found)
-    best = F.max_by(F.struct("n_words", "start", "similarity"), F.struct("similarity", -F.col("start")))
+    place = F.greatest("start", F.lit(0)).alias("start")
+    best = F.max_by(F.struct("n_words", place, "similarity"), F.struct("aligned", "similarity", -F.col("start")))
     return leaks.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best")).select("doc_id", "text_hash", "item_id", "best.*")
 
 
