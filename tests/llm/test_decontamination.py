@@ -155,3 +155,17 @@ def test_windows_lie_anywhere(spark):
     assert {(r.doc_id, r.item_id) for r in leaks.collect()} == wanted
     assert (0, 0) in wanted and (None, 0) in wanted and (0, 0) not in expected(docs, items)
     assert {r.doc_id for r in decontam.without_leaks(d, leaks).collect()} == {i for i, _ in docs} - {i for i, _ in wanted}
+
+
+def test_no_leak_at_the_threshold_is_lost(spark):
+    draw = random.Random(5)
+    text = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    # 40 of 45 shingles are shared: 0.8. Then texts that end in one word many times over.
+    items = [text(49) for _ in range(250)]
+    docs = [item[:44] + text(5) for item in items]
+    for _ in range(12):
+        items.append(text(166) + ["z"] * 18)
+        docs.append(items[-1][:166] + ["y"] * 18)
+    docs, items = ([(i, " ".join(t)) for i, t in enumerate(rows)] for rows in (docs, items))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, b).collect()} == {(i, i) for i, _ in docs}
