@@ -22,9 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op4_decontamination": decontam.leaked_documents,
-    "op5_near_duplicates": neardup.document_classes,
-    "op6_ngram_scores": ngram_lm.scored_documents,
     "op7_exact_topk": topk.ORACLE,
     "op9_warc": warc.ORACLE,
 }
