@@ -72,3 +72,35 @@ def test_bad_templates():
         licenses.Scanner({"x": "a [b"}, {})
     with pytest.raises(ValueError):
         licenses.Scanner({"x": "{0:2} a"}, {})
+
+
+def test_templates_inside_other_matches():
+    header = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+    compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+    Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
+    on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+    the specific language governing permissions and limitations under the License."""
+    assert labels(header, licenses.TEMPLATES) == ("apache-2.0-header,apache-2.0-notice", 1)
+    found, score = labels(f"{header} trailing words", licenses.TEMPLATES)
+    assert score == pytest.approx(1 - 2 / len(words(f"{header} trailing words")))
+    mit = licenses.TEMPLATES["mit-text"].split("[copyright {0:20}] ")[1].replace("{1:8}", "the authors").replace("[", "").replace("]", "")
+    assert labels(f"Copyright Some One. All rights reserved. {mit}", licenses.TEMPLATES) == ("mit-text,reserved-notice", 1)
+
+
+def test_labels_against_every_accepting_state():
+    """Templates of the query that end on the way of a longer match are found all the same."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, {})
+    seen, todo, lost = set(), [(scanner.start, frozenset())], set()
+    final = scanner.automaton.final
+    while todo:
+        states, on_the_way = todo.pop()
+        for word in {0, *(w for s in states for w in scanner.steps.get(s, ()))}:
+            after = scanner.step(states, word)
+            ends = frozenset(final[s] for s in after if s in final)
+            if ends:
+                lost |= {(a, b) for a in on_the_way - ends for b in ends}
+            if after and (after, on_the_way | ends) not in seen:
+                seen.add((after, on_the_way | ends))
+                todo.append((after, on_the_way | ends))
+    # Its wording "all rights reserved" is matched from its own first word.
+    assert lost <= {("reserved-notice", "mit-text")}

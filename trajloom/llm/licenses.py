@@ -166,9 +166,9 @@ class Scanner:
             start, end = int(bounds[i]), int(bounds[i + 1])
             done, covered, found = start, 0, set()
             for anchor in anchors[first[i] : first[i + 1]].tolist():
-                if anchor >= done:
-                    stop, labels = self.longest(words, anchor, end)
-                    covered, done, found = covered + stop - anchor, max(stop, done), found | labels
+                # Inside an earlier match too: another template may stand there.
+                stop, labels = self.longest(words, anchor, end)
+                covered, done, found = covered + max(stop - max(anchor, done), 0), max(stop, done), found | labels
             places = [p for p, _ in base[i]]
             own = {label for _, label in base[i]}
             score = covered / (end - start) if end > start else 0.0
@@ -184,8 +184,9 @@ def scan_licenses(df: DataFrame, keep: list[str], templates: dict[str, str] | No
     """The kept columns and the findings in each row's ``text``.
 
     ``score`` is the share of a text's words that accepted templates cover: 1 for a text that
-    is nothing but a license. Matches are the longest from the left and don't overlap. A
-    text that is null, empty or without words has no findings and score 0.
+    is nothing but a license. From each word that can begin a template the longest match
+    counts, also inside other matches; a word covered twice counts once. A text that is null,
+    empty or without words has no findings and score 0.
     """
     templates, phrases = TEMPLATES if templates is None else templates, BASE if phrases is None else phrases
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
