@@ -43,7 +43,7 @@ def check(rows, wanted):
 def test_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    check(QUERIES["op6_ngram_scores"](spark, sf).collect(), expected(docs))
+    check(QUERIES["op6_ngram_scores"](spark, sf).collect(), expected(docs, 3))
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
@@ -56,12 +56,18 @@ def test_orders_and_many_blocks(spark, monkeypatch, order):
 
 def test_odd_rows(spark, folder, odd_documents, empty_documents):
     rows = [tuple(r) for r in odd_documents.select("doc_id", "text").collect()]
-    check(QUERIES["op6_ngram_scores"](spark, folder(documents=odd_documents)).collect(), expected(rows))
+    check(QUERIES["op6_ngram_scores"](spark, folder(documents=odd_documents)).collect(), expected(rows, 3))
     assert QUERIES["op6_ngram_scores"](spark, folder(documents=empty_documents)).collect() == []
 
 
-def test_the_query_scores_with_trigrams(spark, folder, odd_documents):
+def test_the_query_gives_bigram_scores_too(spark, folder, odd_documents):
     for path in ("/root/testdata/sf0.001", folder(documents=odd_documents)):
         docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
         rows = QUERIES["op6_ngram_scores"](spark, path)
-        check(rows.selectExpr("doc_id", "n_words", "log_score_3 AS log_score", "mean_score_3 AS mean_score").collect(), expected(docs, 3))
+        check(rows.selectExpr("doc_id", "n_words", "log_score_2 AS log_score", "mean_score_2 AS mean_score").collect(), expected(docs, 2))
+
+
+def test_long_words_that_differ_are_other_words(spark, folder, thue_morse):
+    rows = [(1, thue_morse[0]), (2, thue_morse[1]), (3, thue_morse[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(QUERIES["op6_ngram_scores"](spark, folder(documents=docs)).collect(), expected(rows, 3))

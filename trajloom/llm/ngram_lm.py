@@ -14,6 +14,7 @@ by a word; a word alone scores count / all words. Logarithms are natural.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajloom.llm.common import batch_words, mix, slices, table, text_bytes, word_spans
+from trajloom.llm.common import batch_words, mix, open_folder, shared_folder, slices, table, text_bytes, word_spans
+from trajloom.operators.lookup import shuffle_partitions
 from trajloom.operators.store import store
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-#: The registered query keeps the scores of this order in ``log_score`` and ``mean_score``.
-FIRST_ORDER = 2
+#: The registered query also gives the scores of this order, which the same counts yield.
+LOWER_ORDER = 2
+#: Blocks that a task scores, one after the other, once there are more than partitions.
+TASK_BLOCKS = 4
 BLOCK_BYTES = 8 << 20
 
 
@@ -51,21 +55,35 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 
 
 def document_blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, sizes, texts, words): runs of documents with about BLOCK_BYTES of text, and
-    their number of words; written."""
+    """(block, ids, sizes, words, file, at, length): runs of documents with about BLOCK_BYTES of
+    text, their number of words, and where their packed texts lie in a file of the shared
+    folder. Texts are read there when needed and never shuffled; a repeated task writes a file of
+    another name."""
+    folder = shared_folder(docs.sparkSession, "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, ids, texts, size = zstandard.ZstdCompressor(level=3), [], [], 0
+        pack, ids, texts, size, at, sink = zstandard.ZstdCompressor(level=3), [], [], 0, 0, None
+        file = f"{folder}/{uuid.uuid4().hex}.zst"
 
         def block() -> pa.RecordBatch:
+            nonlocal at, sink
+            if sink is None:
+                files, path = open_folder(folder)
+                files.create_dir(path, recursive=True)
+                sink = open_folder(file)[0].open_output_stream(open_folder(file)[1], compression=None)
+            packed = pack.compress(b"".join(texts))
+            sink.write(packed)
+            at += len(packed)
             words = sum(len(word_spans(np.frombuffer(t, np.uint8))[0]) for t in texts)
             columns = [
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([pack.compress(b"".join(texts))], pa.binary()),
                 pa.array([words], pa.int64()),
+                pa.array([file]),
+                pa.array([at - len(packed)], pa.int64()),
+                pa.array([len(packed)], pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "texts", "words"])
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "words", "file", "at", "length"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -76,11 +94,21 @@ def document_blocks(docs: DataFrame) -> DataFrame:
                     ids, texts, size = [], [], 0
         if ids:
             yield block()
+        if sink is not None:
+            sink.close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "ids array<long>, sizes array<long>, texts binary, words long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "ids array<long>, sizes array<long>, words long, file string, at long, length long")
     return store(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
+def block_texts(row) -> bytes:
+    """The packed texts of a block."""
+    files, path = open_folder(row["file"])
+    with files.open_input_file(path) as source:
+        source.seek(int(row["at"]))
+        return source.read(int(row["length"]))
+
+
 def block_grams(sizes: np.ndarray, texts: bytes, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """First word of each document (and the end); for each order the hashes of its n-grams and
     the word each ends with."""
@@ -104,7 +132,7 @@ def gram_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, grams = block_grams(np.array(row["sizes"]), row["texts"], order)
+                _, grams = block_grams(np.array(row["sizes"]), block_texts(row), order)
                 for k, (hashes, _) in enumerate(grams, 1):
                     found, counts = np.unique(hashes, return_counts=True)
                     bucket = (found >> shift).astype(np.int64) if shift else np.zeros(len(found), np.int64)
@@ -122,7 +150,7 @@ def gram_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                         names=["order", "bucket", "block", "hashes", "counts"],
                     )
 
-    texts = blocks.select("block", "sizes", "texts")
+    texts = blocks.select("block", "sizes", "file", "at", "length")
     return texts.mapInArrow(run, "order int, bucket int, block long, hashes binary, counts binary")
 
 
@@ -144,7 +172,7 @@ def score_block(
     """Scores of one block's documents; ``answers`` are the corpus counts of its n-grams.
     The models of the ``lower`` orders get columns of their own."""
     row = block.iloc[0]
-    bounds, grams = block_grams(np.asarray(row["sizes"]), row["texts"], order)
+    bounds, grams = block_grams(np.asarray(row["sizes"]), block_texts(row), order)
     answers = answers.sort_values(["order", "bucket"])
     scores, before = np.zeros(bounds[-1]), None
     sizes = np.diff(bounds)
@@ -184,20 +212,21 @@ def score_documents(
     blocks = document_blocks(docs)
     number, words = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
     buckets = 1 << max(0, math.ceil(math.log2(max(number, 1))))
-    answers = gram_counts(blocks, order, buckets).groupBy("order", "bucket")
+    # As many partitions as a task of a few blocks needs, however many the session sets.
+    parts = max(shuffle_partitions(docs.sparkSession), -(-number // TASK_BLOCKS))
+    answers = gram_counts(blocks, order, buckets).repartition(parts, "order", "bucket").groupBy("order", "bucket")
     answers = answers.applyInPandas(bucket_totals, "block long, order int, bucket int, totals binary")
 
     def score(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         return score_block(block, own, order, words, alpha, min_count, lower)
 
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    scored = blocks.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block"))
     ends = [f"_{k}" for k in sorted({*lower} - {order})] + [""]
     return scored.applyInPandas(score, "doc_id long, n_words long, " + ", ".join(f"log_score{e} double, mean_score{e} double" for e in ends))
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``documents``, under the model of ORDER: log_score_3 and mean_score_3. The
-    scores of FIRST_ORDER, which its counts give too, keep the plain names."""
-    rows = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), lower=(FIRST_ORDER,))
-    plain = [F.col(f"{c}_{FIRST_ORDER}").alias(c) for c in ("log_score", "mean_score")]
-    return rows.select("doc_id", "n_words", *plain, *[F.col(c).alias(f"{c}_{ORDER}") for c in ("log_score", "mean_score")])
+    """Every row of ``documents`` under the model of ORDER; log_score_2 and mean_score_2 are
+    those of LOWER_ORDER."""
+    rows = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), lower=(LOWER_ORDER,))
+    return rows.select("doc_id", "n_words", "log_score", "mean_score", f"log_score_{LOWER_ORDER}", f"mean_score_{LOWER_ORDER}")
