@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -53,10 +55,60 @@ def test_trigrams_of_each_text_alone():
 
 
 def test_parts_of_long_texts(monkeypatch):
+    texts = [b"ab " * 100, b"", b"xyz", b"q" * 64, b"r" * 65, b"The end of it"]
+    whole, bounds = langid.trigram_buckets(texts)
     monkeypatch.setattr(langid, "PIECE_BYTES", 64)
-    texts = [b"ab " * 100, b"", b"xyz", b"q" * 64, b"r" * 65]
-    joined = {}
+    found = {}
     for first, held in langid.runs(texts):
-        for k, text in enumerate(held):
-            joined[first + k] = joined.get(first + k, b"") + text
-    assert [joined[i] for i in range(5)] == texts
+        buckets, cuts = langid.trigram_buckets(held, padded=True)
+        for k in range(len(held)):
+            found.setdefault(first + k, []).extend(buckets[cuts[k] : cuts[k + 1]].tolist())
+    assert [found[i] for i in range(len(texts))] == [whole[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def plain_model(rows):
+    """Counts, codewords, log odds and trust, one number at a time."""
+    fold = lambda t: "".join(c if c.isalpha() and c.isascii() or ord(c) > 127 else " " for c in re.sub("[A-Z]", lambda m: m[0].lower(), t))
+
+    def buckets(text):
+        raw = (" " + fold(text) + " ").encode()
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> (32 - langid.BUCKET_BITS) for i in range(len(raw) - 2)]
+
+    languages = sorted({g for g, _ in rows})
+    counts = {g: Counter() for g in languages}
+    for g, t in rows:
+        counts[g].update(buckets(t))
+    total = {g: sum(counts[g].values()) for g in languages}
+    code = langid.codewords(len(languages))
+    floor = langid.SMOOTHING / (sum(total.values()) / len(languages))
+
+    def odds(bit, bucket):
+        share = {g: counts[g][bucket] / max(total[g], 1) for g in languages}
+        sides = [[share[g] for i, g in enumerate(languages) if code[i, bit] == side] for side in (1, -1)]
+        return math.log(sum(sides[0]) / len(sides[0]) + floor) - math.log(sum(sides[1]) / len(sides[1]) + floor)
+
+    bits = range(code.shape[1])
+    trust = []
+    for i, g in enumerate(languages):
+        known = [max(code[i, b] * sum(n / total[g] * odds(b, u) for u, n in counts[g].items()), 1e-6) for b in bits]
+        trust.append([k / sum(known) for k in known])
+
+    def decode(text):
+        own = buckets(text)
+        margins = [sum(odds(b, u) for u in own) / max(len(own), 1) for b in bits]
+        loss = [sum(trust[i][b] * math.log1p(math.exp(-4 * margins[b] * code[i, b])) for b in bits) for i in range(len(languages))]
+        best, second = sorted(range(len(languages)), key=lambda i: loss[i])[:2]
+        return languages[best], 1 - loss[best] / loss[second]
+
+    return decode
+
+
+def test_fit_and_decode_against_a_plain_version(spark, folder):
+    rows = [("en", "the house and The tree"), ("de", "das Haus und der Baum"), ("fr", "la maison et l'arbre é"), ("en", "that thing there"), ("de", "nicht die Stadt"), ("xx", "zzz qq zqz")] * 3
+    docs = spark.createDataFrame([(i, t, g, "s") for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    learned = [r for i, r in enumerate(rows) if zlib.crc32(str(i).encode()) % 4 != 2]
+    decode = plain_model(learned)
+    found = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, folder(documents=docs)).collect()}
+    for i, (_, text) in enumerate(rows):
+        lang, score = decode(text)
+        assert found[i].lang_pred == lang and found[i].score == pytest.approx(score, abs=1e-5)

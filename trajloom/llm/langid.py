@@ -42,13 +42,16 @@ def _fold() -> np.ndarray:
 FOLD = _fold()
 
 
-def trigram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def trigram_buckets(texts: list[bytes], padded: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each trigram of all texts, a space put before and behind each, and the
-    first of each text (and the end). A text of n bytes has n trigrams."""
-    buffer = FOLD[np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)].astype(np.uint32)
+    first of each text (and the end). A text of n bytes has n trigrams. ``padded`` texts have
+    the two spaces, or what stands around them, already."""
+    if not padded:
+        texts = [b" " + t + b" " for t in texts]
+    buffer = FOLD[np.frombuffer(b"".join(texts), np.uint8)].astype(np.uint32)
     codes = (buffer[:-2] << 16) | (buffer[1:-1] << 8) | buffer[2:]
     buckets = (codes * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) - 2
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     # Two trigrams lie across each border between texts.
     keep = np.ones(len(buckets), bool)
@@ -58,18 +61,19 @@ def trigram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts, and parts of long texts, in lists of about PIECE_BYTES, each with the index of
-    its first text. Parts overlap by two bytes so as to lose no trigram but at most two."""
+    """Texts between two spaces, and parts of long ones, in lists of about PIECE_BYTES, each with
+    the index of its first text. Parts overlap by two bytes, so each trigram is in one of them."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
+        whole = b" " + text + b" "
         if len(text) > PIECE_BYTES:
             if held:
                 yield first, held
             for at in range(0, len(text), PIECE_BYTES):
-                yield i, [text[at : at + PIECE_BYTES]]
+                yield i, [whole[at : at + PIECE_BYTES + 2]]
             first, held, size = i + 1, [], 0
             continue
-        held.append(text)
+        held.append(whole)
         size += len(text)
         if size >= PIECE_BYTES:
             yield first, held
@@ -89,7 +93,7 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
                 for lang in set(langs):
                     total = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
                     for _, held in runs([t for t, own in zip(texts, langs) if own == lang]):
-                        buckets, _ = trigram_buckets(held)
+                        buckets, _ = trigram_buckets(held, padded=True)
                         total += np.bincount(buckets, minlength=1 << BUCKET_BITS)
         for lang, total in sums.items():
             found = np.flatnonzero(total)
@@ -128,7 +132,7 @@ class Model:
         """Mean log odds of each bit per text."""
         totals, counts = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts))
         for first, held in runs(texts):
-            buckets, bounds = trigram_buckets(held)
+            buckets, bounds = trigram_buckets(held, padded=True)
             sizes = np.diff(bounds)
             some = np.flatnonzero(sizes)
             if len(some):
@@ -171,25 +175,22 @@ def predict(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The kept columns, ``lang_pred``, ``score`` and ``ambiguous`` of each row's ``text``.
 
     A text that is null or has no letter, or any text if no language was learned, is
-    ``und`` with score 0.
+    ``und`` with score 0. Only texts leave the JVM.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                best, score = model.decode(model.margins(text_bytes(part.column("text"))))
-                known = part.column("_lettered").to_numpy(zero_copy_only=False) & bool(model.languages)
-                langs = [model.languages[i] if k else UNKNOWN for i, k in zip(best, known)]
-                score = np.where(known, score, 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)],
-                    names=[*keep, "lang_pred", "score", "ambiguous"],
-                )
-
-    rows = df.select(*keep, *[] if "text" in keep else ["text"], lettered.alias("_lettered"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    def run(texts: pa.Array, lettered: pa.Array) -> pa.Array:
+        rows, langs, scores = pa.RecordBatch.from_arrays([texts, lettered], names=["text", "lettered"]), [], [np.zeros(0)]
+        for part in slices(rows, "text"):
+            best, score = model.decode(model.margins(text_bytes(part.column("text"))))
+            known = part.column("lettered").to_numpy(zero_copy_only=False) & bool(model.languages)
+            langs += [model.languages[i] if k else UNKNOWN for i, k in zip(best, known)]
+            scores.append(np.where(known, score, 0.0))
+        score = np.concatenate(scores)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=["lang_pred", "score", "ambiguous"])
+
+    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    return df.select(*keep, run(F.col("text"), lettered).alias("_found")).select(*keep, "_found.*")
 
 
 def is_held_out(doc_id: Column) -> Column:
