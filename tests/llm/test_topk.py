@@ -43,7 +43,15 @@ def test_odd_vectors(spark, folder):
 
 
 def test_great_numbers_stay_exact(spark, folder):
-    check(spark, folder, [(i, [1e7 + i, 3.0, -1e7], 1, 2, 3, 4) for i in range(60)])
+    check(spark, folder, [(i, [6e6 + i, 3.0, -6e6], 1, 2, 3, 4) for i in range(60)])
+    check(spark, folder, [(2**63 - 1 - i, [1.0, float(i)], 1, 2, 3, 4) for i in range(60)])
+
+
+def test_a_score_beyond_a_long_names_the_ids():
+    blocks = pd.DataFrame({"ids": [[7, 8]], "rows": [[np.array([1e7, 1e7]), np.array([3e7, 0.0])]]})
+    queries = pd.DataFrame({"query_id": [50], "query_key": [0], "v": [np.array([1e12, 1e12])]})
+    with pytest.raises(OverflowError, match="query 50 and vector [78]"):
+        topk.search_group(queries, blocks, 2)
 
 
 def test_pruning_changes_nothing(monkeypatch):

@@ -53,7 +53,7 @@ def test_lookup_of_one_url(spark, pages, monkeypatch):
     assert sorted(r[0] for r in warc.lookup(index, "http://example.org/a?b=1")) == [3, 5]
     assert warc.lookup(index, "http://nowhere.example/") == []
     # All archives are plain WARC: members one after the other.
-    for row in index.sparkSession.createDataFrame([(r.index,) for r in index.collect()], "index string").collect():
+    for row in index.sparkSession.createDataFrame([(r["index"],) for r in index.collect()], "index string").collect():
         file = warc.IndexFile(row["index"])
         keys = [line[0] for i in range(len(file.directory)) for line in file.block(i)]
         assert keys == sorted(keys) and file.keys == [keys[i] for i in range(0, len(keys), 7)]

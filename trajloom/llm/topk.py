@@ -87,9 +87,8 @@ def search_group(queries: pd.DataFrame, blocks: pd.DataFrame, k: int) -> pd.Data
     top = max([np.abs(query).max(initial=0) * np.abs(r).max(initial=0) * query.shape[1] for r in rows], default=0)
     if top >= EXACT:
         # Beyond exact doubles: Python's integers.
-        query, rows = (query.astype(object), [r.astype(object) for r in rows])
-        bounds = np.array([[np.sum(np.maximum(q * r.max(0), q * r.min(0))) for r in rows] for q in map(np.asarray, _ints(query))], object)
         query, rows = _ints(query), [_ints(r) for r in rows]
+        bounds = np.array([[np.sum(np.maximum(q * r.max(0), q * r.min(0))) for r in rows] for q in query], object)
     else:
         plus, minus = np.maximum(query, 0), np.minimum(query, 0)
         bounds = np.stack([plus @ r.max(0) + minus @ r.min(0) for r in rows], 1)
@@ -120,8 +119,11 @@ def search_group(queries: pd.DataFrame, blocks: pd.DataFrame, k: int) -> pd.Data
             for i, j, s, d in zip(some, rank, all_scores, all_ids):
                 chosen = j[np.lexsort((d[j], -s[j]))[:k]] if s.dtype != object else np.array(sorted(j, key=lambda x: (-s[x], d[x]))[:k])
                 best_score[i], best_id[i] = s[chosen], d[chosen]
-    found = best_id != np.iinfo(np.int64).max
-    found &= best_score > (-np.inf if best_score.dtype != object else -(10**400))
+    found = best_score > (-np.inf if best_score.dtype != object else -(10**400))
+    if best_score.dtype == object:
+        for i, j in zip(*np.nonzero(found)):
+            if not -(1 << 63) <= best_score[i, j] < 1 << 63:
+                raise OverflowError(f"the score of query {own[i]} and vector {best_id[i, j]} does not fit a long")
     return pd.DataFrame(
         {"query_id": np.repeat(own, found.sum(1)), "query_key": np.repeat(keys, found.sum(1)), "vec_id": best_id[found], "score": [int(s) for s in best_score[found]]}
     ).astype({"query_id": "int64", "query_key": "int64", "vec_id": "int64"})
@@ -136,7 +138,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
     A candidate never has the query's own id. Rows without an id take no part as candidates
     or queries; repeated ids are candidates each, and queries each give ranks of their own.
-    Shorter vectors count as followed by zeros. Every chunk of queries meets every group of
+    Shorter vectors count as followed by zeros. A score among the k best that no long holds is an
+    error that names both ids. Empty tables give an empty result. Every chunk of queries meets every group of
     blocks once, on a key of both; what leaves a group is k rows per query.
     """
     blocks = make_blocks(usable(vectors, column).where(F.col(id_col).isNotNull()), id_col, column)
