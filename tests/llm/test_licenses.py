@@ -52,9 +52,10 @@ def test_regions_of_templates():
         assert labels(text, t) == ("x" if score else "", score), text
 
 
-def test_longest_match_and_text_borders():
+def test_all_matches_and_text_borders():
     t = {"short": "the license", "long": "the license version {1:1}"}
-    assert labels("the license version 3", t) == ("long", 1)
+    assert labels("the license version 3", t) == ("long,short", 1)
+    assert labels("the license version", t) == ("short", 2 / 3)
     rows = licenses.Scanner(t, licenses.BASE).scan([b"mit", b"license", b"the", b"license"])
     assert [r[1] for r in rows] == [0, 0, 0, 0] and {r[5] for r in rows} == {""}
 

@@ -135,7 +135,7 @@ class Scanner:
         return self.memory[key]
 
     def longest(self, words: np.ndarray, start: int, end: int) -> tuple[int, set[str]]:
-        """End of the longest match that begins at ``start``, and the labels that end there."""
+        """End of the longest match that begins at ``start``, and the labels of all that begin there."""
         states, best, labels = self.start, start, set()
         for i in range(start, end):
             states = self.step(states, int(words[i]))
@@ -143,7 +143,7 @@ class Scanner:
                 break
             found = {self.automaton.final[s] for s in states if s in self.automaton.final}
             if found:
-                best, labels = i + 1, found
+                best, labels = i + 1, labels | found
         return best, labels
 
     def scan(self, texts: list[bytes]) -> list[tuple]:
@@ -184,8 +184,8 @@ def scan_licenses(df: DataFrame, keep: list[str], templates: dict[str, str] | No
     """The kept columns and the findings in each row's ``text``.
 
     ``score`` is the share of a text's words that accepted templates cover: 1 for a text that
-    is nothing but a license. From each word that can begin a template the longest match
-    counts, also inside other matches; a word covered twice counts once. A text that is null,
+    is nothing but a license. From each word that can begin a template all matches give their
+    labels, also inside other matches, and the longest covers; a word covered twice counts once. A text that is null,
     empty or without words has no findings and score 0.
     """
     templates, phrases = TEMPLATES if templates is None else templates, BASE if phrases is None else phrases
