@@ -50,3 +50,10 @@ def odd_documents(spark):
 @pytest.fixture(scope="session")
 def empty_documents(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def thue_morse():
+    """Two words of 2048 letters that every polynomial hash modulo a power of two takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

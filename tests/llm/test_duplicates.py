@@ -94,3 +94,10 @@ def test_components_of_links(spark):
     found = {r.node: r.label.rank for r in neardup.components(spark.createDataFrame(links, "a long, b long"), ranks).collect()}
     assert len(found) == 300
     assert {found[i] for i in range(51)} == {950} and {found[i] for i in range(100, 140)} == {861} and found[201] == found[200] == 799 and found[60] == 940
+
+
+def test_long_words_that_differ_make_no_class(spark, folder, thue_morse):
+    rows = [(1, thue_morse[0]), (2, thue_morse[1]), (3, thue_morse[0]), (4, "a few " + thue_morse[0]), (5, "a few " + thue_morse[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in QUERIES["op5_near_duplicates"](spark, folder(documents=docs)).collect()}
+    assert found == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from brute import classes
 from test_decontamination import expected as leaks
-from test_tokens import check_packing
+from test_token_ids import check_packing
 
 
 def test_run_against_brute_force(spark):

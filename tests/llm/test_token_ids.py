@@ -166,3 +166,42 @@ def test_damage_is_found():
 
     whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
     assert np.frombuffer(whole, "<u2").tolist() == [*range(10), *range(20)]
+
+
+def test_words_that_a_polynomial_hash_confuses(spark, folder, thue_morse):
+    """Short ones, kept in the memory, and long ones, which are not."""
+    for path, kind in ((BYTE, "spaced"), (WORD, "dropped")):
+        for size in (64, 256, 1024, 2048):
+            texts = [f"x {w[:size]} y" for w in thue_morse]
+            for text, ids in zip(texts, CachedEncoder(path, kind, 7).encode_many(texts)):
+                assert np.frombuffer(ids, "<u4").tolist() == plain(path, text, 7).tolist()
+    rows = [(i, w) for i, w in enumerate(thue_morse)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_packing(QUERIES["op1_packing"](spark, folder(documents=docs)).collect(), rows)
+    found = QUERIES["op10_token_files"](spark, folder(documents=docs)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in found} == {i: zlib.crc32(plain(WORD, t, 2).tobytes()) for i, t in rows}
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr("trajloom.llm.common.hashed", lambda buffer, starts, sizes: np.zeros(len(starts), np.uint64))
+    texts = ["one two three two", "three four", "", "one"]
+    for path, kind in ((BYTE, "spaced"), (WORD, "dropped")):
+        encoder = CachedEncoder(path, kind, 7)
+        for _ in range(2):
+            for text, ids in zip(texts, encoder.encode_many(texts)):
+                assert np.frombuffer(ids, "<u4").tolist() == plain(path, text, 7).tolist()
+
+
+def test_fetch_opens_only_files_that_may_hold_an_id(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(-5, 60)] + [(None, "none"), (-(2**63), "least"), (2**63 - 1, "most")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_store.write_token_files(df, WORD, "dropped", 2, partitions=5)
+    assert manifest.count() == 5
+    back = token_store.read_token_files(manifest).collect()
+    assert sorted((r.doc_id for r in back), key=str) == sorted((i for i, _ in rows), key=str)
+    opened = []
+    whole = token_store.open_folder
+    monkeypatch.setattr(token_store, "open_folder", lambda uri: opened.append(uri) or whole(uri))
+    found = token_store.fetch(spark, manifest, [3, 2**63 - 1, 1000])
+    assert set(found) == {3, 2**63 - 1} and len(opened) < 5
+    assert found[3][0].tolist() == plain(WORD, "text 3", 2).tolist()

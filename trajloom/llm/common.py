@@ -7,6 +7,7 @@ property of each byte, so whole batches of texts are cut and hashed as one byte
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -66,11 +67,11 @@ def text_bytes(texts: pa.Array) -> list[bytes]:
 # ---------------------------------------------------------------- words
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
     codes = np.arange(256)
     lower = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint8)
     is_word = ((codes >= 48) & (codes <= 57)) | ((codes >= 97) & (codes <= 122)) | (codes >= 128)
-    return lower, is_word[lower], mix(np.arange(1, 257, dtype=np.uint64))[lower]
+    return lower, is_word[lower]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,21 +82,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-LOWER, IS_WORD, BYTE_CODE = _tables()
-_BASE = 0x5851F42D4C957F2D
-_POWERS: list[np.ndarray] = []
+LOWER, IS_WORD = _tables()
+#: Longer words are hashed one by one.
+LONG_WORD = 256
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PIECE_BYTES + 4096)
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            powers = np.full(size, base, np.uint64)
-            powers[0] = 1
-            _POWERS.append(np.multiply.accumulate(powers))
-        del _POWERS[:-2]
-    return _POWERS[0], _POWERS[1]
+def word_parts(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of byte strings in a buffer: the k-th 8 bytes of those that have any, zeros behind their
+    end, and which strings these are; for k = 0, 1, ..."""
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(buffer) + 1, "<u8", padded, strides=(1,))
+    some, at = np.flatnonzero(sizes > 0), 0
+    while len(some):
+        left = np.minimum(sizes[some] - at, 8).astype(np.uint64)
+        yield some, words[starts[some] + at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+        at += 8
+        some = some[sizes[some] > at]
+
+
+def hashed(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings in a buffer: each 8 bytes are mixed into what came before."""
+    out = mix(sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > LONG_WORD)
+    for some, part in word_parts(buffer, starts, np.where(sizes > LONG_WORD, 0, sizes)):
+        out[some] = mix(out[some] ^ part)
+    for i in long.tolist():
+        digest = hashlib.blake2b(buffer[starts[i] : starts[i] + sizes[i]].tobytes(), digest_size=8)
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
 
 
 def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +134,8 @@ def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if end < len(buffer):
                 end = at + int(gaps[-1]) + 1
         piece = buffer[at:end]
-        power, inverse = _powers(len(piece) + 1)
-        prefix = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[piece] * power[: len(piece)], out=prefix[1:])
         first, last = word_spans(piece)
-        hashes.append(mix((prefix[last] - prefix[first]) * inverse[first]))
+        hashes.append(hashed(LOWER[piece], first, last - first))
         starts.append(first + at)
         at = end
     if not starts:
@@ -243,42 +254,88 @@ def open_folder(uri: str):
 _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 #: A text of more characters is encoded in parts.
 LONG_TEXT = 2_000_000
-_WIDE_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: ASCII white space.
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+
+
+def _wide_spaces(buffer: np.ndarray) -> np.ndarray:
+    """Where white space beyond ASCII begins in UTF-8."""
+    leads = np.flatnonzero((buffer == 0xC2) | (buffer == 0xE1) | (buffer == 0xE2) | (buffer == 0xE3))
+    if not len(leads):
+        return leads
+    code, second, third = (buffer[np.minimum(leads + k, len(buffer) - 1)].astype(np.int64) for k in range(3))
+    point = np.where(code == 0xC2, second, ((code & 15) << 12) | ((second & 63) << 6) | (third & 63))
+    wide = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    return leads[np.isin(point, wide)]
+
+
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size, one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class WordMemory:
-    """Word hash to token ids, in sorted arrays; emptied when it holds ``words`` words."""
+    """Byte strings of at most LONG_WORD bytes, each with a mark, and the token ids of each.
+
+    An open-addressing table by hash; whatever is found is compared byte by byte. All arrays
+    have fixed sizes, which the system hands out as they fill; when one is full, all is forgotten.
+    """
 
     def __init__(self, words: int):
         self.words = words
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.used, self.count = np.zeros(1 << 20, np.uint32), 0, 0
-        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of the ids of each hash; place -1 if unknown."""
-        place, size = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for keys, places, sizes in self.levels:
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hit = keys[at] == hashes
-                place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
-        return place, size
-
-    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Hashes in ascending order, the ids of all their words, and their numbers."""
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.levels.append((hashes, self.used + np.cumsum(sizes) - sizes, sizes))
-        self.used, self.count = self.used + len(ids), self.count + len(hashes)
-        # Levels grow by halves, so each word is merged a few times only.
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            merged = [np.concatenate(c) for c in zip(self.levels.pop(), self.levels.pop())]
-            order = np.argsort(merged[0], kind="stable")
-            self.levels.append(tuple(c[order] for c in merged))
+        slots = 1 << max(2 * self.words - 1, 1).bit_length()
+        self.mask = np.uint64(slots - 1)
+        self.slots = np.zeros(slots, np.int32)  # number of a string, from 1
+        self.hashes, self.marks = np.zeros(self.words, np.uint64), np.zeros(self.words, np.int32)
+        self.ids_at, self.ids_size = np.zeros(self.words, np.int64), np.zeros(self.words, np.int32)
+        self.bank_at = np.zeros(self.words, np.int64)
+        self.ids, self.bank = np.zeros(8 * self.words, np.uint32), np.zeros(4 * self.words, np.uint64)
+        self.count = self.ids_used = self.bank_used = 0
+
+    def fits(self, sizes: np.ndarray, ids: int) -> bool:
+        parts = int(((sizes + 7) >> 3).sum())
+        return self.count + len(sizes) <= self.words and self.ids_used + ids <= len(self.ids) and self.bank_used + parts <= len(self.bank)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of the string with each hash, from 0; -1 if there is none."""
+        found = np.full(len(hashes), -1, np.int64)
+        pending, at = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(pending):
+            entry = self.slots[at].astype(np.int64) - 1
+            hit = (entry >= 0) & (self.hashes[entry] == hashes[pending])
+            found[pending[hit]] = entry[hit]
+            on = ~hit & (entry >= 0)
+            pending, at = pending[on], (at[on] + 1) & int(self.mask)
+        return found
+
+    def equal(self, entries: np.ndarray, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Whether each string is the one with the number told; -1 is none."""
+        same = (entries >= 0) & (self.marks[entries] == (sizes << 1) + marks)
+        at = self.bank_at[entries]
+        for k, (some, part) in enumerate(word_parts(buffer, starts, np.where(same, sizes, 0))):
+            same[some] &= self.bank[at[some] + k] == part
+        return same
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, numbers: np.ndarray, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> None:
+        """Strings of distinct hashes that are not known, and the ids of all, ``numbers`` of them each."""
+        own = slice(self.count, self.count + len(hashes))
+        parts = (sizes + 7) >> 3
+        self.hashes[own], self.marks[own], self.ids_size[own] = hashes, (sizes << 1) + marks, numbers
+        self.ids_at[own] = self.ids_used + np.cumsum(numbers) - numbers
+        self.bank_at[own] = at = self.bank_used + np.cumsum(parts) - parts
+        self.ids[self.ids_used : self.ids_used + len(ids)] = ids
+        for k, (some, part) in enumerate(word_parts(buffer, starts, sizes)):
+            self.bank[at[some] + k] = part
+        pending, slot = np.arange(self.count, self.count + len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(pending):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = pending[free] + 1
+            on = self.slots[slot] != pending + 1
+            pending, slot = pending[on], (slot[on] + 1) & int(self.mask)
+        self.count, self.ids_used, self.bank_used = self.count + len(hashes), self.ids_used + len(ids), self.bank_used + int(parts.sum())
 
 
 class CachedEncoder:
@@ -289,10 +346,10 @@ class CachedEncoder:
     (``dropped``). Words end at spaces and line ends, and before a full stop or comma that
     ends them. A text that has other white space, or two white spaces in a row, is encoded
     whole in the first kind. New words are encoded many at a time, with a word between them
-    whose id is known. Words are told apart by a 64-bit hash.
+    whose id is known. ``words`` bounds the memory, about 90 bytes each.
     """
 
-    def __init__(self, path: str, kind: str, end_id: int, words: int = 3_000_000):
+    def __init__(self, path: str, kind: str, end_id: int, words: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -301,64 +358,83 @@ class CachedEncoder:
         self.between = "\n" if self.spaced else " | "
         (self.between_id,) = self._ids(self.between)
         # Words in which the divider, white space or a special token may hide go alone.
-        self.odd = re.compile(r"\s|<" if self.spaced else r"\s|\||<")
+        self.odd = np.isin(np.arange(256), [*range(32), 60, 127] + [124] * (not self.spaced))
         self.memory = WordMemory(words)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words, each with its leading space if it has one."""
-        found: list[np.ndarray | None] = [None] * len(words)
-        plain = []
-        for i, word in enumerate(words):
-            if self.odd.search(word, 1 if self.spaced and word[0] == " " else 0):
-                found[i] = np.array(self._ids(word), np.uint32)
-            else:
-                plain.append(i)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self._ids(self.between.join([words[i] for i in some])), np.uint32)
-            parts = np.split(ids, np.flatnonzero(ids == self.between_id))
-            if len(parts) != len(some):
-                raise ValueError("the divider of words is not a word of its own in this vocabulary")
-            for n, (i, part) in enumerate(zip(some, parts)):
-                found[i] = part[1:] if n else part
+    def _learn(self, buffer: np.ndarray, first: np.ndarray, size: np.ndarray, led: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and their numbers; words that hide nothing, with their leading space."""
+        if not len(first):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # All words with the divider behind each, as one byte string.
+        divider = np.frombuffer(self.between.encode(), np.uint8)
+        whole = led + size + len(divider)
+        stops = np.cumsum(whole)
+        text = np.full(int(stops[-1]), 32, np.uint8)
+        text[np.repeat(stops - len(divider) - size, size) + _counting(size)] = buffer[np.repeat(first, size) + _counting(size)]
+        for k, code in enumerate(divider.tolist()):
+            text[stops - len(divider) + k] = code
+        raw, lines = text.tobytes(), [*range(0, len(first), TOGETHER), len(first)]
+        cuts = [0, *stops[np.array(lines[1:]) - 1].tolist()]
+        texts = [raw[a : b - len(divider)].decode() for a, b in zip(cuts, cuts[1:])]
+        found = []
+        for at in range(0, len(texts), 100):
+            for encoding in self.tokenizer.encode_batch_fast(texts[at : at + 100], add_special_tokens=False):
+                found += encoding.ids
+                found.append(self.between_id)
+        ids = np.array(found, np.uint32)
+        ends = np.flatnonzero(ids == self.between_id)
+        if len(ends) != len(first):
+            raise ValueError("the divider of words is not a word of its own in this vocabulary")
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def _whole(self, coded: list[bytes]) -> np.ndarray:
+        """Whether each text can't be cut at words."""
+        if not self.spaced or not coded:
+            return np.zeros(len(coded), bool)
+        buffer = np.frombuffer(b"\0".join(coded) + b"\0", np.uint8)
+        space = _SPACE[buffer]
+        odd = np.append(np.flatnonzero(space[1:] & space[:-1]), _wide_spaces(buffer))
+        starts = np.cumsum([0, *(len(c) + 1 for c in coded[:-1])])
+        found = np.array([c.endswith(b" ") for c in coded])
+        found[np.searchsorted(starts, odd, "right") - 1] = True
         return found
 
-    def _whole(self, text: str) -> bool:
-        """Whether a text can't be cut at words."""
-        return self.spaced and bool(re.search(r"\s\s| $", text) or _WIDE_SPACE.search(text))
-
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, with the end id, of each text."""
         end = np.array([self.end_id], "<u4").tobytes()
         out: list[bytes] = [end] * len(texts)
+        some = [i for i, text in enumerate(texts) if text]
+        coded = [texts[i].encode() for i in some]
         cut: list[int] = []
-        for i, text in enumerate(texts):
-            if text and self._whole(text):
-                out[i] = np.array(self._ids(text), "<u4").tobytes() + end
-            elif text and len(text) > LONG_TEXT:
-                out[i] = b"".join(self._cut([part])[0][: -len(end)] for part in self._parts(text)) + end
-            elif text:
+        held: list[bytes] = []
+        for i, raw, whole in zip(some, coded, self._whole(coded).tolist()):
+            if whole:
+                out[i] = np.array(self._ids(texts[i]), "<u4").tobytes() + end
+            elif len(raw) > LONG_TEXT:
+                out[i] = b"".join(self._cut([part])[0][: -len(end)] for part in self._parts(raw)) + end
+            else:
                 cut.append(i)
-        for i, ids in zip(cut, self._cut([texts[i] for i in cut]) if cut else ()):
+                held.append(raw)
+        for i, ids in zip(cut, self._cut(held) if cut else ()):
             out[i] = ids
         return out
 
-    def _parts(self, text: str) -> Iterator[str]:
+    def _parts(self, text: bytes) -> Iterator[bytes]:
         """A long text, cut before spaces."""
         at = 0
         while at < len(text):
-            end = text.rfind(" ", at + 1, at + LONG_TEXT) if at + LONG_TEXT < len(text) else len(text)
-            end = text.find(" ", at + 1) if end < 0 else end
+            end = text.rfind(b" ", at + 1, at + LONG_TEXT) if at + LONG_TEXT < len(text) else len(text)
+            end = text.find(b" ", at + 1) if end < 0 else end
             end = len(text) if end < 0 else end
             yield text[at:end]
             at = end
 
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        coded = [t.encode() for t in texts]
-        buffer = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
+    def _cut(self, coded: list[bytes]) -> list[bytes]:
+        raw = b"\n".join(coded) + b"\n"
+        buffer = np.frombuffer(raw, np.uint8)
         ends = np.cumsum([len(c) + 1 for c in coded]) - 1
         gap = (buffer == 32) | (buffer == 10)
         # A full stop or comma between a letter or digit and a gap is a word of its own.
@@ -368,46 +444,79 @@ class CachedEncoder:
         first[1:] &= gap[:-1] | mark[1:]
         last = ~gap
         last[:-1] &= gap[1:] | mark[1:]
-        first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
-        codes = (BYTE_CODE if not self.spaced else _RAW_CODE)[buffer]
-        power, inverse = _powers(len(buffer) + 1)
-        prefix = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(codes * power[: len(buffer)], out=prefix[1:])
-        hashes = mix((prefix[last] - prefix[first]) * inverse[first])
+        first, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+        size -= first
+        led = np.zeros(len(first), np.int64)
         if self.spaced:
-            led = np.zeros(len(first), bool)
             led[first > 0] = buffer[first[first > 0] - 1] == 32
-            hashes = np.where(led, ~hashes, hashes)
-        distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        place, size = self.memory.find(distinct)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            if self.memory.count + len(new) > self.memory.words:
-                self.memory.clear()
-                new = np.arange(len(distinct))
-            raw = buffer.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(first[sample[new]].tolist(), last[sample[new]].tolist())]
-            if self.spaced:
-                words = [" " + w if lead else w for w, lead in zip(words, led[sample[new]].tolist())]
-            ids = self._learn(words)
-            self.memory.add(distinct[new], np.concatenate(ids), np.array([len(i) for i in ids], np.int64))
-            place, size = self.memory.find(distinct)
+        else:
+            buffer = LOWER[buffer]
+        hashes = mix(hashed(buffer, first, np.where(size > LONG_WORD, 0, size)) ^ led.astype(np.uint64))
+        entry, alone = self._entries(raw, buffer, first, size, led, hashes)
+        number = np.where(entry >= 0, self.memory.ids_size[entry], 0).astype(np.int64)
+        for i, own in alone.items():
+            number[i] = len(own)
         # Words, line ends that are tokens, and ends of texts, in the order of the text.
         extra = np.flatnonzero(buffer == 10) if self.spaced else ends
-        position = np.concatenate([first, extra])
-        order = np.argsort(position, kind="stable")
-        places = np.concatenate([place[which], np.where(np.isin(extra, ends), -2, -1)])[order]
-        sizes = np.concatenate([size[which], np.ones(len(extra), np.int64)])[order]
+        is_end = np.zeros(len(buffer), bool)
+        is_end[ends] = True
+        at = np.searchsorted(first, extra)
+        places = np.insert(np.where(entry >= 0, self.memory.ids_at[entry], 0), at, np.where(is_end[extra], -2, -1))
+        sizes = np.insert(number, at, 1)
         starts = np.cumsum(sizes) - sizes
-        ids = self.memory.ids[np.repeat(np.maximum(places, 0) - starts, sizes) + np.arange(int(sizes.sum()))]
+        where = np.repeat(np.maximum(places, 0) - starts, sizes)
+        where += np.arange(len(where))
+        ids = np.take(self.memory.ids, where, mode="clip")
         ids[starts[places == -1]] = self.between_id
         stops = starts[places == -2]
         ids[stops] = self.end_id
+        for i, own in alone.items():
+            start = starts[i + int(np.searchsorted(at, i, "right"))]
+            ids[start : start + len(own)] = own
         whole, cuts = ids.astype("<u4").tobytes(), [0, *(4 * stops + 4).tolist()]
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _entries(self, raw: bytes, buffer: np.ndarray, first: np.ndarray, size: np.ndarray, led: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """Number of each word in the memory, and the ids of words that it does not keep: those
+        that are long, that hide something, or whose hash another word has."""
+        hides = self.odd[buffer]
+        hides[_wide_spaces(buffer)] = True
+        hides = np.concatenate([[0], np.cumsum(hides)])
+        single = (size > LONG_WORD) | (hides[first + size] > hides[first])
 
-_RAW_CODE = mix(np.arange(1, 257, dtype=np.uint64))
+        def word(i: int) -> str:
+            return (" " if led[i] else "") + raw[first[i] : first[i] + size[i]].decode()
+
+        def known() -> np.ndarray:
+            found = np.where(single, -1, self.memory.find(hashes))
+            return np.where(self.memory.equal(found, buffer, first, size, led), found, -1)
+
+        entry = known()
+        new = np.flatnonzero((entry < 0) & ~single)
+        if len(new):
+            new = new[np.unique(hashes[new], return_index=True)[1]]
+            new = new[self.memory.find(hashes[new]) < 0]
+            ids, numbers = self._learn(buffer, first[new], size[new], led[new])
+            if not self.memory.fits(size[new], len(ids)):
+                # Forget all; of this batch every word is new again.
+                self.memory.clear()
+                new = np.flatnonzero(~single)
+                new = new[np.unique(hashes[new], return_index=True)[1]]
+                ids, numbers = self._learn(buffer, first[new], size[new], led[new])
+            if self.memory.fits(size[new], len(ids)):
+                self.memory.add(hashes[new], ids, numbers, buffer, first[new], size[new], led[new])
+            entry = known()
+        alone, once = {}, {}
+        for i in np.flatnonzero(entry < 0).tolist():
+            text = word(i)
+            if text not in once:
+                once[text] = self._ids(text)
+            alone[i] = once[text]
+        return entry, alone
+
+
+#: So many new words make a text of their own.
+TOGETHER = 100
 _ENCODERS: dict[tuple, CachedEncoder] = {}
 
 

@@ -1,7 +1,8 @@
 """Token ids as files of independent zstandard frames with a seek table.
 
 A file is, from its start: one zstandard frame per document with its ids as little-endian
-integers of 2 or 4 bytes; a skippable frame with the documents' ids; and a skippable frame
+integers of 2 or 4 bytes; a skippable frame with the documents' ids and, for each, whether
+it has one; and a skippable frame
 with the seek table of the public zstandard seekable format (compressed size, size and
 checksum of each frame; the checksum is the low half of XXH64 of the ids). Any zstandard
 tool unpacks such a file; a reader that wants one document reads the table at the end and
@@ -13,6 +14,8 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,8 @@ from trajloom.operators.store import store
 
 # Fixed values of the zstandard formats: skippable frames and the seek table.
 SKIPPABLE_TABLE, SKIPPABLE_OWN, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
-#: A document without an id, in the list of ids.
-NO_ID = -(1 << 63)
 LEVEL = 3
-MANIFEST = "part long, file string, width int, documents long, tokens long, bytes long"
+MANIFEST = "part long, file string, width int, documents long, tokens long, bytes long, least_id long, most_id long"
 
 
 class TokenFileWriter:
@@ -45,11 +46,11 @@ class TokenFileWriter:
         frame = self.pack.compress(raw)
         self.sink.write(frame)
         self.entries.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-        self.ids.append(NO_ID if doc_id is None else doc_id)
+        self.ids.append(doc_id)
         self.tokens, self.bytes = self.tokens + len(ids), self.bytes + len(frame)
 
     def close(self) -> None:
-        ids = np.array(self.ids, "<i8").tobytes()
+        ids = np.array([i or 0 for i in self.ids], "<i8").tobytes() + bytes(i is not None for i in self.ids)
         ids = struct.pack("<BQ", self.width, len(self.ids)) + ids
         self.sink.write(struct.pack("<II", SKIPPABLE_OWN, len(ids)) + ids)
         body = np.array(self.entries, "<u4").reshape(-1, 3).tobytes()
@@ -68,11 +69,12 @@ class TokenFile:
             raise ValueError("no seek table at the end of the file")
         self.table = np.frombuffer(self._at(size - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3)
         self.starts = np.concatenate([[0], np.cumsum(self.table[:, 0], dtype=np.int64)])
-        at = size - 9 - 12 * n - 8 - 8 * n - 9
+        at = size - 9 - 12 * n - 8 - 9 * n - 9
         self.width, count = struct.unpack("<BQ", self._at(at, 9))
         if count != n:
             raise ValueError("the tables of the file disagree")
         self.doc_ids = np.frombuffer(self._at(at + 9, 8 * n), "<i8")
+        self.has_id = np.frombuffer(self._at(at + 9 + 8 * n, n), bool)
         self.unpack = zstandard.ZstdDecompressor()
 
     def _at(self, start: int, size: int) -> bytes:
@@ -92,13 +94,15 @@ class TokenFile:
 
     def find(self, doc_id: int) -> list[int]:
         """Numbers of the documents with an id."""
-        return np.flatnonzero(self.doc_ids == doc_id).tolist()
+        return np.flatnonzero((self.doc_ids == doc_id) & self.has_id).tolist()
 
 
 def write_token_files(df: DataFrame, tokenizer: str, kind: str, end_id: int, width: int = 2, partitions: int | None = None) -> DataFrame:
     """Encode and write ``df`` (doc_id, text) in ascending doc_id order, a file per range.
 
-    Returns the written manifest: part, file, width, documents, tokens, bytes. Each attempt
+    Returns the written manifest: part, file, width, documents, tokens, bytes, and the smallest
+    and largest id, null if no document has one. Rows of equal ids go by a digest of
+    their texts, so that no text is a sort key. Each attempt
     of a task writes a file of its own name and only attempts that Spark accepts are in the
     manifest, so lost executors and repeated tasks do no harm. ``width`` is 2 for
     vocabularies below 65 536 ids, else 4.
@@ -106,8 +110,9 @@ def write_token_files(df: DataFrame, tokenizer: str, kind: str, end_id: int, wid
     spark = df.sparkSession
     folder = shared_folder(spark, "tokens")
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = df.select("doc_id", "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_digest").asc_nulls_first()]
+    rows = df.select("doc_id", "text", F.md5("text").alias("_digest")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    rows = rows.select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -124,8 +129,9 @@ def write_token_files(df: DataFrame, tokenizer: str, kind: str, end_id: int, wid
                     writer.add(doc_id, np.frombuffer(ids, "<u4"))
         if writer is not None:
             writer.close()
-            row = [[part], [f"{folder}/{name}"], [width], [len(writer.entries)], [writer.tokens], [writer.bytes]]
-            types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            known = [i for i in writer.ids if i is not None]
+            row = [[part], [f"{folder}/{name}"], [width], [len(writer.entries)], [writer.tokens], [writer.bytes], [min(known, default=None)], [max(known, default=None)]]
+            types = [pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
     return store(rows.mapInArrow(write, MANIFEST), "token-files")
@@ -154,7 +160,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         ids = tokens.ids(i)
                         out[:, i] = start, len(ids), crc32(ids.astype("<u4").tobytes())
                         start += len(ids)
-                    doc_ids = pa.array(tokens.doc_ids, mask=tokens.doc_ids == NO_ID)
+                    doc_ids = pa.array(tokens.doc_ids, mask=~tokens.has_id)
                     yield pa.RecordBatch.from_arrays(
                         [doc_ids, *map(pa.array, out), pa.array([file] * len(tokens)), pa.array(np.arange(len(tokens)))],
                         names=["doc_id", "start", "n_tokens", "ids_crc32", "file", "frame"],
@@ -164,9 +170,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def fetch(spark: SparkSession, manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
-    """The ids of a few documents, read on the driver from their frames alone."""
+    """The ids of a few documents, read on the driver from their frames alone; only files whose
+    ids may hold one of them are opened."""
     found: dict[int, list[np.ndarray]] = {}
-    for row in manifest.toLocalIterator():
+    wanted = reduce(or_, [F.lit(doc_id).between(F.col("least_id"), F.col("most_id")) for doc_id in doc_ids], F.lit(False))
+    for row in manifest.where(wanted).toLocalIterator():
         system, path = open_folder(row.file)
         with system.open_input_file(path) as source:
             tokens = TokenFile(source, source.size())
@@ -179,7 +187,7 @@ def fetch(spark: SparkSession, manifest: DataFrame, doc_ids: list[int]) -> dict[
 def token_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` written and read back; a null text is empty and has the end id alone.
 
-    Rows with equal ids follow their texts, null ids come first. An empty table gives an
+    Rows with equal ids follow digests of their texts, null ids come first. An empty table gives an
     empty result; further columns are not read.
     """
     import public_tokenizers
