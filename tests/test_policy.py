@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajloom.functions.tokens import log_softmax_at
 from trajloom.operators.enrich import enrich
 from trajloom.operators.policy import (
     fit_policy,
@@ -321,3 +322,38 @@ def test_batch_function_sees_whole_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert out == {b: list(range(b, 100, 9)) for b in range(9)}
+
+
+def test_masked_and_odd_logits_in_both_forms(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        (1, [1.0, -inf, 2.0], 0), (2, [1.0, -inf, 2.0], 1), (3, [-inf, -inf], 0), (4, [inf, 1.0], 1), (5, [nan, 1.0], 1),
+        (6, [-3000.0, 4000.0, -inf], 0), (7, [5.0], 0), (8, [700.0, -inf, 701.0], 2),
+    ]
+    df = spark.createDataFrame(rows, "traj_id long, logits array<double>, target int")
+    cells = df.select("traj_id", F.lit(0).alias("pos"), F.posexplode("logits").alias("token", "logit"))
+    targets = df.select("traj_id", F.lit(1).alias("pos"), F.col("target").alias("token"))
+    long = {r.traj_id: r.token_logp for r in logits_scores(cells, targets).collect()}
+    array = {r.traj_id: r.p for r in df.select("traj_id", log_softmax_at(F.col("logits"), F.col("target")).alias("p")).collect()}
+    want = {1: 1 - math.log(math.exp(1) + math.exp(2)), 2: -inf, 3: nan, 4: nan, 5: nan, 6: -7000.0, 7: 0.0, 8: -math.log1p(math.exp(-1))}
+    for found in (long, array):
+        assert found == {k: pytest.approx(v, nan_ok=True) for k, v in want.items()}
+
+
+def test_a_target_beyond_the_vocabulary_is_an_error_in_both_forms(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 2)], "traj_id long, logits array<double>, target int")
+    cells = df.select("traj_id", F.lit(0).alias("pos"), F.posexplode("logits").alias("token", "logit"))
+    targets = df.select("traj_id", F.lit(1).alias("pos"), F.col("target").alias("token"))
+    for query in (logits_scores(cells, targets), df.select(log_softmax_at(F.col("logits"), F.col("target")))):
+        with pytest.raises(Exception, match="a target has no logit"):
+            query.collect()
+    nulls = spark.createDataFrame([(None, 1), ([1.0], None)], "logits array<double>, target int")
+    assert [r[0] for r in nulls.select(log_softmax_at(F.col("logits"), F.col("target"))).collect()] == [None, None]
+
+
+def test_a_user_encoder_changes_no_other_column(spark):
+    df = spark.createDataFrame([(2**53 + 1, "ab", None), (None, "", 1.5)], "id long, text string, x double")
+    rows = encode_with(df, make_encoder, ["text"]).collect()
+    assert [(r["id"], r.text, r.x) for r in rows] == [(2**53 + 1, "ab", None), (None, "", 1.5)]
+    with pytest.raises(Exception, match="column text holds a null text"):
+        encode_with(spark.createDataFrame([(None,)], "text string"), make_encoder, ["text"]).collect()

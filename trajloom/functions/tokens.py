@@ -86,10 +86,17 @@ def scored_tokens(input_ids: Column, labels: Column, label_pad: int) -> Column:
 
 
 def log_softmax_at(logits: Column, target: Column) -> Column:
-    """Log-softmax of an array of logits at a 0-based target index."""
-    top = F.array_max(logits)
+    """Log-softmax of an array of logits at a 0-based target index.
+
+    -inf is a masked token, which as a target has log-prob -inf; with nothing but masked
+    tokens, +inf or NaN the result is NaN. A target beyond the array, or at a null logit, is an
+    error; a null array or target gives null.
+    """
+    top = F.array_max(logits).cast("double")
     total = F.aggregate(
-        logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top.cast("double"))
+        logits, F.lit(0.0), lambda acc, x: acc + F.coalesce(F.exp(x.cast("double") - top), F.lit(0.0))
     )
     picked = F.get(logits, target).cast("double")
-    return picked - top.cast("double") - F.ln(total)
+    missing = logits.isNotNull() & target.isNotNull() & picked.isNull()
+    error = F.raise_error(F.lit("a target has no logit")).cast("double")
+    return F.when(missing, error).otherwise(picked - top - F.ln(total))

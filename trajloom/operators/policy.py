@@ -147,21 +147,33 @@ def logits_scores(
     predict the token at ``pos``. ``shift`` names a column of ``logits`` with the number
     of logit positions in front of the labelled ones, to be skipped. The log-sum-exp is
     summed per class of logits of similar size, so it combines before the shuffle; the
-    logits themselves are moved only if the targets are too many to broadcast. A target
-    without a logit is an error.
+    logits themselves are moved only if the targets are too many to broadcast. A logit of
+    -inf is a masked token: it adds nothing to the sum, and as a target it has log-prob -inf.
+    Where all logits of a position are masked, or one is +inf or NaN, the result is NaN, as in
+    floating-point arithmetic. A target without a logit is an error; null logits are none.
     """
     at = F.col("pos") + 1
     if shift is not None:
         at = at - F.col(shift)
     scores = logits.select(id_col, at.alias("pos"), F.col("token"), F.col("logit").cast("double").alias("logit"))
     targets = targets.select(id_col, "pos", "token")
-    sized = scores.withColumn("_class", F.floor(F.col("logit") / SPAN).cast("double"))
-    parts = sized.groupBy(id_col, "pos", "_class").agg(F.sum(F.exp(F.col("logit") - F.col("_class") * SPAN)).alias("_sum"))
-    part = F.struct(F.col("_class").alias("c"), F.ln("_sum").alias("s"))
+    scores = scores.where(F.col("logit").isNotNull())
+    # Masked logits lie in the lowest class, where their share is 0; NaN and +inf spoil their sum.
+    masked = F.col("logit") == float("-inf")
+    finite = ~masked & ~F.isnan("logit") & (F.col("logit") != float("inf"))
+    sized = scores.withColumn("_class", F.when(finite, F.floor(F.col("logit") / SPAN).cast("double")))
+    share = F.when(masked, 0.0).when(finite, F.exp(F.col("logit") - F.col("_class") * SPAN)).otherwise(float("nan"))
+    parts = sized.groupBy(id_col, "pos", "_class").agg(F.sum(share).alias("_sum"))
+    # Of the class without a number only its spoiling matters: 0 if all of it is masked.
+    spoilt = F.when(F.isnan("_sum"), float("nan"))
+    part = F.struct(F.col("_class").alias("c"), F.when(F.col("_class").isNotNull(), F.ln("_sum")).otherwise(spoilt).alias("s"))
     norms = parts.groupBy(id_col, "pos").agg(F.collect_list(part).alias("_parts"), F.max("_class").alias("_top"))
     # A few classes per position.
-    shares = F.aggregate("_parts", F.lit(0.0), lambda total, p: total + F.exp(p["s"] + (p["c"] - F.col("_top")) * SPAN))
-    norms = norms.select(id_col, "pos", (F.ln(shares) + F.col("_top") * SPAN).alias("_norm"))
+    own = lambda p: F.when(p["s"].isNull(), 0.0).when(p["c"].isNull(), p["s"]).otherwise(F.exp(p["s"] + (p["c"] - F.col("_top")) * SPAN))
+    shares = F.aggregate("_parts", F.lit(0.0), lambda total, p: total + own(p))
+    # Without a finite logit there is no class, and no probability.
+    norm = F.when(F.col("_top").isNotNull(), F.ln(shares) + F.col("_top") * SPAN).otherwise(float("nan"))
+    norms = norms.select(id_col, "pos", norm.alias("_norm"))
     keys = [id_col, "pos", "token"]
     small = F.broadcast(targets.distinct()) if fits_broadcast(targets, broadcast_bytes) else targets.distinct()
     picked = scores.join(small, keys).select(*keys, "logit")

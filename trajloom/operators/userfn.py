@@ -53,15 +53,25 @@ def map_rows(
 def encode_with(
     df: DataFrame, make_encoder: Callable[[], Callable[[str], list[int]]], columns: list[str]
 ) -> DataFrame:
-    """Add ``<column>_ids`` from a user's tokenizer, made once per partition."""
+    """Add ``<column>_ids`` from a user's tokenizer, made once per partition.
+
+    All other columns pass through unchanged. A null text is an error that names its column.
+    """
     added = [T.StructField(f"{c}_ids", T.ArrayType(T.IntegerType())) for c in columns]
+    result = T.StructType([*df.schema.fields, *added])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
-        for frame in frames:
-            yield frame.assign(**{f"{c}_ids": frame[c].map(encoder) for c in columns})
+        for batch in batches:
+            ids = []
+            for c in columns:
+                texts = batch.column(c)
+                if texts.null_count:
+                    raise ValueError(f"column {c} holds a null text, which has no tokens")
+                ids.append(pa.array([list(encoder(t)) for t in texts.to_pylist()], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *ids], names=[*batch.schema.names, *(f.name for f in added)])
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *added]))
+    return df.mapInArrow(run, result)
 
 
 def map_batches(

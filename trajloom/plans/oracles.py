@@ -325,6 +325,25 @@ SELECT origin_label, {metric_list(prefix="eval_")} FROM losses GROUP BY origin_l
     "expert_mix": f"""WITH {MIXED}
 SELECT domain, COUNT(*) AS samples, COUNT(prompt) AS prompts, COUNT(advantage) AS advantages,
   round(SUM(nll_seq), 4) AS nll_sum FROM mixed GROUP BY domain""",
+    "mixed_by_ratio": """WITH n AS (SELECT COUNT(*) // 60 * 6 AS total FROM events),
+shares AS (SELECT 'click' AS domain, total * 3 // 6 AS quota FROM n UNION ALL SELECT 'view', total * 2 // 6 FROM n
+  UNION ALL SELECT 'purchase', total // 6 FROM n),
+ranked AS (SELECT event_id, value, event_type AS domain,
+  row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_type || ':' || event_id)) AS k FROM events)
+SELECT event_id, value, domain FROM ranked JOIN shares USING (domain) WHERE k <= quota""",
+    "asof_policy": """SELECT l.event_id, l.user_id, l.ts, r.ts AS policy_valid_from, r.event_id AS policy_version
+FROM (SELECT * FROM events WHERE event_type <> 'signup') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') r ON l.user_id = r.user_id AND l.ts >= r.ts""",
+    "interval_steps": """WITH steps AS (SELECT event_id AS step_id, user_id, ts AS step_start,
+  ts + to_hours(CASE WHEN event_id % 50 = 0 THEN 9600 ELSE CAST(ceil(value) AS BIGINT) END) AS step_end
+  FROM events WHERE event_type = 'signup')
+SELECT step_id, event_id FROM events e JOIN steps s ON e.user_id = s.user_id AND step_start <= ts AND ts < step_end
+WHERE event_type <> 'signup'""",
+    "session_trajectories": """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 8 HOURS THEN 0 ELSE 1 END AS fresh
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)),
+numbered AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS session FROM marked)
+SELECT user_id, MIN(ts) AS session_start, MAX(ts) AS session_end, COUNT(*) AS rows, round(SUM(value), 4) AS reward
+FROM numbered GROUP BY user_id, session""",
     "origin_flag_string": f"""WITH {TEXT}
 SELECT traj_id, origin_label,
   CASE WHEN lower(trim(origin_label)) = 'negative' THEN 1.0E0 ELSE 0.0E0 END AS origin_is_negative
@@ -447,6 +466,14 @@ logits AS (SELECT vec_id AS traj_id, label, i // 8 - 2 + 1 AS pos, i % 8 AS cand
 SELECT traj_id, pos, MAX((label + pos) % 8) AS token,
   {r6("MAX(x) FILTER (WHERE candidate = (label + pos) % 8) - ln(SUM(exp(x)))")} AS token_logp
 FROM logits WHERE pos BETWEEN 1 AND 5 GROUP BY traj_id, pos""",
+    "logits_masked": """WITH cells AS (
+  SELECT vec_id, vec_id % 8 AS label, unnest(range(8)) AS i, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings),
+sums AS (SELECT vec_id, max(x) FILTER (WHERE i = label AND (vec_id + i) % 3 <> 0) AS own,
+  ln(sum(exp(x)) FILTER (WHERE (vec_id + i) % 3 <> 0)) AS norm FROM cells GROUP BY vec_id)
+SELECT vec_id, coalesce(printf('%.4f', own - norm), 'masked') AS array_form,
+  coalesce(printf('%.4f', own - norm), 'masked') AS long_form FROM sums""",
+    "encode_user_long_ids": """SELECT item_id, CASE WHEN item_id % 3 > 0 THEN item_id + 9007199254740993 END AS great,
+  length(text) AS n, CAST(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) AS BIGINT) AS total FROM benchmark""",
     "user_encoder": f"""WITH {PAIRS},
 coded AS (
   SELECT traj_id, list_transform(string_split(prompt, ''), lambda c: unicode(c)) AS p,

@@ -24,6 +24,7 @@ from trajloom.operators.metrics import (
     split_counts,
     with_prefix,
 )
+from trajloom.operators.mixing import mix_by_ratio
 from trajloom.operators.policy import (
     TabularPolicy,
     fit_policy,
@@ -38,6 +39,7 @@ from trajloom.operators.policy import (
 )
 from trajloom.operators.replay import group_advantage, label_origin, mix_buffers, replay_pairs
 from trajloom.operators.store import new_path, store
+from trajloom.operators.temporal import asof_join, interval_join, sessions
 from trajloom.operators.tokenise import build_vocabulary, encode, truncation_audit, with_model_inputs
 from trajloom.operators.userfn import encode_with, map_batches, map_rows, score_with
 from trajloom.options import BOS_ID, EOS_ID, PAD_ID, BatchOptions, LossOptions, TokenOptions
@@ -146,6 +148,39 @@ def expert_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of three types in the ratio 3 : 2 : 1, a tenth as many as there are events."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    kinds = {"click": 3, "view": 2, "purchase": 1}
+    buffers = {kind: events.where(F.col("event_type") == kind).drop("event_type") for kind in kinds}
+    return mix_by_ratio(buffers, kinds, ["event_id"], total=events.count() // 60 * 6)
+
+
+def asof_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trajectory with the policy version of its user that was valid at its time."""
+    events = table(spark, sf_dir, "events")
+    rows = events.where("event_type <> 'signup'").select("event_id", "user_id", "ts")
+    versions = events.where("event_type = 'signup'").select("user_id", F.col("ts").alias("valid_from"), F.col("event_id").alias("version"))
+    return asof_join(rows, versions, "ts", "valid_from", ["user_id"], "policy_")
+
+
+def interval_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the training steps of their user that cover them; some steps are very long."""
+    events = table(spark, sf_dir, "events")
+    hours = F.when(F.col("event_id") % 50 == 0, F.lit(9600)).otherwise(F.ceil("value").cast("int"))
+    steps = events.where("event_type = 'signup'").select(
+        F.col("event_id").alias("step_id"), "user_id", F.col("ts").alias("step_start"), (F.col("ts") + F.make_dt_interval(hours=hours)).alias("step_end")
+    )
+    rows = events.where("event_type <> 'signup'").select("event_id", "user_id", "ts")
+    return interval_join(rows, steps, "ts", "step_start", "step_end", ["user_id"]).select("step_id", "event_id")
+
+
+def session_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trajectory per session of a user: events no more than eight hours apart."""
+    found = sessions(table(spark, sf_dir, "events"), "user_id", "ts", 8 * 3600, ["value"])
+    return found.select("user_id", "session_start", "session_end", "rows", F.round("value", 4).alias("reward"))
+
+
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics under the prefix they carry outside training."""
     result = metrics(losses(numeric_trajectories(spark, sf_dir)), ["origin_label"])
@@ -430,6 +465,20 @@ def logits_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(logits_scores(logits, targets, "skipped"))
 
 
+def logits_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both forms side by side where a third of the logits is masked, some targets among them."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.col("vec_id") % 8).cast("int").alias("label"),
+        F.transform(F.slice("embedding", 1, 8), lambda x, i: F.when((F.col("vec_id") + i) % 3 == 0, float("-inf")).otherwise(x.cast("double"))).alias("logits"),
+    )
+    cells = rows.select(F.col("vec_id").alias("traj_id"), F.lit(0).alias("pos"), F.posexplode("logits").alias("token", "logit"))
+    targets = rows.select(F.col("vec_id").alias("traj_id"), F.lit(1).alias("pos"), F.col("label").alias("token"))
+    # An infinite number as text, which all engines show alike.
+    shown = lambda c: F.when(c == float("-inf"), "masked").otherwise(F.format_string("%.4f", c))
+    long = logits_scores(cells, targets).select(F.col("traj_id").alias("vec_id"), shown(F.col("token_logp")).alias("long_form"))
+    return rows.select("vec_id", shown(log_softmax_at(F.col("logits"), F.col("label"))).alias("array_form")).join(long, "vec_id")
+
+
 # --- User functions -----------------------------------------------------------
 
 
@@ -441,6 +490,14 @@ def make_code_points() -> Callable[[str], list[int]]:
     return code_points
 
 
+def encode_user_long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that no double holds, beside nulls, pass a user's encoder unchanged."""
+    rows = table(spark, sf_dir, "benchmark")
+    great = F.when(F.col("item_id") % 3 > 0, F.col("item_id") + F.lit(2**53 + 1))
+    coded = encode_with(rows.select("item_id", great.alias("great"), "text"), lambda: code_points, ["text"])
+    return coded.select("item_id", "great", F.size("text_ids").cast("long").alias("n"), F.aggregate("text_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 def user_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's tokenizer: here one token per character, its code point."""
     pairs = replay_pairs(table(spark, sf_dir, "conversations"))
@@ -678,6 +735,10 @@ QUERIES: dict[str, Query] = {
     "metrics_rollup": rollup,
     "eval_metrics": eval_metrics,
     "expert_mix": expert_mix,
+    "mixed_by_ratio": mixed_by_ratio,
+    "asof_policy": asof_policy,
+    "interval_steps": interval_steps,
+    "session_trajectories": session_trajectories,
     "origin_flag_string": origin_flag_string,
     "origin_flag_numeric": origin_flag_numeric,
     "lenient_nll": lenient_nll,
@@ -722,7 +783,9 @@ QUERIES: dict[str, Query] = {
     "softmax_of_unigram": softmax_of_unigram,
     "logits_softmax_gather": logits_softmax_gather,
     "logits_long": logits_long,
+    "logits_masked": logits_masked,
     "user_encoder": user_encoder,
+    "encode_user_long_ids": encode_user_long_ids,
     "user_row_map": user_row_map,
     "user_batch_function": user_batch_function,
     "user_scorer": user_scorer,
