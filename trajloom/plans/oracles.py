@@ -359,6 +359,11 @@ SELECT traj_id, {r6("coalesce(round(advantage, 3), 0.25E0)")} AS advantage FROM
     "template_math": template("deepseek-math"),
     "template_boxed": template("qwen2-boxed"),
     "template_default": template("ours"),
+    "stream_pairs": f"""WITH {PAIRS} SELECT traj_id, group_id, turn, prompt, response FROM pairs""",
+    "stream_late_rows": """WITH first AS (SELECT max(ts) - INTERVAL 5 DAYS AS bound FROM events WHERE event_id % 5 <> 0)
+SELECT event_id, CAST(0 AS BIGINT) AS batch, 'kept' AS fate FROM events WHERE event_id % 5 <> 0
+UNION ALL SELECT event_id, 1, CASE WHEN ts < bound THEN 'late' WHEN event_id % 5 = 1 THEN 'repeated' ELSE 'kept' END
+FROM events, first WHERE event_id % 5 <= 1""",
     "replay_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
     "replay_pairs_sparse": f"""WITH {PAIRS}
 SELECT * REPLACE (group_id || ':' || turn * 60000 AS traj_id, turn * 60000 AS turn) FROM pairs""",

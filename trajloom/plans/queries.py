@@ -54,6 +54,7 @@ from trajloom.sources.tables import (
     with_reward,
 )
 from trajloom.sources.writer import save_metrics, save_training_set
+from trajloom.streaming.sessions import drain_with_fates, new_paths, stream_pairs
 from trajloom.streaming.replay_stream import drain, enriched_losses, read_feed, windowed_metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -721,6 +722,28 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.withColumns(edges))
 
 
+def stream_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns a minute apart, the even ones first, then a row that closes all conversations."""
+    feed, out, progress = new_paths(spark, "stream-pairs")
+    turns = table(spark, sf_dir, "conversations")
+    turns = turns.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60))
+    close = turns.limit(1).select(*[F.lit(None).cast(turns.schema[c].dataType).alias(c) for c in turns.columns[:-1]], F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"))
+    for part in (turns.where("turn % 2 = 0"), turns.where("turn % 2 = 1"), close):
+        part.write.mode("append").parquet(feed)
+        rows = drain(stream_pairs(read_feed(spark, feed, turns.schema), "ts", "3650 days", 60), "stream-pairs", out, progress)
+    return rows
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fifths of the events, then the last fifth, much of it late, and some once more."""
+    feed, out, progress = new_paths(spark, "stream-late")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for part in (events.where("event_id % 5 <> 0"), events.where("event_id % 5 <= 1")):
+        part.write.mode("append").parquet(feed)
+        rows = drain_with_fates(read_feed(spark, feed, events.schema), ["event_id"], "ts", 5 * 86400, out, progress)
+    return rows.select("event_id", "batch", "fate")
+
+
 QUERIES: dict[str, Query] = {
     "sample_loss": sample_loss(LossOptions()),
     "sample_loss_length_norm": sample_loss(LossOptions(length_normalize=True)),
@@ -803,4 +826,6 @@ QUERIES: dict[str, Query] = {
     "scoreboard": scoreboard_query,
     "stream_enrich": stream_enrich,
     "stream_metrics": stream_metrics,
+    "stream_pairs": stream_pairs_query,
+    "stream_late_rows": stream_late_rows,
 }
