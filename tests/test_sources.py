@@ -9,6 +9,7 @@ from trajloom.operators.policy import fit_policy
 from trajloom.operators.store import new_path, shared_dir, store
 from trajloom.options import BatchOptions, LossOptions, TokenOptions
 from trajloom.plans.training_run import evaluate, prepare_training_set, with_ids
+from trajloom.sources.writer import save_metrics
 from trajloom.sources.reader import (
     check_tokenised,
     file_format,
@@ -280,3 +281,15 @@ def test_training_set_with_a_users_tokenizer(spark, tmp_path):
     back = spark.read.parquet(out).collect()
     assert sorted(r.labels[2:] for r in back) == [[97, 98, 48]] * 4 + [[97, 98, 49]] * 4
     assert {r.traj_id for r in back} == {1} and len({r.row_id for r in back}) == 8
+
+
+def test_metrics_of_a_split_and_run_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    row = lambda x: spark.createDataFrame([(x,)], "loss double")
+    for run, split, loss in (("a", "train", 1.0), ("a", "eval", 2.0), ("b", "train", 3.0), ("a", "train", 4.0)):
+        save_metrics(row(loss), path, split, run)
+    found = {(r.run, r.split, r.loss) for r in spark.read.json(path).collect()}
+    assert found == {("a", "train", 4.0), ("a", "eval", 2.0), ("b", "train", 3.0)}
+    for bad in ("../x", "a/b", "", ".x"):
+        with pytest.raises(ValueError):
+            save_metrics(row(1.0), path, bad)

@@ -672,8 +672,8 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "metrics")
     negative = F.col("origin_label") == "negative"
     results = {"train": rounded(metrics(rows.where(~negative))), "eval": rounded(metrics(rows.where(negative)))}
-    for split, result in results.items():
-        save_metrics(result, path, split)
+    for split, result in [*results.items(), ("eval", results["eval"])]:
+        save_metrics(result, path, split)  # the second record of a split takes the place of the first
     schema = T.StructType([T.StructField("split", T.StringType()), *results["train"].schema.fields])
     return spark.read.schema(schema).json(path)
 

@@ -126,16 +126,17 @@ def evaluate(
     token_options: TokenOptions = TokenOptions(),
     loss_options: LossOptions = LossOptions(),
     id_col: str = ROW_ID,
+    run: str | None = None,
 ) -> None:
-    """Score each table under a policy and append its metrics.
+    """Score each table under a policy and save its metrics, in place of an earlier evaluation's.
 
     The split ``test`` is named ``eval``; further evaluation sets keep their names, as in
-    ``eval_math``.
+    ``eval_math``. Each ``run`` has records of its own.
     """
     for name, df in tables.items():
         scores = sequence_scores(score_tokens(df, policy, id_col, token_options), id_col)
         result = metrics(scored_losses(df, scores, loss_options, id_col), None, loss_options)
-        save_metrics(result, metrics_dir, {TRAIN: "train", TEST: "eval"}.get(name, f"eval_{name}"))
+        save_metrics(result, metrics_dir, {TRAIN: "train", TEST: "eval"}.get(name, f"eval_{name}"), run)
 
 
 def preview_rows(df: DataFrame, id_col: str = "traj_id", seed: int = 42) -> DataFrame:
