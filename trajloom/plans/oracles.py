@@ -359,6 +359,12 @@ SELECT traj_id, {r6("coalesce(round(advantage, 3), 0.25E0)")} AS advantage FROM
     "template_math": template("deepseek-math"),
     "template_boxed": template("qwen2-boxed"),
     "template_default": template("ours"),
+    "distinct_rollup": """SELECT lang AS domain, source AS label, CAST(GROUPING(lang, source) AS BIGINT) AS level,
+  COUNT(*) AS samples, COUNT(DISTINCT text) AS prompts FROM documents GROUP BY ROLLUP (lang, source)""",
+    "delta_metrics": f"""WITH {NUMERIC.replace("FROM lineitem", "FROM lineitem WHERE l_shipdate >= TIMESTAMP '1993-01-01'")},
+revised AS (SELECT * REPLACE (CASE WHEN completion_len >= 40 THEN advantage / 2 ELSE advantage END AS advantage) FROM numbers),
+{losses("revised", carry="origin_label,")}
+SELECT origin_label, {metric_list()} FROM losses GROUP BY origin_label""",
     "stream_pairs": f"""WITH {PAIRS} SELECT traj_id, group_id, turn, prompt, response FROM pairs""",
     "stream_late_rows": """WITH first AS (SELECT max(ts) - INTERVAL 5 DAYS AS bound FROM events WHERE event_id % 5 <> 0)
 SELECT event_id, CAST(0 AS BIGINT) AS batch, 'kept' AS fate FROM events WHERE event_id % 5 <> 0

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from trajloom.functions.tokens import completion_span, log_softmax_at
 from trajloom.operators.batching import BATCH_KEYS, assign_batches, pad_batches, training_set
+from trajloom.operators.deltas import metric_state, metrics_of_state, snapshot_changes, updated_state
 from trajloom.operators.enrich import apply_template, enrich, model_batch, preview, with_loss
 from trajloom.operators.metrics import (
     last_metrics,
@@ -38,6 +39,7 @@ from trajloom.operators.policy import (
     unigram_logits,
 )
 from trajloom.operators.replay import group_advantage, label_origin, mix_buffers, replay_pairs
+from trajloom.operators.rollups import distinct_rollup
 from trajloom.operators.store import new_path, store
 from trajloom.operators.temporal import asof_join, interval_join, sessions
 from trajloom.operators.tokenise import build_vocabulary, encode, truncation_audit, with_model_inputs
@@ -47,6 +49,7 @@ from trajloom.plans.training_run import batch_metrics, preview_rows, scored_loss
 from trajloom.sources.reader import prune, read_trajectories
 from trajloom.sources.tables import (
     event_trajectories,
+    line_trajectories,
     numeric_trajectories,
     scored_text_trajectories,
     table,
@@ -140,6 +143,26 @@ def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics_rollup(flagged, ["domain", "origin"]))
 
 
+def distinct_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct prompts per domain and label on every level; documents stand for prompts."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), F.col("source").alias("label"), F.col("text").alias("prompt"))
+    return distinct_rollup(rows, ["domain", "label"], "prompt", "prompts")
+
+
+def delta_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a buffer that loses its oldest rows, gains new ones and has others revised.
+
+    Losses are computed for all rows of the first snapshot once, then for what has changed.
+    """
+    lines, by = table(spark, sf_dir, "lineitem"), ["origin_label"]
+    old = line_trajectories(lines.where("l_shipdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'"))
+    new = line_trajectories(lines.where("l_shipdate >= TIMESTAMP_NTZ '1993-01-01 00:00:00'"))
+    halved = F.when(F.col("completion_len") >= 40, F.col("advantage") / 2).otherwise(F.col("advantage"))
+    state = store(metric_state(losses(old), by), "metric-state")
+    changes = snapshot_changes(old, new.withColumn("advantage", halved))
+    return rounded(metrics_of_state(updated_state(state, metric_state(losses(changes), by), by), by))
+
+
 def expert_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_domains(spark, sf_dir).groupBy("domain").agg(
         F.count(F.lit(1)).alias("samples"),
@@ -756,6 +779,8 @@ QUERIES: dict[str, Query] = {
     "metrics_by_label": metrics_by_label,
     "metrics_of_text": metrics_of_text,
     "metrics_rollup": rollup,
+    "distinct_rollup": distinct_prompts,
+    "delta_metrics": delta_metrics,
     "eval_metrics": eval_metrics,
     "expert_mix": expert_mix,
     "mixed_by_ratio": mixed_by_ratio,

@@ -62,10 +62,14 @@ def scored_text_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numeric_trajectories(spark: SparkSession, sf_dir: str, null_nll: bool = False) -> DataFrame:
     """Trajectories of the line items; ``null_nll`` drops the NLL of every third line."""
+    return line_trajectories(table(spark, sf_dir, "lineitem"), null_nll)
+
+
+def line_trajectories(lines: DataFrame, null_nll: bool = False) -> DataFrame:
     nll = F.col("l_quantity") * 1.5
     if null_nll:
         nll = F.when(F.col("l_linenumber") != 3, nll)
-    return table(spark, sf_dir, "lineitem").select(
+    return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("traj_id"),
         F.col("l_orderkey").alias("group_id"),
         nll.alias("nll_seq"),
