@@ -1,0 +1,134 @@
+"""The named source against the readers, and its stream."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from trajloom.operators.table_functions import register_batch_function
+from trajloom.operators.userfn import map_batches
+from trajloom.sources.datasource import register_source
+from trajloom.sources.reader import read_trajectories
+
+SCHEMA = "traj_id long, prompt string, nll_seq double, advantage double, extra array<string>"
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    register_source(spark)
+    pad = F.repeat(F.lit("é\\\n"), F.pmod(F.col("id") * 37, F.lit(50)).cast("int"))
+    return spark.range(2000).repartition(4).select(
+        F.col("id").alias("traj_id"), F.concat(F.lit("p"), F.col("id"), pad).alias("prompt"), (F.col("id") / 3.0).alias("nll_seq"),
+        F.when(F.col("id") % 5 > 0, F.col("id") * 0.5).alias("advantage"),
+        F.when(F.col("id") % 7 > 0, F.array(F.lit("a"), F.lit(None).cast("string"))).alias("extra"),
+    )
+
+
+def listed(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+def by_name(spark, path, schema=None, **options):
+    reader = spark.read.format("trajectories").options(**options)
+    return (reader.schema(schema) if schema else reader).load(str(path))
+
+
+@pytest.mark.parametrize("size", ["700", "20000", "100000000"])
+@pytest.mark.parametrize("kind", ["json", "parquet"])
+def test_lists_of_files(spark, rows, tmp_path, kind, size):
+    spark.conf.set("parquet.block.size", "8192")
+    paths = [f"{tmp_path}/a.{kind}", f"{tmp_path}/b.{kind}"]
+    for path, part in zip(paths, (rows.where("traj_id < 900"), rows.where("traj_id >= 900"))):
+        getattr(part.write.option("parquet.block.size", 8192), kind)(path)
+    schema = SCHEMA if kind == "json" else None
+    got = by_name(spark, "||".join(paths), schema, partitionBytes=size)
+    assert listed(got.select(*rows.columns)) == listed(rows)
+    if kind == "parquet":
+        assert got.columns == [*rows.columns, "split"] and {r[0] for r in got.select("split").distinct().collect()} == {"train"}
+
+
+def test_a_directory_by_split_and_only_its_files(spark, rows, tmp_path):
+    split = F.when(F.col("advantage").isNull(), "test").when(F.col("traj_id") % 9 == 0, "validation").otherwise("train")
+    rows.withColumn("split", split).write.partitionBy("split").parquet(f"{tmp_path}/set")
+    (tmp_path / "set" / "info.json").write_text('{"description": "no row"}')
+    want = read_trajectories(spark, f"{tmp_path}/set")
+    got = by_name(spark, tmp_path / "set")
+    for name, df in want.items():
+        assert listed(got.where(F.col("split") == name).select(*rows.columns)) == listed(df.select(*rows.columns))
+    assert got.count() == sum(df.count() for df in want.values())
+    assert got.where("split IN ('train', 'other') AND traj_id < 100").count() == want["train"].where("traj_id < 100").count()
+    assert got.where("split = 'train' AND split = 'test'").count() == got.where("split = 'no'").count() == 0
+    assert got.count() == sum(df.count() for df in want.values())  # also after filters
+    # A broken file of another split is not opened.
+    for file in (tmp_path / "set" / "split=test").glob("*.parquet"):
+        file.write_bytes(b"broken")
+    assert by_name(spark, tmp_path / "set", got.schema, split="train").count() == want["train"].count()
+    with pytest.raises(Exception, match="(?i)parquet"):
+        by_name(spark, tmp_path / "set", got.schema, split="train,test").count()
+    with pytest.raises(Exception, match="the splits are"):
+        by_name(spark, tmp_path / "set", got.schema, split="validation").count()
+
+
+def test_arrays_missing_columns_and_errors(spark, rows, tmp_path):
+    (tmp_path / "a.json").write_text("\n [" + ",\n".join(json.dumps({"traj_id": i, "nll_seq": i}) for i in range(500)) + "]")
+    (tmp_path / "b.json").write_text('{"traj_id": 500, "unknown": 1}\n\n{"traj_id": 501, "advantage": 2}')
+    (tmp_path / "c.json").write_text("")
+    got = by_name(spark, "||".join(f"{tmp_path}/{n}.json" for n in "abc"), SCHEMA, partitionBytes="300")
+    assert sorted(r.traj_id for r in got.collect()) == list(range(502))
+    assert got.where("traj_id = 501").first().advantage == 2.0 and got.where("traj_id = 7").first().nll_seq == 7.0
+    (tmp_path / "bad.json").write_text('{"traj_id": "seven"}')
+    with pytest.raises(Exception, match="traj_id"):
+        by_name(spark, tmp_path / "bad.json", SCHEMA).count()
+    with pytest.raises(Exception, match="need a schema"):
+        by_name(spark, tmp_path / "b.json")
+    with pytest.raises(Exception, match="one format"):
+        by_name(spark, f"{tmp_path}/b.json||x.parquet")
+    rows.limit(3).write.parquet(f"{tmp_path}/only/test")
+    with pytest.raises(Exception, match="no training files"):
+        by_name(spark, tmp_path / "only")
+
+
+def test_a_stream_reads_each_file_once_over_restarts(spark, rows, tmp_path):
+    folder, out, progress = (str(tmp_path / n) for n in ("feed", "out", "progress"))
+
+    def run():
+        feed = spark.readStream.format("trajectories").schema(SCHEMA + ", split string").options(log=f"{tmp_path}/log", partitionBytes="3000").load(folder)
+        query = feed.writeStream.format("parquet").option("checkpointLocation", progress).option("path", out).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    rows.where("traj_id < 700").write.parquet(f"{folder}/train/one")
+    run()
+    run()
+    assert spark.read.parquet(out).count() == 700
+    rows.where("traj_id >= 700").write.parquet(f"{folder}/test/two")
+    run()
+    back = spark.read.parquet(out)
+    assert listed(back.select(*rows.columns)) == listed(rows)
+    assert {(r[0], r[1]) for r in back.select("split", F.col("traj_id") >= 700).distinct().collect()} == {("train", False), ("test", True)}
+    # A batch that ran but was not noted runs again with the same files, though more have come.
+    last = max((tmp_path / "progress" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    rows.where("traj_id < 5").write.parquet(f"{folder}/train/three")
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    last.unlink()
+    run()
+    assert listed(spark.read.parquet(out).select(*rows.columns)) == listed(rows)
+    run()
+    assert spark.read.parquet(out).count() == 2005
+
+
+def in_order(batch):
+    return [{"batch": batch[0]["batch"], "ids": ",".join(str(r["id"]) for r in batch)}]
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_table_function_of_ordered_batches(spark, partitions):
+    df = spark.range(1000).select((F.col("id") * 7919 % 13).alias("batch"), "id", F.xxhash64("id").alias("position")).repartition(partitions)
+    df = df.withColumn("batch", F.when(F.col("batch") > 0, F.col("batch")))
+    schema = map_batches(df, in_order, spark.createDataFrame([], "batch long, ids string").schema, ["batch"]).schema
+    register_batch_function(spark, "in_order", in_order, schema)
+    call = "SELECT * FROM in_order(TABLE(SELECT * FROM {df}) PARTITION BY batch ORDER BY position)"
+    got = spark.sql(call, df=df)
+    assert listed(got) == listed(map_batches(df, in_order, schema, ["batch"]))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in text and text.index("ArrowEvalPythonUDTF") < text.index("Exchange hashpartitioning")
+    assert spark.sql(call, df=df.limit(0)).collect() == []

@@ -516,6 +516,7 @@ SELECT traj_id, pos, token, {r6("token_logp")} AS token_logp FROM token_scores""
     "directory_with_card": SOURCE,
     "parquet_source": SOURCE,
     "directory_source": SOURCE + " WHERE advantage IS NOT NULL",
+    "source_by_name": SOURCE.replace("SELECT traj_id", "SELECT 'test' AS split, traj_id") + " WHERE advantage IS NULL",
     "split_counts": f"""WITH {TEXT}
 SELECT COUNT(advantage) AS train_samples, COUNT(*) - COUNT(advantage) AS eval_samples FROM trajectories""",
     "missing_label_source": f"""WITH {TEXT}
@@ -544,3 +545,4 @@ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, {metric_list(
 FROM windowed GROUP BY window_start
 HAVING window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE""",
 }
+ORACLES["udtf_batches"] = ORACLES["user_batch_function"]

@@ -41,11 +41,13 @@ from trajloom.operators.policy import (
 from trajloom.operators.replay import group_advantage, label_origin, mix_buffers, replay_pairs
 from trajloom.operators.rollups import distinct_rollup
 from trajloom.operators.store import new_path, store
+from trajloom.operators.table_functions import register_batch_function
 from trajloom.operators.temporal import asof_join, interval_join, sessions
 from trajloom.operators.tokenise import build_vocabulary, encode, truncation_audit, with_model_inputs
 from trajloom.operators.userfn import encode_with, map_batches, map_rows, score_with
 from trajloom.options import BOS_ID, EOS_ID, PAD_ID, BatchOptions, LossOptions, TokenOptions
 from trajloom.plans.training_run import batch_metrics, preview_rows, scored_losses, tokenised
+from trajloom.sources.datasource import register_source
 from trajloom.sources.reader import prune, read_trajectories
 from trajloom.sources.tables import (
     event_trajectories,
@@ -547,19 +549,31 @@ def batch_drift(rows: list[dict]) -> list[dict]:
     return [{**place, "rows": len(rows), "drift": drift, "first_id": rows[0]["event_id"]}]
 
 
-def user_batch_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+DRIFT = T.StructType(
+    [
+        T.StructField("epoch", T.IntegerType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("drift", T.DoubleType()),
+        T.StructField("first_id", T.LongType()),
+    ]
+)
+
+
+def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "value")
-    placed = events.join(assign_batches(events, "event_id", RUN), "event_id")
-    schema = T.StructType(
-        [
-            T.StructField("epoch", T.IntegerType()),
-            T.StructField("batch_id", T.LongType()),
-            T.StructField("rows", T.LongType()),
-            T.StructField("drift", T.DoubleType()),
-            T.StructField("first_id", T.LongType()),
-        ]
-    )
-    return rounded(map_batches(placed, batch_drift, schema, ["epoch", "batch_id"]), 4)
+    return events.join(assign_batches(events, "event_id", RUN), "event_id")
+
+
+def user_batch_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(map_batches(placed_events(spark, sf_dir), batch_drift, DRIFT, ["epoch", "batch_id"]), 4)
+
+
+def udtf_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same function of ordered batches, called from SQL."""
+    register_batch_function(spark, "batch_drift", batch_drift, DRIFT)
+    call = "SELECT * FROM batch_drift(TABLE(SELECT * FROM {placed}) PARTITION BY (epoch, batch_id) ORDER BY position)"
+    return rounded(spark.sql(call, placed=placed_events(spark, sf_dir)), 4)
 
 
 def toy_logits(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -664,12 +678,24 @@ def parquet_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_columns(read_trajectories(spark, "||".join(paths))["train"])
 
 
-def split_dataset(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def split_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A dataset directory; trajectories without an advantage are its test split."""
     rows = text_trajectories(spark, sf_dir)
     path = new_path(spark, "dataset")
     split = F.when(F.col("advantage").isNull(), "test").otherwise("train")
     rows.withColumn("split", split).write.partitionBy("split").parquet(path)
-    return read_trajectories(spark, path)
+    return path
+
+
+def split_dataset(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return read_trajectories(spark, split_folder(spark, sf_dir))
+
+
+def source_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test split through the named source, which opens its files alone."""
+    register_source(spark)
+    rows = spark.read.format("trajectories").option("split", "test").load(split_folder(spark, sf_dir))
+    return rounded(prune(rows, ["traj_id", "split"]))
 
 
 def directory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -836,6 +862,7 @@ QUERIES: dict[str, Query] = {
     "encode_user_long_ids": encode_user_long_ids,
     "user_row_map": user_row_map,
     "user_batch_function": user_batch_function,
+    "udtf_batches": udtf_batches,
     "user_scorer": user_scorer,
     "json_source": json_source,
     "json_inferred": json_inferred,
@@ -844,6 +871,7 @@ QUERIES: dict[str, Query] = {
     "directory_with_card": directory_with_card,
     "parquet_source": parquet_source,
     "directory_source": directory_source,
+    "source_by_name": source_by_name,
     "split_counts": split_counts_query,
     "missing_label_source": missing_label_source,
     "metrics_sink": metrics_sink,
