@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajloom.llm.common import SHINGLE, batch_words, mix, shingle_hashes, slices, table, text_bytes
+from trajloom.operators.lookup import fits_broadcast, lookup_join
 from trajloom.operators.store import store
 
 THRESHOLD = 0.8
 BANDS, ROWS = 36, 7
 NO_ID = (1 << 63) - 1
+# Nodes of one leader that a task may always take.
+SPLIT_ROWS = 1000
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -315,8 +318,10 @@ def rest_pairs(members: DataFrame, labels: DataFrame, links: DataFrame, bags: Da
     size = lambda w: F.floor(F.ln(w) / F.log(F.lit(1.05)))
     related = related.withColumns({"room": room, "far": F.col("common") < t / (1 + t) * (F.col("weight") + F.col("lead"))})
     # Groups that have a node without a link to the leader; others are one class.
-    open_groups = related.where("far").select("a").distinct()
-    related = related.join(open_groups, "a", "left_semi")
+    # A leader's nodes lie in many tasks: they are not dealt by it alone.
+    open_groups = store(related.where("far").groupBy("a").agg(F.lit(True).alias("open")), "open-groups")
+    related = lookup_join(related, open_groups, ["a"], ["b"], fits_broadcast(open_groups), SPLIT_ROWS).where("open").drop("open")
+    related = store(related, "related")
     # Pairs that share what the leader lacks.
     extra = related.select("a", "b", "own", "far", F.explode("more").alias("shingle"))
     who = [F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("_sum"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("_check"), F.count(F.lit(1)).alias("_n")]
