@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -104,10 +105,29 @@ def test_blocks_find_all_within_the_radius(spark):
                 y |= 1 << bit
             rows.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, x ^ y)) + (distance,))
     df = spark.createDataFrame(rows, "x long, y long, distance int")
-    for radius in (0, 3, 15):
-        first = decontam.first_equal_block(F.col("x"), F.col("y"), radius)
+    for radius in (0, 3, 15, 22):
+        first = decontam.first_near_block(F.col("x"), F.col("y"), radius)
         assert df.where((F.col("distance") <= radius) & first.isNull()).isEmpty()
-        assert sum(w for _, w in decontam.block_bounds(radius)) == 64
+
+
+@pytest.mark.parametrize("radius", [0, 5, 22])
+def test_index_finds_each_pair_within_the_radius_once(spark, radius):
+    draw = random.Random(radius)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    items = [(i, draw.randrange(2), draw.getrandbits(64)) for i in range(60)]
+    windows = [(i, draw.randrange(2), draw.getrandbits(64)) for i in range(400)]
+    for k, (_, length, fp) in enumerate(items * 5):
+        windows.append((1000 + k, length, fp ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(26)))))
+    w = spark.createDataFrame([(i, n, signed(x)) for i, n, x in windows], "w long, length int, own long")
+    i = spark.createDataFrame([(i, n, signed(x)) for i, n, x in items], "_item long, length int, fp long")
+    pairs = sorted((r.w, r._item) for r in decontam.within_radius(w, i, radius).collect())
+    assert pairs == sorted((a, b) for a, n, x in windows for b, m, y in items if n == m and (x ^ y).bit_count() <= radius)
+
+
+def test_index_selects():
+    # Lookups that hit, per pair of unrelated fingerprints, and index rows per item.
+    hits = sum(sum(math.comb(8, n) for n in range(share + 1)) for _, share in decontam.block_shares(decontam.RADIUS))
+    assert hits == 268 and hits / 256 < 1.05
 
 
 def test_main_path_is_native(spark, tables):

@@ -3,9 +3,11 @@
 Windows have an item's size, wherever the shingles they share with it stand; at the ends of a
 document they are cut. Those that hold enough shingles of items of their size to reach the
 threshold get a 64-bit SimHash of their shingles, each weighted by its count. Items are indexed
-by blocks of their fingerprints: with one block more than the radius, an item within the radius
-agrees with the window in a whole block. A shingle that comes many times can turn many bits, so
-pairs of which one text repeats a shingle are candidates if they share one, at any distance.
+by blocks of their fingerprints: each block has a share of the radius, and an item within the
+radius differs from the window by no more than that share in one block at least. The index holds
+every value within the share, so a window looks up its own values alone. A shingle that comes many
+times can turn many bits, so pairs of which one text repeats a shingle are candidates if they share
+one, at any distance.
 Candidates are verified by the exact weighted Jaccard similarity of the shingles.
 
 Only ids, hashes and places leave the scan of the documents; a second one cuts the windows.
@@ -14,6 +16,7 @@ Only ids, hashes and places leave the scan of the documents; a second one cuts t
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ THRESHOLD = 0.8
 #: More than four deviations above the mean distance, 9.7, of texts at a similarity of 0.8.
 RADIUS = 22
 BITS = 64
+#: Bits of a block: 268 index rows an item at the radius above.
+BLOCK_BITS = 8
 
 
 def text_hash(text: Column) -> Column:
@@ -56,26 +61,53 @@ def fingerprint(shingles: Column) -> Column:
     return F.when(F.size(shingles) > 0, reduce(lambda x, y: x.bitwiseOR(y), bits))
 
 
-def block_bounds(radius: int) -> list[tuple[int, int]]:
-    """First bit and width of each of ``radius`` + 1 blocks."""
-    edges = [k * BITS // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def block_shares(radius: int) -> list[tuple[int, int]]:
+    """First bit and share of the radius of each block that has to be searched.
+
+    If every block differed by more than its share, the shares plus one for each block would
+    sum to more than the radius; a block of share -1 is left out.
+    """
+    share, rest = divmod(radius, BITS // BLOCK_BITS)
+    shares = [share if k <= rest else share - 1 for k in range(BITS // BLOCK_BITS)]
+    return [(k * BLOCK_BITS, min(n, BLOCK_BITS)) for k, n in enumerate(shares) if n >= 0]
 
 
-def block_value(fingerprint: Column, first: int, width: int) -> Column:
-    mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
-    return F.shiftrightunsigned(fingerprint, first).bitwiseAND(mask)
+def block_value(fingerprint: Column, first: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, first).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long"))
 
 
 def blocks(fingerprint: Column, radius: int) -> Column:
     """An array of (block, value)."""
-    return F.array(*[F.struct(F.lit(i).alias("block"), block_value(fingerprint, a, w).alias("value")) for i, (a, w) in enumerate(block_bounds(radius))])
+    return F.array(*[F.struct(F.lit(i).alias("block"), block_value(fingerprint, first).alias("value")) for i, (first, _) in enumerate(block_shares(radius))])
+
+
+def near_blocks(fingerprint: Column, radius: int) -> Column:
+    """An array of (block, value): all values within each block's share of the radius."""
+
+    def values(i: int, first: int, share: int) -> Column:
+        flips = [sum(1 << b for b in turned) for n in range(share + 1) for turned in combinations(range(BLOCK_BITS), n)]
+        own = block_value(fingerprint, first)
+        return F.transform(F.lit(flips), lambda flip: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(flip.cast("long")).alias("value")))
 
+    return F.concat(*[values(i, *bounds) for i, bounds in enumerate(block_shares(radius))])
 
-def first_equal_block(x: Column, y: Column, radius: int) -> Column:
-    """The first block in which two fingerprints agree: the one whose match counts."""
+
+def first_near_block(x: Column, y: Column, radius: int) -> Column:
+    """The first block in which two fingerprints lie within its share: the one whose match counts."""
     differ = x.bitwiseXOR(y)
-    return F.coalesce(*[F.when(block_value(differ, a, w) == 0, F.lit(i)) for i, (a, w) in enumerate(block_bounds(radius))])
+    return F.coalesce(*[F.when(F.bit_count(block_value(differ, first)) <= share, F.lit(i)) for i, (first, share) in enumerate(block_shares(radius))])
+
+
+def within_radius(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``windows`` (length, own, ...) with each item (_item, length, fp) of the same
+    length within the radius, each pair once. No other pair leaves the join."""
+    probes = windows.select("*", F.inline(blocks(F.col("own"), radius)))
+    entries = items.select("_item", F.col("length").alias("_length"), "fp", F.inline(near_blocks(F.col("fp"), radius)))
+    entries = store(entries.withColumnsRenamed({"block": "_block", "value": "_value"}), "blocks")
+    found = (F.col("length") == F.col("_length")) & (F.col("block") == F.col("_block")) & (F.col("value") == F.col("_value"))
+    near = F.bit_count(F.col("own").bitwiseXOR(F.col("fp"))) <= radius
+    once = first_near_block(F.col("own"), F.col("fp"), radius) == F.col("block")
+    return probes.join(small(entries), found & near & once).select(*windows.columns, "_item")
 
 
 def item_table(benchmark: DataFrame, size: int, or_more: bool) -> DataFrame:
@@ -145,12 +177,9 @@ def leaks_of_size(docs: DataFrame, items: DataFrame, size: int, threshold: float
     keys = [*sized, "start"]
     windows = store(windows.groupBy(*keys).agg(F.first("window").alias("window")), "windows")
     windows = windows.select("*", fingerprint(F.col("window")).alias("own"))
-    # Candidates: items of the same size within the radius, each found in its first equal block.
-    probes = windows.select("*", F.inline(blocks(F.col("own"), radius)))
-    index = items.select("_item", "fp", F.size("shingles").alias("length"), F.inline(blocks(F.col("fp"), radius)))
-    near = probes.join(small(store(index, "blocks")), ["length", "block", "value"])
-    near = near.where(first_equal_block(F.col("own"), F.col("fp"), radius) == F.col("block"))
-    near = near.where(F.bit_count(F.col("own").bitwiseXOR(F.col("fp"))) <= radius).select(*keys, "window", "_item")
+    # Candidates: items of the same size within the radius.
+    sized_items = items.select("_item", "fp", F.size("shingles").alias("length"))
+    near = within_radius(windows, sized_items, radius).select(*keys, "window", "_item")
     # Repeated shingles: candidates by the shingles themselves.
     repeats = lambda x: F.size(F.array_distinct(x)) < F.size(x)
     held = items.select("_item", F.size("shingles").alias("length"), repeats(F.col("shingles")).alias("twice"), F.explode(F.array_distinct("shingles")).alias("shingle"))
