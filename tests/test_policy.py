@@ -12,6 +12,8 @@ from trajloom.operators.enrich import enrich
 from trajloom.operators.policy import (
     fit_policy,
     logits_scores,
+    _summed_in_place,
+    counted_samples,
     policy_update,
     score_tokens,
     sequence_nll,
@@ -116,6 +118,21 @@ def test_gradients_sum_to_zero_and_unknown_tokens_fail(spark):
         policy_update(samples, theta.where("token > 4"), 0.5).collect()
 
 
+def test_both_forms_of_the_step_agree(spark):
+    """Also with rows without tokens; only the form by join shuffles rows by their number."""
+    _, samples = samples_for(spark)
+    bare = samples.limit(1).withColumns({c: F.expr(f"filter({c}, x -> false)") for c in ("input_ids", "labels")})
+    samples = samples.unionByName(bare)
+    theta = spark.createDataFrame([(t, 0.1 * t) for t in range(4, 14)], "token int, theta double")
+    near, far = ({r.token: r.gradient for r in policy_update(samples, theta, 0.5, **o).collect()} for o in ({}, {"broadcast_bytes": 0}))
+    assert near == pytest.approx(far) and len(near) == 10
+    with pytest.raises(Exception, match="no logit for token 4"):
+        policy_update(samples, theta.where("token > 4"), 0.5, broadcast_bytes=0).collect()
+    rows = counted_samples(samples)
+    table = softmax_policy(theta).select("token", F.col("logp").alias("token_logp"))
+    assert "Exchange" not in _summed_in_place(rows, table)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_equal_ids_do_not_matter_to_the_gradient(spark):
     _, samples = samples_for(spark)
     theta = spark.createDataFrame([(t, 0.1 * t) for t in range(4, 14)], "token int, theta double")

@@ -7,8 +7,12 @@ completion token can replace them (see ``operators.userfn`` for user models).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,6 +232,44 @@ def counted_samples(samples: DataFrame, options: TokenOptions = TokenOptions())
     return store(rows.withColumn("tokens", counts).drop("_all", "_starts"), "samples")
 
 
+def logp_sums(table: pa.Table) -> Callable[[Column, Column], Column]:
+    """The sum of n times the log-prob of each list of tokens and of their numbers n."""
+    known, logps = table["token"].combine_chunks(), table["token_logp"].to_numpy()
+
+    @F.arrow_udf("double")
+    def sums(tokens: pa.Array, numbers: pa.Array) -> pa.Array:
+        flat = tokens.flatten()
+        at = pc.index_in(flat, known)
+        if at.null_count:
+            raise ValueError(f"no logit for token {flat.filter(pc.is_null(at))[0]}")
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        parts = logps[at.to_numpy()] * numbers.flatten().to_numpy()
+        owners = np.repeat(np.arange(len(sizes)), sizes)
+        return pa.array(np.bincount(owners, weights=parts, minlength=len(sizes)), pa.float64())
+
+    return sums
+
+
+def _summed_in_place(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Add ``policy_logps`` and ``_scored`` to the counted samples, without a shuffle."""
+    sums = logp_sums(table.select(F.col("token").cast("long").alias("token"), "token_logp").toArrow())
+    tokens = F.transform("tokens", lambda t: t["token"].cast("long"))
+    numbers = F.transform("tokens", lambda t: t["n"].cast("long"))
+    whole = F.aggregate("tokens", F.lit(0).cast("long"), lambda total, t: total + t["n"])
+    return rows.withColumns({"policy_logps": sums(tokens, numbers), "_scored": F.coalesce(whole, F.lit(0))})
+
+
+def _summed_by_join(rows: DataFrame, table: DataFrame, hot_rows: int) -> DataFrame:
+    tokens = rows.select("_row", F.inline("tokens"))
+    found = lookup_join(tokens, table, ["token"], ["_row"], False, hot_rows)
+    error = F.raise_error(F.concat(F.lit("no logit for token "), F.col("token").cast("string"))).cast("boolean")
+    found = found.where(F.when(F.col("token_logp").isNotNull(), F.lit(True)).otherwise(error))
+    sums = found.groupBy("_row").agg(F.sum(F.col("n") * F.col("token_logp")).alias("_sum"), F.sum("n").alias("_scored"))
+    return rows.join(sums, "_row", "left").withColumns(
+        {"policy_logps": F.coalesce("_sum", F.lit(0.0)), "_scored": F.coalesce("_scored", F.lit(0))}
+    )
+
+
 def policy_update(
     samples: DataFrame,
     theta: DataFrame,
@@ -243,26 +285,22 @@ def policy_update(
     over all tokens, the gradient is (A(v) - S * pi(v)) / rows. The ratio inside the
     coefficient counts as a constant. ``samples`` has the token lists and the enriched
     columns, or comes from :func:`counted_samples`; a token that is not in ``theta`` is an
-    error. Returns (token, theta, gradient, new_theta).
+    error. A ``theta`` whose measured size is within the limit goes to all tasks, and a row is
+    summed where it lies; a larger one is joined to the tokens.
+    Returns (token, theta, gradient, new_theta).
     """
     rows = samples if "tokens" in samples.columns else counted_samples(samples, options)
     policy = store(softmax_policy(theta), "softmax")
     small = fits_broadcast(policy, broadcast_bytes)
     table = policy.select("token", F.col("logp").alias("token_logp"))
-    tokens = rows.select("_row", F.inline("tokens"))
-    found = lookup_join(tokens, table, ["token"], ["_row"], small, hot_rows)
-    error = F.raise_error(F.concat(F.lit("no logit for token "), F.col("token").cast("string"))).cast("boolean")
-    found = found.where(F.when(F.col("token_logp").isNotNull(), F.lit(True)).otherwise(error))
-    sums = found.groupBy("_row").agg(F.sum(F.col("n") * F.col("token_logp")).alias("_sum"), F.sum("n").alias("_scored"))
-    scored = rows.join(sums, "_row", "left").withColumns(
-        {
-            "policy_logps": F.coalesce("_sum", F.lit(0.0)),
-            "completion_len": F.greatest(F.coalesce("_scored", F.lit(0)), F.lit(1)).cast("double"),
-        }
-    )
+    if small:
+        scored = _summed_in_place(rows, table)
+    else:
+        scored = _summed_by_join(rows, table, hot_rows)
+    scored = scored.withColumn("completion_len", F.greatest("_scored", F.lit(1)).cast("double"))
     losses = with_loss(scored, loss_options)
     coef = F.col("coef") / F.col("completion_len") if loss_options.length_normalize else F.col("coef")
-    weighted = store(losses.select(coef.alias("_coef"), F.coalesce("_scored", F.lit(0)).alias("_scored"), "tokens"), "coefficients")
+    weighted = store(losses.select(coef.alias("_coef"), "_scored", "tokens"), "coefficients")
     count, whole = weighted.agg(F.count(F.lit(1)), F.sum(F.col("_coef") * F.col("_scored"))).first()
     used = weighted.select("_coef", F.inline("tokens"))
     masses = used.groupBy("token").agg(F.sum(F.col("_coef") * F.col("n")).alias("_a"))
