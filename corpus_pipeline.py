@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajloom.llm import decontam, langid, neardup, packing
+from trajloom.llm.common import store_by_batches
 from trajloom.operators.store import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -53,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents that every stage keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = store_by_batches(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

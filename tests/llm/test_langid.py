@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -112,3 +113,28 @@ def test_fit_and_decode_against_a_plain_version(spark, folder):
     for i, (_, text) in enumerate(rows):
         lang, score = decode(text)
         assert found[i].lang_pred == lang and found[i].score == pytest.approx(score, abs=1e-5)
+
+
+def traced_peak(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_does_not_grow_with_bits():
+    languages = 40
+    code = langid.codewords(languages)
+    draw = np.random.default_rng(1)
+    weights = draw.normal(size=(code.shape[1], 1 << langid.BUCKET_BITS)).astype(np.float32)
+    model = langid.Model([str(i) for i in range(languages)], code, weights, np.full(code.shape, 1 / code.shape[1]))
+    texts = [b"a text of some forty letters, more or less"] * 20_000
+    found = {}
+    # At once, the weights would take 180 MB and the losses 350 MB for each array.
+    assert traced_peak(lambda: found.update(margins=model.margins(texts))) < 100
+    assert traced_peak(lambda: found.update(decoded=model.decode(found["margins"]))) < 60
+    best, lead = found["decoded"]
+    alone = model.decode(model.margins(texts[:1]))
+    assert set(best.tolist()) == set(alone[0].tolist()) and np.ptp(lead) == 0 and lead[0] == pytest.approx(alone[1][0])

@@ -1,8 +1,16 @@
+import re
+
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from brute import classes
+from pyspark.sql import functions as F
 from test_decontamination import expected as leaks
 from test_token_ids import check_packing
 
+from trajloom.llm import common, packing
+from trajloom.operators.store import store
+
 
 def test_run_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
@@ -31,3 +39,45 @@ def test_stages_keep_columns_of_odd_rows(spark, folder, odd_documents, empty_doc
 
 def test_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "packing"]
+
+
+def batch_sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    sizes = [r.n for r in common.store_by_batches(long.mapInArrow(batch_sizes, "n long"), "sizes").collect()]
+    assert sum(sizes) == 4000 and max(sizes) * 4000 < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH_SETTING, None) is None
+    with pytest.raises(ZeroDivisionError), common.bounded_batches(spark):
+        1 / 0
+    assert spark.conf.get(common.BATCH_SETTING, None) is None
+    spark.conf.set(common.BATCH_SETTING, "1000000")
+    try:
+        with common.bounded_batches(spark):
+            assert spark.conf.get(common.BATCH_SETTING) == "1000000"
+        assert spark.conf.get(common.BATCH_SETTING) == "1000000"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_stages_write_by_bounded_batches(spark, monkeypatch):
+    seen = []
+
+    def noted(df, name):
+        seen.append((re.sub("^stage-.*", "stage", name), df.sparkSession.conf.get(common.BATCH_SETTING, None)))
+        return store(df, name)
+
+    monkeypatch.setattr(common, "store", noted)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert {"stage", "sketches", "bags", "compared", "tokens", "placed"} <= {name for name, _ in seen}
+    assert {limit for _, limit in seen} == {str(common.BATCH_BYTES)}
+
+
+def test_ranks_start_from_rows_of_the_jvm(spark):
+    sizes = spark.createDataFrame([(i, 5 + i % 3) for i in range(9)], "_row long, n_tokens long")
+    places, _, _ = packing.place_rows(store(sizes, "sizes"))
+    plan = places._jdf.queryExecution().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan and "ExistingRDD" not in plan

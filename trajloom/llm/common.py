@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,11 @@ from trajloom.operators.store import new_path, store
 
 #: A batch of texts is worked on in pieces of about so many bytes.
 PIECE_BYTES = 1 << 20
+#: The same for work that holds many numbers a word.
+WORDS_BYTES = PIECE_BYTES // 4
+#: Spark hands rows to Python in batches of about so many bytes, see :func:`bounded_batches`.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 SHINGLE = 5
 
 
@@ -43,6 +49,26 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.Table | pa.
     return df.mapInArrow(run, wanted)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """For jobs that run inside: batches for Python are bounded by their bytes, not by 10 000 rows
+    alone, which takes as much memory as those rows are long. A limit that the session has stays."""
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
+def store_by_batches(df: DataFrame, name: str) -> DataFrame:
+    """:func:`store` for tables that Python makes from long rows."""
+    with bounded_batches(df.sparkSession):
+        return store(df, name)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``most`` bytes together."""
     texts = batch.column(column)
@@ -215,7 +241,7 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], parti
                 before[new] = int(ends[-1]) if len(ends) else before[new]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    stored = store(ranged.mapInArrow(run, schema), name)
+    stored = store_by_batches(ranged.mapInArrow(run, schema), name)
     totals = stored.groupBy("_part").agg(*(F.sum(size).alias(f"_{new}") for new, size in sums.items()))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range.
@@ -226,7 +252,7 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], parti
 
 def tagged(df: DataFrame, name: str, row: str = "_row") -> DataFrame:
     """The rows, written with a number each that is the same at every reading."""
-    return store(df.withColumn(row, F.monotonically_increasing_id()), name)
+    return store_by_batches(df.withColumn(row, F.monotonically_increasing_id()), name)
 
 
 # ---------------------------------------------------------------- shared files

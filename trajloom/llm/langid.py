@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajloom.llm.common import LOWER, PIECE_BYTES, slices, table, text_bytes
+from trajloom.llm.common import LOWER, PIECE_BYTES, bounded_batches, slices, table, text_bytes
 
 BUCKET_BITS = 15
 SMOOTHING = 0.5
@@ -31,6 +31,8 @@ MAX_LANGUAGES = 2000
 #: A lead of the best language below this marks a text as ambiguous.
 AMBIGUOUS = 0.05
 UNKNOWN = "und"
+#: So many losses (text x language x bit) are held at once.
+LOSSES = 1 << 18
 
 
 def _fold() -> np.ndarray:
@@ -125,7 +127,7 @@ def codewords(languages: int) -> np.ndarray:
 class Model:
     languages: list[str]
     code: np.ndarray  # language x bit
-    weights: np.ndarray  # bucket x bit: log odds of a bit given a trigram
+    weights: np.ndarray  # bit x bucket: log odds of a bit given a trigram
     trust: np.ndarray  # language x bit, rows sum to 1
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
@@ -136,7 +138,9 @@ class Model:
             sizes = np.diff(bounds)
             some = np.flatnonzero(sizes)
             if len(some):
-                totals[first + some] += np.add.reduceat(self.weights[buckets], bounds[some], axis=0, dtype=np.float64)
+                # Bit by bit: the weights of all bits of all trigrams would take much memory at once.
+                for bit, weights in enumerate(self.weights):
+                    totals[first + some, bit] += np.add.reduceat(weights[buckets], bounds[some], dtype=np.float64)
             counts[first : first + len(held)] += sizes
         return totals / np.maximum(counts, 1)[:, None]
 
@@ -144,8 +148,11 @@ class Model:
         """Index of the language with the least weighted loss, and its lead in 0 .. 1."""
         if len(self.languages) < 2:
             return np.zeros(len(margins), int), np.ones(len(margins))
-        loss = np.log1p(np.exp(-4 * margins[:, None, :] * self.code[None]))
-        loss = (loss * self.trust[None]).sum(2)
+        loss = np.zeros((len(margins), len(self.languages)))
+        some = max(LOSSES // self.code.size, 1)
+        for at in range(0, len(margins), some):
+            of_bits = np.log1p(np.exp(-4 * margins[at : at + some, None, :] * self.code[None]))
+            loss[at : at + some] = (of_bits * self.trust[None]).sum(2)
         order = np.argsort(loss, axis=1, kind="stable")
         best, second = (np.take_along_axis(loss, order[:, k : k + 1], 1)[:, 0] for k in (0, 1))
         return order[:, 0], np.clip(1 - best / np.maximum(second, 1e-12), 0, 1)
@@ -153,10 +160,11 @@ class Model:
 
 def fit(counts: DataFrame) -> Model:
     """The model of trigram counts (lang, bucket, n); languages in alphabetical order."""
-    if counts.select("lang").distinct().count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # At most 2**BUCKET_BITS rows per language.
-    found = counts.toPandas()
+    with bounded_batches(counts.sparkSession):
+        if counts.select("lang").distinct().count() > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        # At most 2**BUCKET_BITS rows per language.
+        found = counts.toPandas()
     languages = sorted(found["lang"].unique())
     at = {lang: i for i, lang in enumerate(languages)}
     n = np.zeros((len(languages), 1 << BUCKET_BITS))
@@ -168,7 +176,7 @@ def fit(counts: DataFrame) -> Model:
     ones, zeros = (code > 0).astype(float), (code < 0).astype(float)
     log_odds = np.log((ones.T @ share) / np.maximum(ones.sum(0), 1)[:, None] + floor) - np.log((zeros.T @ share) / np.maximum(zeros.sum(0), 1)[:, None] + floor)
     known = np.maximum((share @ log_odds.T) * code, 1e-6)
-    return Model(languages, code, np.ascontiguousarray(log_odds.T, np.float32), known / np.maximum(known.sum(1, keepdims=True), 1e-12))
+    return Model(languages, code, np.ascontiguousarray(log_odds, np.float32), known / np.maximum(known.sum(1, keepdims=True), 1e-12))
 
 
 def predict(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:

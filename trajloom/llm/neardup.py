@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajloom.llm.common import SHINGLE, batch_words, mix, shingle_hashes, slices, table, text_bytes
+from trajloom.llm.common import SHINGLE, WORDS_BYTES, batch_words, mix, shingle_hashes, slices, store_by_batches, table, text_bytes
 from trajloom.operators.lookup import fits_broadcast, lookup_join
 from trajloom.operators.store import store
 
@@ -106,7 +106,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", WORDS_BYTES):
                 shingles, counts, bounds = multisets(text_bytes(part.column("text")), size)
                 keys = band_keys(signatures(shingles, counts, bounds, bands * rows), bands)
                 some = np.diff(bounds) > 0
@@ -115,7 +115,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), lists], names=["doc_id", "key", "bands"])
 
     rows_in = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), "text")
-    return store(rows_in.mapInArrow(run, "doc_id long, key binary, bands array<long>"), "sketches")
+    return store_by_batches(rows_in.mapInArrow(run, "doc_id long, key binary, bands array<long>"), "sketches")
 
 
 def text_key(text: Column) -> Column:
@@ -131,7 +131,7 @@ def packed_multisets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", WORDS_BYTES):
                 shingles, counts, bounds = multisets(text_bytes(part.column("text")), size)
                 bags = [
                     shingles[a:b].tobytes() + (b"" if (counts[a:b] == 1).all() else counts[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:])
@@ -164,7 +164,7 @@ def compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     left = bags.select(F.col("node").alias("a"), F.col("n").alias("_n_a"), F.col("bag").alias("_bag_a"))
     right = bags.select(F.col("node").alias("b"), F.col("n").alias("_n_b"), F.col("bag").alias("_bag_b"))
     rows = pairs.join(right, "b").join(left, "a")
-    return store(rows.select("a", "b", similarity("_n_a", "_bag_a", "_n_b", "_bag_b").alias("similarity")), "compared")
+    return store_by_batches(rows.select("a", "b", similarity("_n_a", "_bag_a", "_n_b", "_bag_b").alias("similarity")), "compared")
 
 
 # ---------------------------------------------------------------- classes
@@ -211,7 +211,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     # Of equal texts one row is enough: that with the smallest id, and of those any.
     texts = docs.select(rank_of("doc_id").alias("rank"), text_key(F.col("text")).alias("key"), "text")
     found = texts.join(wanted, ["key", "rank"]).select("node", "text")
-    bags = store(packed_multisets(found, size).dropDuplicates(["node"]), "bags")
+    bags = store_by_batches(packed_multisets(found, size).dropDuplicates(["node"]), "bags")
     links = compared(pairs, bags)
     labels = components(links.where(F.col("similarity") >= threshold), ranks)
     rest = rest_pairs(members, labels, links, bags, threshold)
@@ -311,7 +311,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, links: DataFrame, bags: Da
     left = bags.select(F.col("node").alias("a"), F.col("n").alias("_n_a"), F.col("bag").alias("_bag_a"))
     right = bags.select(F.col("node").alias("b"), F.col("n").alias("_n_b"), F.col("bag").alias("_bag_b"))
     related = rows.join(right, "b").join(left, "a")
-    related = store(related.select("a", "b", "own", relation("_n_a", "_bag_a", "_n_b", "_bag_b").alias("r")).select("a", "b", "own", "r.*"), "related")
+    related = store_by_batches(related.select("a", "b", "own", relation("_n_a", "_bag_a", "_n_b", "_bag_b").alias("r")).select("a", "b", "own", "r.*"), "related")
     t = F.lit(threshold)
     # A little more than the bound, so that rounding loses no pair that just meets it.
     room = ((1 + t) * F.col("common") - t * F.col("weight")) / t + 1e-6

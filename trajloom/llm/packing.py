@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajloom.llm.common import crc32, encoder, running_sums, slices, table, tagged
+from trajloom.llm.common import WORDS_BYTES, crc32, encoder, running_sums, slices, table, tagged
 
 CAPACITY = 2048
 #: The rank of a remainder stays below 2**RANK_BITS.
@@ -134,7 +134,7 @@ def tokenised(df: DataFrame, tokenizer: str, kind: str, end_id: int, keep: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pack = encoder(tokenizer, kind, end_id).encode_many, zstandard.ZstdCompressor(level=1, write_content_size=True)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", WORDS_BYTES):
                 ids = encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([pack_ids(pack, i) for i in ids], pa.binary())],
@@ -171,7 +171,9 @@ def place_rows(sizes: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, P
     for length in sorted(counts):
         before[length], total = total, total + counts[length]
     placed = running_sums(rows, [F.col("_length"), F.col("_row")], {"_at": "_one", "_full": "_windows"}, name="placed")
-    starts = sizes.sparkSession.createDataFrame(sorted(before.items()) or [(0, 0)], "_length long, _first long")
+    # An Arrow table becomes rows in the JVM; a list would be read by Python workers of its own.
+    firsts = np.array(sorted(before.items()) or [(0, 0)], np.int64)
+    starts = sizes.sparkSession.createDataFrame(pa.table({"_length": firsts[:, 0], "_first": firsts[:, 1]}))
     placed = placed.join(F.broadcast(starts), "_length").withColumn("_rank", F.col("_at") - F.col("_first"))
     return placed.select("_row", "_full", "_rank"), plan, sum(g["windows"] for g in groups)
 
